@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from glossa.llm import media, sharding, warc
+from glossa.llm import media, piece_codec, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
+        "op4_ordinal_toxicity": toxicity.op4_ordinal_toxicity,
         "op6_warc_normaliser": warc.op6_warc_normaliser,
         "op8_interleaved_media": media.op8_interleaved_media,
+        "op9_piece_codec": piece_codec.op9_piece_codec,
     }
 
 
