@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from glossa.llm import media, piece_codec, sharding, toxicity, warc
+from glossa.llm import decontaminate, media, piece_codec, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
+        "op3_fm_decontamination": decontaminate.op3_fm_decontamination,
         "op4_ordinal_toxicity": toxicity.op4_ordinal_toxicity,
         "op6_warc_normaliser": warc.op6_warc_normaliser,
         "op8_interleaved_media": media.op8_interleaved_media,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_warc_normaliser": warc.OP6_SQL}
+    return {"op3_fm_decontamination": decontaminate.OP3_SQL, "op6_warc_normaliser": warc.OP6_SQL}
