@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,24 +102,27 @@ def classified(pages: DataFrame, min_revisit: int = MIN_REVISIT_BYTES) -> DataFr
     return base.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
 
 
-def write_monolithic(rows: DataFrame, n_archives: int) -> DataFrame:
-    """(archive, content): classified rows packed into archives, each a single gzip stream."""
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(n_archives)).cast("int"))
+def write_monolithic(rows: DataFrame, archive_bytes: int) -> DataFrame:
+    """(archive, content): classified rows packed where they are, each archive a single gzip stream that ends with
+    the record that takes it past archive_bytes. No exchange of its own; a retried task packs its own rows again."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = lambda at, c, parts: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([b"".join(parts) + c.flush()], pa.large_binary() if sum(map(len, parts)) > 1 << 30 else pa.binary())], ["archive", "content"])
-        at, c, parts = None, None, []
+        part, at, size = TaskContext.get().partitionId(), 0, 0
+        c, parts = zlib.compressobj(6, zlib.DEFLATED, GZIP), []
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([f"{part}-{at}"], pa.string()), pa.array([b"".join(parts) + c.flush()], pa.binary())], ["archive", "content"])
         for b in batches:
-            for x in b.to_pylist():
-                if x["archive"] != at:
-                    if parts:
-                        yield done(at, c, parts)
-                    at, c, parts = x["archive"], zlib.compressobj(6, zlib.DEFLATED, GZIP), []
-                parts.append(c.compress(record(x["record_type"], x["page_id"], x["url"], x["payload"], x["digest"], x["refers_to"])))
-        if parts:
-            yield done(at, c, parts)
+            for i in range(b.num_rows):
+                x = {n: v[0].as_py() for n, v in zip(b.schema.names, b.slice(i, 1).columns, strict=True)}
+                raw = record(x["record_type"], x["page_id"], x["url"], x["payload"], x["digest"], x["refers_to"])
+                parts.append(c.compress(raw))
+                size += len(raw)
+                if size >= archive_bytes:
+                    yield done()
+                    c, parts, at, size = zlib.compressobj(6, zlib.DEFLATED, GZIP), [], at + 1, 0
+        if size:
+            yield done()
 
-    return rows.repartition("archive").sortWithinPartitions("archive", "page_id").mapInArrow(pack, "archive int, content binary")
+    return rows.mapInArrow(pack, "archive string, content binary")
 
 
 def normalised(archives: DataFrame) -> DataFrame:
@@ -130,9 +134,9 @@ def normalised(archives: DataFrame) -> DataFrame:
             for at, content in zip(b["archive"].to_pylist(), b["content"].to_pylist(), strict=True):
                 out, index = normalise(content)
                 index = [dict(zip(("offset", "length", "record_id", "record_type"), x, strict=True)) for x in index]
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([out], pa.binary()), pa.array([index], kind)], ["archive", "content", "index"])
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.string()), pa.array([out], pa.binary()), pa.array([index], kind)], ["archive", "content", "index"])
 
-    return archives.mapInArrow(run, "archive int, content binary, index array<struct<offset:long,length:long,record_id:string,record_type:string>>")
+    return archives.mapInArrow(run, "archive string, content binary, index array<struct<offset:long,length:long,record_id:string,record_type:string>>")
 
 
 def read_members(archives: DataFrame) -> DataFrame:
@@ -163,8 +167,7 @@ def normalise_archives(pages: DataFrame, archive_bytes: int = 8 << 20) -> DataFr
     gives an empty result; null html is an empty payload; null urls are left out of the header; clashing extra
     columns are ignored.
     """
-    total = pages.select(F.sum(F.octet_length(utf8("html")))).first()[0] or 0
-    mono = stored(write_monolithic(classified(pages), max(1, -(-total // archive_bytes))), "warc-mono")
+    mono = stored(write_monolithic(classified(pages), archive_bytes), "warc-mono")
     return read_members(stored(normalised(mono), "warc-members"))
 
 
