@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.llm import decontaminate, media, piece_codec, sharding, toxicity, warc
+from glossa.llm import decontaminate, jaccard_join, media, piece_codec, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,8 +13,9 @@ def queries() -> dict:
         "op6_warc_normaliser": warc.op6_warc_normaliser,
         "op8_interleaved_media": media.op8_interleaved_media,
         "op9_piece_codec": piece_codec.op9_piece_codec,
+        "op10_jaccard_metric_join": jaccard_join.op10_jaccard_metric_join,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_fm_decontamination": decontaminate.OP3_SQL, "op6_warc_normaliser": warc.OP6_SQL}
+    return {"op3_fm_decontamination": decontaminate.OP3_SQL, "op6_warc_normaliser": warc.OP6_SQL, "op10_jaccard_metric_join": jaccard_join.OP10_SQL}
