@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.llm import decontaminate, jaccard_join, media, piece_codec, sharding, toxicity, warc
+from glossa.llm import decontaminate, jaccard_join, media, piece_codec, secrets, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
         "op3_fm_decontamination": decontaminate.op3_fm_decontamination,
         "op4_ordinal_toxicity": toxicity.op4_ordinal_toxicity,
+        "op5_credential_linking": secrets.op5_credential_linking,
         "op6_warc_normaliser": warc.op6_warc_normaliser,
         "op8_interleaved_media": media.op8_interleaved_media,
         "op9_piece_codec": piece_codec.op9_piece_codec,
