@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.llm import decontaminate, jaccard_join, media, piece_codec, secrets, sharding, toxicity, warc
+from glossa.llm import decontaminate, jaccard_join, media, pii, piece_codec, secrets, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_ordinal_toxicity": toxicity.op4_ordinal_toxicity,
         "op5_credential_linking": secrets.op5_credential_linking,
         "op6_warc_normaliser": warc.op6_warc_normaliser,
+        "op7_disclosure_sanitiser": pii.op7_disclosure_sanitiser,
         "op8_interleaved_media": media.op8_interleaved_media,
         "op9_piece_codec": piece_codec.op9_piece_codec,
         "op10_jaccard_metric_join": jaccard_join.op10_jaccard_metric_join,
