@@ -23,7 +23,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(h):
         key <<= bits
-        key[: n - i] |= first[i:]
+        key[: max(0, n - i)] |= first[i:]
     order = np.argsort(key, kind="stable")
     new = np.ones(n, bool)
     new[1:] = np.diff(key[order]) != 0

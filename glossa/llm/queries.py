@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from glossa.llm import decontaminate, jaccard_join, media, pii, piece_codec, secrets, sharding, toxicity, warc
+from glossa.llm import decontaminate, jaccard_join, media, pii, piece_codec, secrets, sharding, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
+        "op2_interval_tree_dedup": suffix_dedup.op2_interval_tree_dedup,
         "op3_fm_decontamination": decontaminate.op3_fm_decontamination,
         "op4_ordinal_toxicity": toxicity.op4_ordinal_toxicity,
         "op5_credential_linking": secrets.op5_credential_linking,
