@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import stored, utf8
+from glossa.llm.common import stored, text_key, utf8
 from glossa.llm.components import components
 
 SHINGLE = 5
@@ -354,6 +354,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(to, "key").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of linked documents: the one of the smallest id (of equal ids, the smallest
+    text key; of rows equal in both, any). Documents without words link with nothing and stay. Same columns."""
+    marked = docs.withColumn("_key", text_key("text"))
+    found = near_duplicates(marked.select(F.struct("doc_id", "_key").alias("id"), "text"), id_col="id")
+    kept = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._key").alias("_k"), F.lit(1).alias("_once"))
+    bare = found.where("n_shingles = 0").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._key").alias("_k"), F.lit(0).alias("_once"))
+    keep = kept.unionByName(bare).groupBy("_id", "_k").agg(F.max("_once").alias("_once"), F.count(F.lit(1)).alias("_rows"))
+    rows = marked.join(keep, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    twice = (F.col("_once") == 1) & (F.col("_rows") > 1)
+    single = rows.where(~twice).select(*docs.columns)
+    repeated = rows.where(twice).select(*docs.columns, "_key").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    return single.unionByName(repeated)
+
+
 def op10_jaccard_metric_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from glossa.llm.common import utf8, word_table
 
 WORDS = word_table(keep_digits=False)
-#: The fit reads this many labelled documents at most, taken by a hash of their ids; of each, so many bytes.
+#: The fit reads this many labelled documents at most, taken by a hash of their ids, each in full.
 MAX_TRAIN_DOCS = 8000
-MAX_TRAIN_BYTES = 64_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -111,14 +110,14 @@ def fit(texts: list[list[bytes]], grades: np.ndarray, n_grades: int = 3, min_doc
     return OrdinalModel({x: float(v) for x, v in zip(names, w, strict=True) if v}, [float(c) for c in cuts])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     """(words, grade) of a bounded sample: grade 0 not toxic, 1 toxic, 2 toxic and of low quality.
 
     Rows with a null id or label are left out; of several labels of a document the highest grade counts.
     """
     graded = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, F.when(F.col("quality") == 0, 2).otherwise(1)).otherwise(0)).alias("grade"))
     sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(sample), "doc_id").withColumn("text", F.substring("text", 1, max_bytes))
+    rows = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,11 +153,10 @@ def score_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
 
 def accept(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """The rows of docs that are not toxic, columns as they are; decided text by text, in the scan itself."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        at = docs.columns.index("text")
         for b in batches:
             yield b.filter(pa.array([m.grades((t.as_py() or "").encode())[0] < 0.5 for t in b.column(at)], pa.bool_()))
 
