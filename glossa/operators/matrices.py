@@ -6,7 +6,10 @@ they come to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,13 +120,19 @@ def isotropic(rows: DataFrame, dims: int, k: int = 1) -> DataFrame:
     mean = np.array(rows.agg(V.mean_of("vec", dims).alias("m")).first()[0] or [0.0] * dims)
     if k <= 0:
         return rows.withColumn("vec", F.zip_with("vec", F.array(*map(F.lit, mean.tolist())), lambda x, m: x - m))
-    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    sums = [F.sum(F.col("vec")[i].cast("double") * F.col("vec")[j]) for i, j in pairs]
-    chunk = 256
-    moments, n = np.zeros((dims, dims)), rows.count()
-    for a in range(0, len(pairs), chunk):
-        for (i, j), s in zip(pairs[a : a + chunk], rows.agg(*sums[a : a + chunk]).first(), strict=True):
-            moments[i, j] = moments[j, i] = s or 0.0
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((dims, dims))
+        for b in batches:
+            x = np.array(b.column(0).to_pylist(), dtype=float).reshape(-1, dims)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(range(dims), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "x"])
+
+    n = rows.count()
+    sums = rows.select("vec").mapInArrow(products, "i int, x array<double>").groupBy("i").agg(V.sum_of("x", dims).alias("x"))
+    moments = np.zeros((dims, dims))
+    for r in sums.collect():  # dims rows
+        moments[r["i"]] = r["x"]
     _, v = np.linalg.eigh(moments - n * np.outer(mean, mean))
     out = F.zip_with("vec", F.array(*map(F.lit, mean.tolist())), lambda x, m: x.cast("double") - m)
     rows = rows.withColumn("vec", out)
