@@ -283,7 +283,8 @@ def shingle_lists(docs: DataFrame, buckets: int, id_col: str, text_col: str, siz
 
 
 def candidate_edges(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): sets that share a shingle of their prefixes, chained by size where sizes allow a partner."""
+    """(a, b): a star over the sets that share a shingle of their prefixes, for each stretch of sizes without a gap
+    that no pair of partners could reach over; its centre is the stretch's smallest key."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -292,22 +293,24 @@ def candidate_edges(lists: DataFrame, percent: int) -> DataFrame:
                 s = np.frombuffer(shared, np.uint64)[: prefix(n, percent) - own].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([key] * len(s), pa.binary()), pa.array(np.full(len(s), n))], ["shingle", "key", "n"])
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         rows = pa.Table.from_batches(held) if held else None
         if rows is None or not rows.num_rows:
             return
         s, n = rows.column("shingle").to_numpy(), rows.column("n").to_numpy()
         names, who = np.unique(np.frombuffer(b"".join(rows.column("key").to_pylist()), ">u8").reshape(-1, 2), axis=0, return_inverse=True)
-        order = np.lexsort((who, n, s))
+        order = np.lexsort((n, s))
         s, n, who = s[order], n[order], who[order]
-        ok = (s[1:] == s[:-1]) & (who[1:] != who[:-1]) & (100 * n[:-1] >= percent * n[1:])
-        if ok.any():
-            pairs = np.unique(np.stack([who[:-1][ok], who[1:][ok]], 1), axis=0)
+        new = np.append(True, (s[1:] != s[:-1]) | (100 * n[:-1] < percent * n[1:]))  # no pair reaches over a gap in size
+        at = np.cumsum(new) - 1
+        centre = np.minimum.reduceat(who, np.flatnonzero(new))[at]
+        if (far := who != centre).any():
+            pairs = np.unique(np.stack([centre[far], who[far]], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in names[pairs[:, k]]], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     spread = lists.select("key", "n", "shared").mapInArrow(first, "shingle long, key binary, n long")
-    return spread.repartition("shingle").mapInArrow(chain, "a binary, b binary").distinct()
+    return spread.repartition("shingle").mapInArrow(stars, "a binary, b binary").distinct()
 
 
 def linked(lists: DataFrame, spaces: DataFrame, percent: int) -> DataFrame:
