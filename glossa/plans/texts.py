@@ -444,7 +444,8 @@ f AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY code, left(t, 30)) AS
 SELECT code, count(*)::BIGINT AS final_sentences, count(DISTINCT doc_id)::BIGINT AS final_articles FROM f GROUP BY code""")
 def pipe1_corpus_cleaning(spark, sf):
     s = sentences(spark, sf).where(text.is_sentence("text")).where(~F.col("text").rlike("[^\\x00-\\x7F][IVXLCDM]|[IVXLCDM][^\\x00-\\x7F]"))
-    s = s.select("doc_id", "pos", "code", text.aggressive_normalise("text").alias("t")).where(F.length("t") <= 500)
+    once = F.explode(F.array(text.aggressive_normalise("text")))  # a filter moved below would normalise every text twice
+    s = s.select("doc_id", "pos", "code", once.alias("t")).where(F.length("t") <= 500)
     first = s.groupBy("code", "t").agg(F.min(F.struct("doc_id", "pos")).alias("x")).select("code", "t", "x.doc_id")
     kept = R.drop_frequent(first, ["code"], F.substring("t", 1, 30))
     return kept.groupBy("code").agg(F.count(F.lit(1)).alias("final_sentences"), F.count_distinct("doc_id").alias("final_articles"))
