@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 #: Entries that a worker's memory of words may hold before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 LONG_UNIT = 64
 
 
@@ -69,19 +70,27 @@ class PieceCodec:
                 self.bytes[int(p.piece[1:-1], 16)] = i
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}  # no merge crosses any other two characters
-        split = not any(SPACE in j[1:] and j[0] != SPACE for j in self.joins)
-        lines = not any("\n" in j for j in self.joins)
-        stop = "\n" if lines else ""
-        self.units = re.compile(f"{stop}|{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+".lstrip("|") if split else "(?s).+").findall
+        self.units = re.compile(self._cutter()).findall
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self.parts = _Memory(self._part)
         self.known = _Memory(self._unit)
-        self.pairs = _Memory(self._compatible, 1_000_000)
+        self.pairs = _Memory(self._compatible)
         self.shorter = _Memory(self._shorter)
 
+    def _cutter(self) -> str:
+        """A pattern that cuts texts only where no merge crosses: before blanks, around line ends, between letters
+        and others, each as far as the pieces allow; a model whose pieces allow none is given whole texts."""
+        letter = re.compile(r"[^\W\d_]").match
+        if any(b == SPACE != a for a, b in self.joins):
+            return "(?s).+"
+        stop = "" if any("\n" in j for j in self.joins) else "\n"
+        mixed = any(SPACE not in j and bool(letter(j[0])) != bool(letter(j[1])) for j in self.joins)
+        rest = f"[^{SPACE}{stop}]+" if mixed else rf"[^\W\d_]+|(?:(?![^\W\d_])[^{SPACE}{stop}])+"
+        return f"(?s){SPACE}*(?:{rest})|{SPACE}+" + ("|\n" if stop else "")
+
     def merged(self, text: str) -> list[str]:
         """The merges themselves, on a short string: best score first, leftmost among equals."""
         parts = list(text)
@@ -182,6 +191,18 @@ class PieceCodec:
         return f"{ids} {self.eos}" if ids else str(self.eos), back[1:] if self.prefix and back[:1] == " " else back
 
 
+_CODECS: dict[bytes, PieceCodec] = {}
+
+
+def codec_of(model: bytes) -> PieceCodec:
+    """This worker's codec of a model: what one task has learned of words serves the next."""
+    digest = hashlib.sha256(model).digest()
+    if digest not in _CODECS:
+        _CODECS.clear()
+        _CODECS[digest] = PieceCodec(model)
+    return _CODECS[digest]
+
+
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): every whole text encoded, with an end id, and decoded.
 
@@ -194,18 +215,20 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model.value)
-        for b in batches:
-            n, hashes, backs, ids_out = [], [], [], []
-            for t in b.column(1):
-                ids, back = codec.coded(t.as_py() or "")
-                n.append(ids.count(" ") + 1)
-                hashes.append(hashlib.sha256(ids.encode()).hexdigest())
-                backs.append(hashlib.sha256(back.encode()).hexdigest())
-                if keep_ids:
-                    ids_out.append([int(x) for x in ids.split()])
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(backs, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(ids_out, pa.list_(pa.int32()))] * keep_ids, names)
+        codec = codec_of(model.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                n, hashes, backs, ids_out = [], [], [], []
+                for t in b.column(1).to_pylist():
+                    ids, back = codec.coded(t or "")
+                    n.append(ids.count(" ") + 1)
+                    hashes.append(hashlib.sha256(ids.encode()).hexdigest())
+                    backs.append(hashlib.sha256(back.encode()).hexdigest())
+                    if keep_ids:
+                        ids_out.append(np.fromstring(ids, np.int32, sep=" "))
+                cols = [b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(backs, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(ids_out, pa.list_(pa.int32()))] * keep_ids, names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
