@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import utf8, word_table
+from glossa.llm.common import stored, utf8, word_table
 
 WORDS = word_table(keep_digits=False)
 #: The fit reads this many labelled documents at most, taken by a hash of their ids, each in full.
@@ -27,9 +27,9 @@ def words(text: bytes) -> list[bytes]:
 
 
 def features(text: bytes) -> set[bytes]:
-    """Distinct words, and their first four and five bytes where a word is longer."""
+    """Distinct words, and their first four to seven bytes where a word is longer."""
     found = set(words(text))
-    return found | {w[:4] + b"-" for w in found if len(w) > 4} | {w[:5] + b"-" for w in found if len(w) > 5}
+    return found.union(*[{w[:n] + b"-" for w in found if len(w) > n} for n in (4, 5, 6, 7)])
 
 
 @dataclass
@@ -44,8 +44,27 @@ class OrdinalModel:
         return [1 / (1 + np.exp(-max(-60.0, min(60.0, score - t)))) for t in self.thresholds]
 
 
-def fit(texts: list[list[bytes]], grades: np.ndarray, n_grades: int = 3, min_docs: int = 4, min_g: float = 10.0, l1: float = 2e-4, l2: float = 1e-4, steps: int = 250, rate: float = 0.25) -> OrdinalModel:
-    """Proximal gradient descent on the mean log-likelihood of the grades; the L1 part keeps the weights sparse.
+def severity(texts: list[list[bytes]], toxic: np.ndarray, n_grades: int = 3, min_docs: int = 4, purity: float = 0.8) -> np.ndarray:
+    """Grades from labels that only say toxic or not: 0 if not; else 1 and more by how many markers a text holds
+    (features of min_docs texts of which a share of `purity` is toxic), in equal parts of the toxic texts."""
+    seen: dict[bytes, list[int]] = {}
+    for ws, bad in zip(texts, toxic.tolist(), strict=True):
+        for w in ws:
+            c = seen.setdefault(w, [0, 0])
+            c[0] += 1
+            c[1] += bad > 0
+    markers = {w for w, (n, bad) in seen.items() if n >= min_docs and bad >= purity * n}
+    held = np.array([sum(w in markers for w in ws) for ws in texts])
+    out = (toxic > 0).astype(np.int64)
+    if out.any():
+        cuts = np.quantile(held[out > 0], np.arange(1, n_grades - 1) / (n_grades - 1))
+        out[out > 0] += np.searchsorted(cuts, held[out > 0], side="left")
+    return out
+
+
+def fit(texts: list[list[bytes]], grades: np.ndarray, n_grades: int = 3, min_docs: int = 4, min_g: float = 15.0, l1: float = 5e-5, l2: float = 1e-4, steps: int = 400) -> OrdinalModel:
+    """Accelerated proximal gradient ascent on the mean log-likelihood of the grades, each weight with a step of its
+    own from a bound on the curvature; the L1 part keeps the weights sparse.
 
     Features of fewer than min_docs texts, or whose log-likelihood ratio against grade 0 is below min_g, are left
     out first. Thresholds are kept in order by their gaps. Grades without any row share the next threshold's estimate.
@@ -78,10 +97,17 @@ def fit(texts: list[list[bytes]], grades: np.ndarray, n_grades: int = 3, min_doc
     rates = np.array([((grades >= g).sum() + 0.5) / (n + 1) for g in range(1, n_grades)])
     first, gaps = -np.log(rates[0] / (1 - rates[0])), np.maximum(0.05, -np.diff(np.log(rates / (1 - rates))))
     above = np.stack([grades >= g for g in range(1, n_grades)], 1) if len(grades) else np.zeros((0, k), bool)
-    sq_w, sq_first, sq_gaps = np.full(d, 1e-8), 1e-8, np.full(k - 1, 1e-8)
+    active = np.bincount(row, minlength=n)[:n] + k + 1 if d else np.full(n, k + 1)
+    step = 1 / (0.5 * np.bincount(col, weights=active[row], minlength=d) / n + l2) if d else np.zeros(0)
+    cut_step = 1 / (0.5 * active.mean())
+    old_w, old_first, old_gaps, t = w, first, gaps, 1.0
     for _ in range(steps):
-        cuts = first + np.concatenate([[0.0], np.cumsum(gaps)])
-        z = np.bincount(row, weights=w[col], minlength=n)[:n] if d else np.zeros(n)
+        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        push = (before - 1) / t
+        at_w, at_first, at_gaps = w + push * (w - old_w), first + push * (first - old_first), np.maximum(0.01, gaps + push * (gaps - old_gaps))
+        old_w, old_first, old_gaps = w, first, gaps
+        cuts = at_first + np.concatenate([[0.0], np.cumsum(at_gaps)])
+        z = np.bincount(row, weights=at_w[col], minlength=n)[:n] if d else np.zeros(n)
         p = 1 / (1 + np.exp(-np.clip(z[:, None] - cuts, -60, 60)))  # P(grade >= g)
         upper = np.concatenate([np.ones((n, 1)), p], 1)
         lower = np.concatenate([p, np.zeros((n, 1))], 1)
@@ -94,45 +120,66 @@ def fit(texts: list[list[bytes]], grades: np.ndarray, n_grades: int = 3, min_doc
         g_cut = np.zeros(k)
         np.add.at(g_cut, np.minimum(at, k) - 1, np.where(at > 0, d_up / mass / n, 0.0))
         np.add.at(g_cut, np.minimum(at, k - 1), np.where(at < k, -d_lo / mass / n, 0.0))
-        g_first, g_gaps = g_cut.sum(), np.cumsum(g_cut[::-1])[::-1][1:]
         if d:
-            g = np.bincount(col, weights=dz[row], minlength=d) + l2 * w
-            sq_w += g * g
-            step = rate / np.sqrt(sq_w)
-            w = w - step * g
-            w = np.sign(w) * np.maximum(0.0, np.abs(w) - np.minimum(step, 200.0) * l1)
-        sq_first += g_first**2
-        first -= rate * g_first / np.sqrt(sq_first)
-        sq_gaps += g_gaps**2
-        gaps = np.maximum(0.01, gaps - rate * g_gaps / np.sqrt(sq_gaps))
+            w = at_w - step * (np.bincount(col, weights=dz[row], minlength=d) + l2 * at_w)
+            w = np.sign(w) * np.maximum(0.0, np.abs(w) - step * l1)
+        first = at_first - cut_step * g_cut.sum()
+        gaps = np.maximum(0.01, at_gaps - cut_step * np.cumsum(g_cut[::-1])[::-1][1:])
     cuts = first + np.concatenate([[0.0], np.cumsum(gaps)])
     names = [x for x, ok in zip(vocabulary, keep, strict=True) if ok]
     return OrdinalModel({x: float(v) for x, v in zip(names, w, strict=True) if v}, [float(c) for c in cuts])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """(words, grade) of a bounded sample: grade 0 not toxic, 1 toxic, 2 toxic and of low quality.
-
-    Rows with a null id or label are left out; of several labels of a document the highest grade counts.
-    """
-    graded = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, F.when(F.col("quality") == 0, 2).otherwise(1)).otherwise(0)).alias("grade"))
+    """(doc_id, words, toxic) of a bounded sample. Rows with a null id or label are left out; of several labels of a
+    document the worst counts."""
+    graded = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     rows = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [b" ".join(sorted(features(t))) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary()), b.column("grade").cast(pa.int32())], ["doc_id", "words", "grade"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary()), b.column("toxic").cast(pa.int32())], ["doc_id", "words", "toxic"])
+
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words binary, toxic int")
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words binary, grade int")
 
+def screened(sample: DataFrame, min_docs: int, min_g: float) -> list[bytes]:
+    """Features of a sample that at least min_docs texts have and that tell toxic from not by min_g or more; counted
+    on the cluster, so that only they come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [w.split() for w in b.column("words").to_pylist()]
+            marks = np.repeat(b.column("toxic").to_numpy(zero_copy_only=False), [len(x) for x in lists])
+            yield pa.RecordBatch.from_arrays([pa.array([w for x in lists for w in x], pa.binary()), pa.array(marks, pa.int32())], ["feature", "toxic"])
 
-def fit_documents(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, **options) -> OrdinalModel:
+    n, bad = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    if not n:
+        return []
+    c, t = F.col("n").cast("double"), F.col("t").cast("double")
+    part = lambda seen, want: F.when(seen > 0, seen * F.log(seen / want)).otherwise(0.0)
+    ratio = 2 * (part(t, c * (bad / n)) + part(c - t, c * (1 - bad / n)))
+    counts = sample.mapInArrow(run, "feature binary, toxic int").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
+    return [bytes(r["feature"]) for r in counts.where((c >= min_docs) & (ratio >= min_g)).select("feature").orderBy("feature").collect()]
+
+
+def fit_documents(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, min_docs: int = 4, min_g: float = 15.0, **options) -> OrdinalModel:
     """Fit on at most max_docs labelled documents (a copied document id counts once); on none, nothing is toxic."""
-    rows = sorted({r["doc_id"]: r for r in training_rows(docs, labels, max_docs).toLocalIterator()}.values(), key=lambda r: str(r["doc_id"]))
+    sample = stored(training_rows(docs, labels, max_docs).dropDuplicates(["doc_id"]), "labelled")
+    kept = docs.sparkSession.sparkContext.broadcast(frozenset(screened(sample, min_docs, min_g)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [b" ".join([w for w in x.split() if w in kept.value]) for x in b.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary()), b.column("toxic")], b.schema.names)
+
+    rows = sample.mapInArrow(run, sample.schema).orderBy("doc_id").collect()  # max_docs rows of few features
     if not rows:
         return OrdinalModel({}, [10.0, 11.0])
-    return fit([bytes(r["words"]).split() for r in rows], np.array([r["grade"] for r in rows]), **options)
+    texts = [bytes(r["words"]).split() for r in rows]
+    return fit(texts, severity(texts, np.array([r["toxic"] for r in rows])), min_docs=min_docs, min_g=min_g, **options)
 
 
 def score_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
