@@ -29,6 +29,8 @@ MIN_BYTES = 200
 GRAM = 16
 #: Bytes of text hashed at a time, sent at a time, and of contents in a suffix array.
 HASH_BYTES, SEND_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20, 1 << 20
+#: An anchor with more contents than this is not given a suffix array.
+GROUP_BYTES = 4 << 20
 RUN = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("k0", "<u8"), ("k1", "<u8"), ("start", "<u4"), ("n", "<u2"), ("twice", "?")])
 NEED = np.dtype([("anchor", "<u8"), ("start", "<u4"), ("n", "<u2"), ("whole", "?")])
 FULL = np.dtype([("start", "<u4"), ("end", "<u4")])
@@ -89,9 +91,28 @@ def grouped(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return runs, first, np.bincount(which, weights=1 + runs["twice"]), which
 
 
-def repeated_spans(contents: list[bytes], min_len: int, hasher: RollingHash) -> list[list[tuple[int, int]]]:
-    """Spans of each content that repeats cover. One block is one suffix array."""
-    return EnhancedSuffixArray(contents, min_len, hasher).covered()
+def repeated_spans(contents: list[bytes], min_len: int, hashers: list[RollingHash]) -> list[list[tuple[int, int]]]:
+    """Spans of each content that repeats cover. One block is one suffix array; a single anchor's contents beyond
+    GROUP_BYTES would make too large a one, and there the windows' 128-bit hashes are compared instead."""
+    if sum(map(len, contents)) <= GROUP_BYTES:
+        return EnhancedSuffixArray(contents, min_len, hashers[0]).covered()
+    keys, owner, start = [], [], []
+    for i, c in enumerate(contents):
+        data, at = np.frombuffer(c, np.uint8), np.arange(len(c) - min_len + 1)
+        keys.append(np.stack([h.of(h.sums(data), at, at + min_len) for h in hashers], 1))
+        owner.append(np.full(len(at), i, np.int32))
+        start.append(at.astype(np.int32))
+    keys, owner, start = np.concatenate(keys), np.concatenate(owner), np.concatenate(start)
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    same = np.append(False, (keys[order[1:]] == keys[order[:-1]]).all(1))
+    again = np.sort(order[same | np.append(same[1:], False)])
+    out: list[list[tuple[int, int]]] = [[] for _ in contents]
+    for i, a in zip(owner[again].tolist(), start[again].tolist(), strict=True):
+        if out[i] and a <= out[i][-1][1]:
+            out[i][-1] = (out[i][-1][0], a + min_len)
+        else:
+            out[i].append((a, a + min_len))
+    return out
 
 
 def removal(texts: DataFrame, min_len: int) -> DataFrame:
@@ -189,12 +210,16 @@ def removal(texts: DataFrame, min_len: int) -> DataFrame:
                 yield table(rows, types[:2], ["bucket", "contents"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = RollingHash()
+        hashers = [RollingHash(1), RollingHash(2)]
         held = sorted((c for b in batches for blob in b.column(1).to_pylist() for c in pickle.loads(blob)), key=lambda c: c[0])
 
+        ahead: dict[int, int] = {}
+        for c in held:
+            ahead[c[0]] = ahead.get(c[0], 0) + len(c[4])
+
         def block(part: list) -> Iterator[pa.RecordBatch]:
             rows = []
-            for (_, key, start, whole, _), spans in zip(part, repeated_spans([c[4] for c in part], min_len, hasher), strict=True):
+            for (_, key, start, whole, _), spans in zip(part, repeated_spans([c[4] for c in part], min_len, hashers), strict=True):
                 if spans and not whole:
                     out = np.array([(start + a, start + b) for a, b in spans], FULL)
                     rows.append((key, out.tobytes()))
@@ -203,7 +228,7 @@ def removal(texts: DataFrame, min_len: int) -> DataFrame:
 
         at, size = 0, 0
         for i, c in enumerate(held):
-            if size >= BLOCK_BYTES and c[0] != held[i - 1][0]:
+            if c[0] != held[i - 1][0] and size + ahead[c[0]] > BLOCK_BYTES and i > at:
                 yield from block(held[at:i])
                 at, size = i, 0
             size += len(c[4])
@@ -213,7 +238,7 @@ def removal(texts: DataFrame, min_len: int) -> DataFrame:
     runs = texts.mapInArrow(runs_of, wire).repartition("bucket")
     judged = runs.mapInArrow(judge, "key binary, full binary, need binary").groupBy("key").agg(F.collect_list("full").alias("fulls"), F.collect_list("need").alias("needs"))
     asked = texts.select("key", "text").join(judged.where("size(needs) > 0").select("key", "needs"), "key")
-    covers = asked.select("key", "text", "needs").mapInArrow(contents, "bucket int, contents binary").repartition("bucket").mapInArrow(search, "key binary, full binary").groupBy("key").agg(F.collect_list("full").alias("more"))
+    covers = asked.select("key", "text", "needs").mapInArrow(contents, "bucket int, contents binary").repartition(buckets // 4, "bucket").mapInArrow(search, "key binary, full binary").groupBy("key").agg(F.collect_list("full").alias("more"))
     empty = F.expr("cast(array() as array<binary>)")
     return texts.join(judged.select("key", "fulls"), "key", "left").join(covers, "key", "left").select("key", "text", "copies", F.concat(F.coalesce("fulls", empty), F.coalesce("more", empty)).alias("spans"))
 
