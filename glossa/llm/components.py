@@ -2,21 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import stored
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Distinct edges that one task joins by itself (some 100 MB); beyond that, rounds over the cluster.
+SMALL_EDGES = 300_000
+
+
+def joined_here(edges: DataFrame) -> DataFrame:
+    """(node, root) of a small edge table by union-find in one task."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        for b in batches:
+            for a, c in zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True):
+                a, c = root(a), root(c)
+                if a != c:
+                    up[max(a, c)] = min(a, c)
+            like = b.schema.field(0).type
+        if up:
+            yield pa.RecordBatch.from_arrays([pa.array(list(up), like), pa.array([root(x) for x in list(up)], like)], ["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+
+
+def components(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the component's smallest node.
 
     Each round hangs neighbours on the smallest one they know: only minima per node are aggregated, never lists of
-    neighbours, so a node with very many of them does no harm. Every round is written to the shared folder.
+    neighbours, so a node with very many of them does no harm. Every round is written to the shared folder. Tables
+    of at most `small` edges are not worth the rounds.
     """
     tell = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     known = tell(now)
+    if known[0] <= small:
+        return joined_here(now)
     while known[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
