@@ -82,11 +82,12 @@ class Space:
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, percent: int = PERCENT):
         self.sizes, self.percent = sizes.astype(np.int64), percent
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        self.entries = ids.astype(np.int64)
-        self.ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        self.width = int(ids.max()) + 1 if len(ids) else 1
+        n = [len(x) for x in sets]
+        self.entries, self.ends = ids, np.concatenate([[0], np.cumsum(n)])
+        order = np.argsort(ids, kind="stable")
+        self.holders = np.repeat(np.arange(len(sets)), n)[order]  # the sets of each shingle, shingle by shingle
+        self.first = np.searchsorted(ids[order], np.arange(int(ids.max()) + 2 if len(ids) else 1))
         self.parent = list(range(len(sets)))
-        self.links = np.zeros(len(sets), np.int64)
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -94,17 +95,16 @@ class Space:
             i = self.parent[i]
         return i
 
-    def shared(self, p: int, members: np.ndarray) -> np.ndarray:
-        """Intersection sizes of set p with the members."""
-        mark = np.zeros(self.width, bool)
-        mark[self.entries[self.ends[p] : self.ends[p + 1]]] = True
-        n = self.ends[members + 1] - self.ends[members]
-        at = np.repeat(self.ends[members] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(np.repeat(np.arange(len(members)), n), weights=mark[self.entries[at]], minlength=len(members)).astype(np.int64)
+    def shared(self, p: int) -> np.ndarray:
+        """Intersection sizes of set p with all sets, from the holders of its shingles."""
+        mine = self.entries[self.ends[p] : self.ends[p + 1]]
+        n = self.first[mine + 1] - self.first[mine]
+        at = np.repeat(self.first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.holders[at], minlength=len(self.parent))
 
     def visit(self, p: int, members: np.ndarray) -> np.ndarray:
         """Jaccard distances from p to the members; links those near enough."""
-        both = self.shared(p, members)
+        both = self.shared(p)[members]
         union = self.sizes[p] + self.sizes[members] - both
         for j in members[(100 * both >= self.percent * union) & (members != p)].tolist():
             a, b = self.root(p), self.root(j)
@@ -116,13 +116,11 @@ class Space:
         return len({self.root(i) for i in members.tolist()}) > 1
 
     def pairs(self, members: np.ndarray) -> None:
-        """Every pair not known to be connected, one set against the rest at a time."""
-        for k, p in enumerate(members.tolist()[:-1]):
-            rest = members[k + 1 :]
-            mine = self.root(p)
-            rest = rest[[self.root(j) != mine for j in rest.tolist()]]
-            if len(rest):
-                self.visit(p, rest)
+        """Every pair not known to be connected: each set outside the largest component against all others."""
+        roots = np.array([self.root(i) for i in members.tolist()])
+        names, sizes = np.unique(roots, return_counts=True)
+        for p in members[roots != names[sizes.argmax()]].tolist():
+            self.visit(p, members)
 
     def join(self, members: np.ndarray) -> None:
         """Connect all members that are linked, in whatever way, by links between members.
@@ -151,14 +149,11 @@ class Space:
             d = np.stack(distances)
             own, best = d.argmin(0), d.min(0)
             eps = 1 - self.percent / 100
-            for j in range(len(d)):
-                region = members[(own == j) | (d[j] <= best + 2 * eps + 1e-9)]
-                if (own == j).any():
-                    if len(region) < len(members):
-                        todo.append(region)
-                    else:
-                        self.pairs(members)
-                        break
+            regions = [members[(own == j) | (d[j] <= best + 2 * eps + 1e-9)] for j in range(len(d)) if (own == j).any()]
+            if sum(map(len, regions)) > 2 * len(members) or max(map(len, regions)) > 0.75 * len(members):  # windows reach everywhere
+                self.pairs(members)
+            else:
+                todo += regions
 
 
 def connect(sets: list[np.ndarray], sizes: np.ndarray, percent: int = PERCENT) -> list[int]:
