@@ -144,8 +144,8 @@ def removal(texts: DataFrame, min_len: int) -> DataFrame:
             once = runs[first]
             once["twice"] = often > 1
             to = (once["anchor"] >> shift).astype(np.int64)
-            cuts = np.searchsorted(to, np.arange(buckets + 1))
-            rows = [(b, once[x:y].tobytes(), None, None) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
+            rows = [(int(to[x]), once[x:y].tobytes(), None, None) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if y > x]
             rows += [(k[0] % buckets, None, k, full(r, min_len)) for k, r in by_key(again)]
             if rows:
                 yield table(rows)

@@ -76,3 +76,16 @@ def test_edges(table, texts):
 def test_extra_columns_and_null_ids(spark):
     df = spark.createDataFrame([(None, "w" * 300, 1, "k"), (3, "w" * 300, 2, "k")], "doc_id long, text string, copies int, key string")
     assert [r["n_removed"] for r in D.deduplicated(df).collect()] == [300, 300]
+
+
+@pytest.mark.parametrize("partitions", [3, 5, 200])
+def test_every_anchor_is_judged_whatever_the_partitions(spark, table, partitions):
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts = [word(r.randrange(1, 9)) + p + word(r.randrange(1, 9)) for p in [word(20) for _ in range(400)] for _ in range(2)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        check(table, texts, 18)  # three hashes a window: anchors are spread over all values
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
