@@ -228,7 +228,7 @@ def mt3_sufficient_statistics(spark, sf):
 
 @query()
 def mt4_greedy_match(spark, sf):
-    t = _translations(spark, sf).where("source = 0")
+    t = _translations(spark, sf)
     tokens = lambda c: EM.encode(t.select("id", F.posexplode(text.letter_tokens(c)).alias("pos", "w")), ["id", "pos"], "w", EM.HashingEncoder)
     return MT.greedy_match(tokens("pred"), tokens("ref"), ["id"]).select("id", *[F.round(c, 5).alias(c) for c in ("precision", "recall", "f1")])
 
