@@ -1,9 +1,10 @@
 """Personal data by pattern, and terms that give it away by information-theoretic sanitisation; DataFrame operations only.
 
-Corpus statistics are taken over all distinct lines of all documents (a copied line is no new evidence). For an
-entity c (an address, a number) and a term t, PMI(c, t) = log p(c, t) / p(c) p(t) is what t tells about c, and
-IC(c) = -log p(c) is all there is to tell. A term whose share PMI / IC exceeds the disclosure threshold, on enough
-lines, reveals the entity: it is generalised wherever it stands in a line with it.
+Corpus statistics are taken twice: over all distinct lines of all documents (a copied line is no new evidence) and
+over all distinct documents (a line that different documents share is; a copied document is not). For an entity c (an
+address, a number) and a term t, PMI(c, t) = log p(c, t) / p(c) p(t) is what t tells about c, and IC(c) = -log p(c) is
+all there is to tell. A term whose share PMI / IC exceeds the disclosure threshold in either count, on enough lines or
+documents, reveals the entity: it is generalised throughout every document that holds the entity.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import stored, text_key
-from glossa.llm.spans import SPAN, count, in_order, joined, starts, with_spans
+from glossa.llm.spans import SPAN, count, in_order, joined, with_spans
 
-#: Share of an entity's information that a term may give, and the lines that must hold both at least.
+#: Share of an entity's information that a term may give, and the lines (or documents) that must hold both at least.
 DISCLOSURE = 0.8
 MIN_LINES = 3
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -59,21 +60,44 @@ def terms_of(line: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0)), lambda w: (F.length(w) >= 4) & w.rlike(r"\p{L}")))
 
 
-def disclosing_terms(lines: DataFrame, disclosure: float = DISCLOSURE, min_lines: int = MIN_LINES) -> DataFrame:
-    """(entity, term) over a table of distinct lines. Entities on fewer than min_lines have no terms to test."""
-    n = lines.count()
-    marked = with_base(lines.where(F.col("line").rlike("[@0-9]")), "line").where("size(base) > 0")
-    bearing = marked.select("line", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
-    entities = bearing.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= min_lines)
-    pairs = bearing.join(entities, "entity").select("entity", "n_c", F.explode(terms_of(F.col("line"))).alias("term"))
+def telling(pairs: DataFrame, words: DataFrame, n: int, disclosure: float, min_lines: int) -> DataFrame:
+    """(entity, term) from a row (entity, n_c, term) per context that holds both and a row (term) per context and term,
+    over n contexts."""
     both = pairs.groupBy("entity", "n_c", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= min_lines)
     wanted = both.select("term").distinct()
-    words = lines.select(F.explode(terms_of(F.col("line"))).alias("term"))
     often = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= min_lines).join(wanted, "term")
     told = F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_c"))
     return both.join(often, "term").where((F.col("n_c") < n) & (told >= disclosure)).select("entity", "term")
 
 
+def tested(bearing: DataFrame, min_lines: int) -> DataFrame:
+    """(entity, n_c): entities on fewer than min_lines contexts have no terms to test."""
+    return bearing.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= min_lines)
+
+
+def disclosing_terms(lines: DataFrame, disclosure: float = DISCLOSURE, min_lines: int = MIN_LINES) -> DataFrame:
+    """(entity, term) over a table of distinct lines."""
+    marked = with_base(lines.where(F.col("line").rlike("[@0-9]")), "line").where("size(base) > 0")
+    bearing = marked.select("line", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
+    pairs = bearing.join(tested(bearing, min_lines), "entity").select("entity", "n_c", F.explode(terms_of(F.col("line"))).alias("term"))
+    words = lines.select(F.explode(terms_of(F.col("line"))).alias("term"))
+    return telling(pairs, words, lines.count(), disclosure, min_lines)
+
+
+def disclosing_in_documents(docs: DataFrame, keys: DataFrame, bearing: DataFrame, units: DataFrame, disclosure: float, min_lines: int, text_col: str) -> DataFrame:
+    """(entity, term) over distinct texts; keys: (key) of every row, bearing: (key, entity), units: (key, text) of the
+    texts with entities. Only texts that have copies cross the network to be counted once."""
+    copied = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "copied")
+    texts = docs.where(F.length(F.trim(text_col)) > 0).select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    n = texts.select("key").distinct().count()
+    once = texts.join(copied, "key", "left_anti").select("text")
+    again = texts.join(copied, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("text")
+    words = once.union(again).select(F.explode(terms_of(F.col("text"))).alias("term"))
+    held = bearing.join(tested(bearing, min_lines), "entity").groupBy("key").agg(F.collect_list(F.struct("entity", "n_c")).alias("held"))
+    each = units.join(held, "key").select("held", F.explode(terms_of(F.col("text"))).alias("term"))
+    return telling(each.select("term", F.explode("held").alias("x")).select("x.entity", "x.n_c", "term"), words, n, disclosure, min_lines)
+
+
 def detected(docs: DataFrame, disclosure: float = DISCLOSURE, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, base, spans): spans of the four kinds, and of all with disclosing terms, in order.
 
@@ -81,22 +105,17 @@ def detected(docs: DataFrame, disclosure: float = DISCLOSURE, min_lines: int = M
     empty table gives an empty result; other columns are ignored.
     """
     df = with_base(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", text_key("text")))
-    parts = F.split("text", "\n")
-    at = starts(F.concat(F.array(F.lit(0)), F.transform(parts, lambda _: F.lit(1))), parts)
-    rows = F.zip_with(at, parts, lambda a, p: F.struct(a.alias("at"), p.alias("line")))
-    holds = lambda x: F.exists("base", lambda b: (b["start"] >= x["at"]) & (b["start"] <= x["at"] + F.length(x["line"])))
-    df = df.withColumn("lines", F.when(F.size("base") > 0, rows))
-    table = stored(df.select("doc_id", "key", "base", F.filter("lines", holds).alias("lines")), "pii")
+    table = stored(df.select("doc_id", "key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii")
+    units = table.where("text IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"))
+    bearing = table.where("text IS NOT NULL").select("key", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).distinct()
     lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line")).where(F.length(F.trim("line")) > 0).groupBy("line").agg(F.lit(1).alias("one")).select("line")
-    telling = stored(disclosing_terms(stored(lines, "lines"), disclosure, min_lines), "terms")
-    units = table.where("size(lines) > 0").select("key", F.explode("lines").alias("x")).select("key", "x.at", "x.line").distinct()
-    named = with_base(units, "line").select("key", "at", "line", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
-    known = named.join(telling, "entity").groupBy("key", "at", "line").agg(F.collect_set("term").alias("terms"))
-    placed = with_spans(known, "line", "words", "term", WORD).select("key", "at", F.filter("words", lambda w: F.array_contains("terms", F.lower(w["text"]))).alias("words"))
-    moved = F.transform("words", lambda w: F.struct(w["kind"].alias("kind"), (w["start"] + F.col("at")).alias("start"), (w["end"] + F.col("at")).alias("end"), w["text"].alias("text")))
-    extra = placed.select("key", moved.alias("words")).groupBy("key").agg(F.flatten(F.collect_list("words")).alias("extra"))
+    on_lines = disclosing_terms(stored(lines, "lines"), disclosure, min_lines)
+    told = stored(on_lines.union(disclosing_in_documents(docs, table.select("key"), bearing, units, disclosure, min_lines, text_col)).distinct(), "terms")
+    known = units.join(bearing.join(told, "entity").groupBy("key").agg(F.collect_set("term").alias("terms")), "key")
+    placed = with_spans(known, "text", "words", "term", WORD)
+    extra = placed.select("key", F.filter("words", lambda w: F.array_contains("terms", F.lower(w["text"]))).alias("extra"))
     clear = F.filter("extra", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    every = table.join(extra, "key", "left").withColumn("all", F.concat("base", F.coalesce(clear, F.expr(f"cast(array() as {SPAN})"))))
+    every = table.drop("text").join(extra, "key", "left").withColumn("all", F.concat("base", F.coalesce(clear, F.expr(f"cast(array() as {SPAN})"))))
     return every.select("doc_id", "key", in_order(F.col("base"), KINDS).alias("base"), in_order(F.col("all"), KINDS).alias("spans"))
 
 

@@ -84,3 +84,15 @@ def test_clashing_columns_and_empty(spark, table):
     assert P.sanitised(df).columns == df.columns and P.sanitised(df).first()["text"] == "mail [EMAIL]"
     assert S.scan(df).count() == 1 and S.scan(table([])).count() == 0 and P.sanitised(table([])).count() == 0
     assert P.detected(df.withColumn("text", F.lit(None).cast("string"))).first()["spans"] == []
+
+
+def test_terms_are_learned_and_marked_throughout_documents(table):
+    t = [f"filler{i} common words here\nanother line {i}" for i in range(40)]
+    t += [f"Regards {i}\nUmbrella\nboss@umbrella.example\n\nlater {i}: umbrella again" for i in range(4)]  # a signature
+    t += [f"story {i} of things\nwritten for Initech by a@initech.example" for i in range(5)]  # one line, many documents
+    t += ["\n".join(f"Hooli said {k} to me@hooli.example" for k in range(3)) + "\nand hooli left"]  # lines of one document
+    got = {r["doc_id"]: [t[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"] for r in P.detected(table(t)).collect()}
+    assert all(got[i].count("Umbrella") == 1 and got[i].count("umbrella") == 1 for i in range(40, 44))
+    assert all("Initech" in got[i] for i in range(44, 49))
+    assert got[49].count("Hooli") == 3 and got[49].count("hooli") == 1
+    assert not any(got[i] for i in range(40))
