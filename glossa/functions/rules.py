@@ -191,15 +191,56 @@ FAMILIES = ["italo_romance", "italian", "romance", "germanic", "english", "slavi
 # Historical contacts of each dialect.
 CONTACTS = {"fur": ["deu", "slv", "hrv"], "lij": ["oci", "spa", "fra"], "lmo": ["deu", "oci", "spa"], "sc": ["spa", "cat", "fra"], "scn": ["spa", "fra", "cat"], "vec": ["hrv", "slv", "deu"]}
 
-# Spelling to sound classes, by group of varieties, in the order of application; then single letters.
-_ITALIAN = "gn:N gli:L ggh:g ɖɖ:d dd:d cch:k ch:k gh:g sce:Se sci:Si sc:sk sch:sk zz:z qu:kw c:k"
+# Spelling to sound classes, by variety, in the order of application.
+ITALIAN_SOUNDS = [
+    ("gn", "N"), ("gli", "L"), ("ggh", "g"), ("ɖɖ", "d"), ("dd", "d"), ("cch", "k"), ("ch", "k"), ("gh", "g"),
+    ("sce", "Se"), ("sci", "Si"), ("sc", "sk"), ("sch", "sk"), ("zz", "z"), ("qu", "kw"), ("c", "k"),
+]
 SOUNDS = {
-    "ita": _ITALIAN, "fur": _ITALIAN, "lij": _ITALIAN, "lmo": _ITALIAN, "sc": _ITALIAN, "scn": _ITALIAN, "vec": _ITALIAN,
-    "fra": "ch:S eau:o au:o ou:u oi:wa ai:E ei:E eu:o on:o an:a en:a in:E un:o ill:j gn:N gu:g qu:k",
-    "spa": "ch:c ll:j rr:r qu:k",
-    "cat": "ny:N ll:L ix:S ig:c ç:s",
-    "slv": "nj:N lj:L dž:Z",
-    "deu": "sch:S ch:x ck:k ng:N pf:f ie:i ei:aj eu:oj au:aw v:f z:ts ä:E ö:o ü:u",
-    "eng": "th:t sh:S ch:c ph:f ck:k ee:i oo:u ea:i ou:aw ai:ej ay:ej",
-}
-SOUND_LETTERS = ("àáâãäèéêëìíîïòóôõöùúûüyñçßœæøðþčšžłńźśćŋɖʃʎɲʔʁ", "aaaaaEeeeiiiiooooouuuuinSsoEodtcSZlnZScNdSLN7r")
+    "ita": ITALIAN_SOUNDS,
+    "fur": ITALIAN_SOUNDS,
+    "lij": ITALIAN_SOUNDS,
+    "lmo": ITALIAN_SOUNDS,
+    "sc": ITALIAN_SOUNDS,
+    "scn": ITALIAN_SOUNDS,
+    "vec": ITALIAN_SOUNDS,
+    "fra": [
+        ("ch", "S"), ("eau", "o"), ("au", "o"), ("ou", "u"), ("oi", "wa"), ("ai", "E"), ("ei", "E"), ("eu", "o"), ("on", "o"),
+        ("an", "a"), ("en", "a"), ("in", "E"), ("un", "o"), ("ill", "j"), ("gn", "N"), ("gu", "g"), ("qu", "k"),
+    ],
+    "spa": [("ch", "c"), ("ll", "j"), ("rr", "r"), ("qu", "k")],
+    "cat": [("ny", "N"), ("ll", "L"), ("ix", "S"), ("ig", "c"), ("ç", "s")],
+    "deu": [
+        ("sch", "S"), ("ch", "x"), ("ck", "k"), ("ng", "N"), ("pf", "f"), ("ie", "i"), ("ei", "aj"), ("eu", "oj"), ("au", "aw"),
+        ("v", "f"), ("z", "ts"), ("ä", "E"), ("ö", "o"), ("ü", "u"),
+    ],
+    "slv": [("nj", "N"), ("lj", "L"), ("dž", "Z")],
+    "eng": [
+        ("th", "t"), ("sh", "S"), ("ch", "c"), ("ph", "f"), ("ck", "k"), ("ee", "i"), ("oo", "u"), ("ea", "i"), ("ou", "aw"),
+        ("ai", "ej"), ("ay", "ej"),
+    ],
+}
+
+# Single letters to sound classes, after the above.
+SOUND_LETTERS = {
+    "à": "a", "á": "a", "â": "a", "ã": "a", "ä": "a",
+    "è": "E", "é": "e", "ê": "e", "ë": "e",
+    "ì": "i", "í": "i", "î": "i", "ï": "i",
+    "ò": "o", "ó": "o", "ô": "o", "õ": "o", "ö": "o",
+    "ù": "u", "ú": "u", "û": "u", "ü": "u",
+    "y": "i", "ñ": "n", "ç": "S", "ß": "s", "œ": "o", "æ": "E", "ø": "o", "ð": "d", "þ": "t",
+    "č": "c", "š": "S", "ž": "Z", "ł": "l", "ń": "n", "ź": "Z", "ś": "S", "ć": "c",
+    "ŋ": "N", "ɖ": "d", "ʃ": "S", "ʎ": "L", "ɲ": "N", "ʔ": "7", "ʁ": "r",
+}
+
+# Ranges of code points that a character vocabulary covers, in its order.
+CODE_POINTS = [
+    (0x20, 0x7F),
+    (0x80, 0xFF),
+    (0x100, 0x17F),
+    (0x180, 0x24F),
+    (0x250, 0x2AF),
+    (0x300, 0x36F),
+    (0x2000, 0x206F),
+    (0x20A0, 0x20CF),
+]

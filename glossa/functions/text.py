@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from glossa.functions import rules
 
-ROMAN = r"(?U)\b[IVXLCDM]{2,}\b"
+#: Upper-case Roman numerals that stand alone: no letter, digit or underscore of any script beside them.
+ROMAN = r"(?<![\p{L}\p{N}_])[IVXLCDM]{2,}(?![\p{L}\p{N}_])"
 SPACES = r"(?U)\s+"
 
 
@@ -24,12 +28,15 @@ def collapsed(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(col(c), SPACES, " "))
 
 
+@F.pandas_udf(StringType())
+def _unescaped(c: pd.Series) -> pd.Series:
+    return c.map(html.unescape, na_action="ignore")
+
+
 def unescaped(c: str | Column) -> Column:
-    """The common HTML entities decoded, the ampersand last."""
-    out = col(c)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """All HTML entities decoded, named and numeric; only texts that hold an ampersand go through Python."""
+    c = col(c)
+    return F.coalesce(_unescaped(F.when(F.contains(c, F.lit("&")), c)), c)
 
 
 def clean_article(c: str | Column, min_len: int = 50) -> Column:
@@ -60,14 +67,17 @@ def without_diacritics(c: str | Column) -> Column:
     return F.translate(col(c), FOLD_FROM, FOLD_TO)
 
 
+ONE_FOR_ONE = {a: b for a, b in rules.LETTERS.items() if len(b) == 1}
+SPELLED_OUT = {a: b for a, b in rules.LETTERS.items() if len(b) > 1 and a == a.lower()}
+
+
 def aggressive_normalise(c: str | Column) -> Column:
     """a-z and single blanks only: special letters spelled out, upper-case Roman numerals and digits out, marks off."""
-    out = col(c)
-    for a, b in rules.LETTERS.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
+    out = F.translate(F.replace(col(c), F.lit("ß"), F.lit("ss")), "".join(ONE_FOR_ONE), "".join(ONE_FOR_ONE.values()))
     out = F.lower(F.regexp_replace(out, ROMAN, " "))
-    out = without_diacritics(out)
-    return collapsed(F.regexp_replace(out, r"[^a-z\s]", " "))
+    for a, b in SPELLED_OUT.items():
+        out = F.replace(out, F.lit(a), F.lit(b)) if a != "ß" else out
+    return collapsed(F.regexp_replace(without_diacritics(out), r"[^a-z\s]", " "))
 
 
 def is_sentence(c: str | Column, min_len: int = 30) -> Column:
@@ -161,13 +171,12 @@ def sound_classes(word: str | Column, code: str | Column) -> Column:
     code = col(code)
     base = F.replace(F.regexp_replace(F.lower(F.trim(col(word))), r"(?U)[^\w\s]", ""), F.lit(" "), F.lit(""))
     out = base
-    for table in dict.fromkeys(rules.SOUNDS.values()):
+    for rows in dict.fromkeys(map(tuple, rules.SOUNDS.values())):
         one = base
-        for rule in table.split():
-            a, b = rule.split(":")
+        for a, b in rows:
             one = F.replace(one, F.lit(a), F.lit(b))
-        out = F.when(code.isin([k for k, v in rules.SOUNDS.items() if v == table]), one).otherwise(out)
-    return without_diacritics(F.translate(out, *rules.SOUND_LETTERS))
+        out = F.when(code.isin([k for k, v in rules.SOUNDS.items() if tuple(v) == rows]), one).otherwise(out)
+    return without_diacritics(F.translate(out, "".join(rules.SOUND_LETTERS), "".join(rules.SOUND_LETTERS.values())))
 
 
 def edit_distance(a: str | Column, b: str | Column) -> Column:
@@ -194,7 +203,7 @@ def masculine_feminine(cell: str | Column) -> Column:
     return F.struct(m.alias("m"), F.coalesce(of("f"), second, m).alias("f"))
 
 
-def codepoint_index(c: str | Column, ranges: list[tuple[int, int]]) -> Column:
+def codepoint_index(c: str | Column, ranges: list[tuple[int, int]] = rules.CODE_POINTS) -> Column:
     """Characters as vocabulary numbers: 0 pads, 1 is unknown, then the ranges one after another."""
     chars = F.filter(F.split(col(c), ""), lambda x: x != "")
 

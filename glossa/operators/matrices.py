@@ -18,14 +18,25 @@ from glossa.functions import vectors as V
 MAX_ROWS = 2000
 
 
+def rows_of(df: DataFrame, key: str, value: str, most: int = MAX_ROWS) -> dict:
+    """{key: value} of a table with a row for each group; refuses more than `most` rows."""
+    rows = df.select(key, value).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} groups")
+    return {r[0]: r[1] for r in rows}
+
+
 def square(m: DataFrame) -> tuple[list, np.ndarray]:
-    """Codes and matrix of a long table (a, b, d); refuses more than MAX_ROWS codes."""
+    """Codes and matrix of a long table (a, b, d); refuses more than MAX_ROWS codes or more than one row a cell."""
     codes = [r[0] for r in m.select("a").distinct().orderBy("a").limit(MAX_ROWS + 1).collect()]
     if len(codes) > MAX_ROWS:
         raise ValueError(f"more than {MAX_ROWS} groups")
     at = {c: i for i, c in enumerate(codes)}
     out = np.zeros((len(codes), len(codes)))
-    for r in m.collect():
+    rows = m.select("a", "b", "d").limit(len(codes) ** 2 + 1).collect()
+    if len(rows) > len(codes) ** 2:
+        raise ValueError("more than one row for a pair of groups")
+    for r in rows:
         out[at[r["a"]], at[r["b"]]] = r["d"]
     return codes, out
 

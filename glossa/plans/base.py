@@ -23,6 +23,18 @@ def sentences(spark, sf: str) -> DataFrame:
 SENTENCES = "s AS (SELECT doc_id, lang AS code, source, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM documents)"
 
 
+#: In SQL, what a letter, digit or underscore of any script is not, and white space of any script.
+NO_WORD, BLANK = r"[^\p{L}\p{N}_]", r"[\t-\r \x{85}\p{Z}]"
+
+
+def roman(text: str, instead: str) -> str:
+    """SQL: upper-case Roman numerals that stand alone replaced. A match takes the characters beside it along, so
+    every second of several in a row is left to the second pass."""
+    for _ in range(2):
+        text = f"regexp_replace({text}, '(^|{NO_WORD})[IVXLCDM]{{2,}}($|{NO_WORD})', '\\1{instead}\\2', 'g')"
+    return text
+
+
 def family(c: Column) -> Column:
     return F.concat(F.lit("f"), (c % 4).cast("string"))
 

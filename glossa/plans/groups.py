@@ -303,7 +303,7 @@ def st9_mantel_pearson(spark, sf):
 
 @query()
 def st11_procrustes(spark, sf):
-    c = {r["code"]: r["vec"] for r in group_vectors(spark, sf).limit(M.MAX_ROWS).collect()}
+    c = M.rows_of(group_vectors(spark, sf), "code", "vec")
     x = np.array([c[k] for k in sorted(c)])
     return spark.createDataFrame([(round(M.procrustes(x[:, :32], x[:, 32:]), 6),)], "disparity double")
 

@@ -33,9 +33,9 @@ def jn8_block_product(spark, sf):
     return m.select(F.col("a").alias("dialect"), F.col("b").alias("reference"), rounded(1 - F.col("d")).alias("similarity"))
 
 
-@query("SELECT a.lang AS target, a.source AS source_a, b.source AS source_b FROM (SELECT DISTINCT lang, source FROM documents WHERE source < 'src2') a JOIN (SELECT DISTINCT lang, source FROM documents WHERE source < 'src2') b ON a.lang = b.lang AND a.source < b.source")
+@query("SELECT a.lang AS target, a.source AS source_a, b.source AS source_b FROM (SELECT DISTINCT lang, source FROM documents) a JOIN (SELECT DISTINCT lang, source FROM documents) b ON a.lang = b.lang AND a.source < b.source")
 def jn9_source_pairs(spark, sf):
-    s = table(spark, sf, "documents").where("source < 'src2'").select(F.col("lang").alias("target"), "source").distinct()
+    s = table(spark, sf, "documents").select(F.col("lang").alias("target"), "source").distinct()
     x, y = s.withColumnRenamed("source", "source_a"), s.withColumnRenamed("source", "source_b")
     return x.join(y, "target").where("source_a < source_b")
 

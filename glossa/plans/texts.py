@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import rules, text
 from glossa.operators import relational as R
-from glossa.plans.base import FAM, H32, ROLE, SENTENCES, family, role, sentences, table
+from glossa.plans.base import BLANK, FAM, H32, ROLE, SENTENCES, family, role, roman, sentences, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -113,7 +113,7 @@ def snk10_stats_with_total(spark, sf):
 
 
 ARTICLE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-  replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+  regexp_replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'),
   '=+\s*[^=]+\s*=+', ' ', 'g'), '<comment>.*?</comment>|<revision>|<minor\s*/>|<ns[^>]*>[^<]*</ns>', ' ', 'g'), '</math>|</poem>|</small>|<references>|</html>|</table>|<\?php|#redirect', ' ', 'gi'), '<|br>', ' ', 'g'), '\s+', ' ', 'g'))"""
 
 
@@ -123,13 +123,18 @@ def txt1_clean_article(spark, sf):
     return p.select("page_id", F.md5("t").alias("article"), F.length("t").cast("long").alias("n_chars"))
 
 
-NORMAL = r"""trim(regexp_replace(regexp_replace(strip_accents(lower(regexp_replace(replace(replace(replace(replace(replace(text, 'ß', 'ss'), 'ł', 'l'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o'), '\b[IVXLCDM]{2,}\b', ' ', 'g'))), '[^a-z\s]', ' ', 'g'), '\s+', ' ', 'g'))"""
+def _letters(c: str) -> str:
+    for a, b in rules.LETTERS.items():
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
 
 
-@query(f"WITH {SENTENCES} SELECT doc_id, pos::BIGINT AS pos, md5({NORMAL}) AS t FROM s WHERE NOT regexp_matches(text, '[^\\x00-\\x7F][IVXLCDM]|[IVXLCDM][^\\x00-\\x7F]')")
+NORMAL = f"trim(regexp_replace(regexp_replace(strip_accents(lower({roman(_letters('text'), ' ')})), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, pos::BIGINT AS pos, md5({NORMAL}) AS t FROM s")
 def txt2_aggressive_normalise(spark, sf):
-    s = sentences(spark, sf).where(~F.col("text").rlike("[^\\x00-\\x7F][IVXLCDM]|[IVXLCDM][^\\x00-\\x7F]"))
-    return s.select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(text.aggressive_normalise("text")).alias("t"))
+    return sentences(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(text.aggressive_normalise("text")).alias("t"))
 
 
 SENT = "length(text) >= {0} AND regexp_matches(text, '[a-z]') AND regexp_matches(text, '(^|\\s)[a-z]') AND right(rtrim(text), 1) IN ('.', '!', '?', '\"', '''', '”', '’', '»', '…', ')', ']')"
@@ -159,23 +164,25 @@ def txt6_rule_filter(spark, sf):
     return s.where(~drop).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS ps FROM documents),
-u AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM p),
-g AS (SELECT *, sum(CASE WHEN i > 1 AND lower(left(x, 1)) = left(x, 1) AND upper(left(x, 1)) <> left(x, 1) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM u)
-SELECT doc_id, k::BIGINT - 1 AS pos, md5(string_agg(x, ' ' ORDER BY i)) AS sentence FROM g GROUP BY doc_id, k""")
+#: Sentences z (.., k, x) of a table of texts.
+MERGED = r"""p AS (SELECT {1}, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS ps FROM {0}),
+u AS (SELECT {1}, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM p),
+g AS (SELECT *, sum(CASE WHEN i > 1 AND lower(left(x, 1)) = left(x, 1) AND upper(left(x, 1)) <> left(x, 1) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM u),
+z AS (SELECT {2}, k, string_agg(x, ' ' ORDER BY i) AS x FROM g GROUP BY doc_id, k)"""
+
+
+@query(f"WITH {MERGED.format('documents', 'doc_id', 'doc_id')} SELECT doc_id, k::BIGINT - 1 AS pos, md5(x) AS sentence FROM z")
 def txt7_sentence_merge(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", text.merged_sentences("text").alias("x"))
     return d.select("doc_id", F.posexplode("x").alias("pos", "sentence")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("sentence").alias("sentence"))
 
 
-FINGER = r"lower(regexp_replace(regexp_replace(text, '\b[IVXLCDM]{2,}\b', 'R', 'g'), '\d+', 'N', 'g'))"
-ASCII = "NOT regexp_matches(text, '[^\\x00-\\x7F]')"
+FINGER = f"lower(regexp_replace({roman('text', 'R')}, '\\p{{Nd}}+', 'N', 'g'))"
 
 
-@query(f"WITH {SENTENCES} SELECT fp, count(*)::BIGINT AS n FROM (SELECT md5({FINGER}) AS fp FROM s WHERE {ASCII}) GROUP BY fp")
+@query(f"WITH {SENTENCES} SELECT fp, count(*)::BIGINT AS n FROM (SELECT md5({FINGER}) AS fp FROM s) GROUP BY fp")
 def txt8_fingerprint(spark, sf):
-    s = sentences(spark, sf).where(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return s.groupBy(F.md5(text.fingerprint("text")).alias("fp")).agg(F.count(F.lit(1)).alias("n"))
+    return sentences(spark, sf).groupBy(F.md5(text.fingerprint("text")).alias("fp")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {SENTENCES} SELECT doc_id, pos::BIGINT AS pos, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\d+', '#', 'g'), '[!-/:-@\\[-`{{-~«»‘’“”–—…]', ' ', 'g'), '\\s+', ' ', 'g'))) AS t FROM s")
@@ -183,7 +190,7 @@ def txt9_word_preprocess(spark, sf):
     return sentences(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(text.for_words("text")).alias("t"))
 
 
-@query(f"WITH {SENTENCES} SELECT doc_id, pos::BIGINT AS pos, md5(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS t FROM s")
+@query(f"WITH {SENTENCES} SELECT doc_id, pos::BIGINT AS pos, md5(trim(regexp_replace(coalesce(text, ''), '{BLANK}+', ' ', 'g'))) AS t FROM s")
 def txt10_native_whitespace(spark, sf):
     return sentences(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(text.collapsed(F.coalesce("text", F.lit("")))).alias("t"))
 
@@ -207,13 +214,22 @@ def txt15_file_names(spark, sf):
     return d.groupBy("source", "lang", "target", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {SENTENCES}, a AS (SELECT doc_id, pos, trim('  ' || (pos + 1) || '. "' || left(trim(text), 40) || '"') AS s FROM s WHERE {ASCII}),
+def _quoted() -> str:
+    cases = "".join(f"WHEN length(t) >= 2 AND left(t, 1) = '{a}' AND right(t, 1) = '{b}' THEN trim(substr(t, 2, length(t) - 2)) " for a, b in ((a.replace("'", "''"), b.replace("'", "''")) for a, b in rules.QUOTES))
+    return f"CASE {cases}ELSE t END"
+
+
+MADE = "CASE pos % 4 WHEN 0 THEN text WHEN 1 THEN (pos + 1) || '. ' || text WHEN 2 THEN '- ' || text ELSE (pos + 1) || ') «' || text || '»' END"
+
+
+@query(f"""WITH {SENTENCES}, a AS (SELECT doc_id, pos, trim({MADE}) AS s FROM s),
 b AS (SELECT *, regexp_replace(s, '^\\s*\\d+\\s*[.):\\]\\-]\\s+', '') AS t FROM a), c AS (SELECT doc_id, pos, trim(CASE WHEN t <> s THEN t ELSE regexp_replace(s, '^\\s*[-*•]\\s+', '') END) AS t FROM b)
-SELECT doc_id, pos::BIGINT AS pos, CASE WHEN length(t) >= 2 AND left(t, 1) = '"' AND right(t, 1) = '"' THEN trim(substr(t, 2, length(t) - 2)) ELSE t END AS line FROM c""")
+SELECT doc_id, pos::BIGINT AS pos, md5({_quoted()}) AS line FROM c""")
 def txt16_prediction_clean(spark, sf):
-    s = sentences(spark, sf).where(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    made = F.concat(F.lit("  "), (F.col("pos") + 1).cast("string"), F.lit('. "'), F.left(F.trim("text"), F.lit(40)), F.lit('"'))
-    return s.select("doc_id", F.col("pos").cast("long").alias("pos"), text.clean_prediction(made).alias("line"))
+    """Every line as it is, numbered, bulleted, or numbered and quoted."""
+    k, number, line = F.col("pos") % 4, (F.col("pos") + 1).cast("string"), F.col("text")
+    made = F.when(k == 0, line).when(k == 1, F.concat(number, F.lit(". "), line)).when(k == 2, F.concat(F.lit("- "), line)).otherwise(F.concat(number, F.lit(") «"), line, F.lit("»")))
+    return sentences(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(text.clean_prediction(made)).alias("line"))
 
 
 @query("SELECT w, count(*)::BIGINT AS n FROM (SELECT strip_accents(unnest(regexp_extract_all(lower(text), '\\p{L}+'))) AS w FROM documents) GROUP BY w")
@@ -226,11 +242,11 @@ def _sound_sql() -> str:
     out = "CASE code "
     for code, like in (("en", "eng"), ("de", "deu"), ("fr", "fra"), ("es", "spa")):
         expr = "w"
-        for r in rules.SOUNDS[like].split():
-            a, b = r.split(":")
+        for a, b in rules.SOUNDS[like]:
             expr = f"replace({expr}, '{a}', '{b}')"
         out += f"WHEN '{code}' THEN {expr} "
-    return f"strip_accents(translate({out}END, '{rules.SOUND_LETTERS[0]}', '{rules.SOUND_LETTERS[1]}'))"
+    letters = rules.SOUND_LETTERS
+    return f"strip_accents(translate({out}END, '{''.join(letters)}', '{''.join(letters.values())}'))"
 
 
 @query(f"WITH t AS (SELECT lang AS code, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM documents), u AS (SELECT code, w, count(*) AS n FROM t GROUP BY ALL) SELECT code, w, {_sound_sql()} AS sounds FROM u WHERE n >= 5")
@@ -284,9 +300,18 @@ def txt23_run_collapse(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(F.regexp_replace("text", '["!]{2,}', "!")).alias("t"))
 
 
-@query("""SELECT doc_id, list_transform(list_filter(string_split(left(text, 40), ''), lambda c: c <> ''), lambda c: CASE WHEN ord(c) BETWEEN 32 AND 126 THEN ord(c) - 30 WHEN ord(c) BETWEEN 192 AND 255 THEN ord(c) - 192 + 97 ELSE 1 END)::INTEGER[] AS ids FROM documents""")
+def _point_sql() -> str:
+    out, at = "", 2
+    for a, b in rules.CODE_POINTS:
+        out += f"WHEN ord(c) BETWEEN {a} AND {b} THEN ord(c) - {a} + {at} "
+        at += b - a + 1
+    return f"CASE {out}ELSE 1 END"
+
+
+@query(f"SELECT doc_id, length(text)::BIGINT AS n, md5(array_to_string(list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: {_point_sql()}), ',')) AS ids FROM documents")
 def txt24_codepoint_index(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.codepoint_index(F.left("text", F.lit(40)), [(32, 126), (192, 255)]).alias("ids"))
+    ids = F.transform(text.codepoint_index("text"), lambda x: x.cast("string"))
+    return table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("n"), F.md5(F.array_join(ids, ",")).alias("ids"))
 
 
 @query(f"SELECT label, {FAM.format('label')} AS family, row_number() OVER (ORDER BY list_position(['f2', 'f0', 'f3'], {FAM.format('label')}) NULLS LAST, label)::INTEGER AS pos FROM (SELECT DISTINCT label FROM embeddings)")
@@ -311,10 +336,9 @@ def ded3_prefix_frequency(spark, sf):
     return R.drop_frequent(sentences(spark, sf), ["code"], F.substring("text", 1, 30)).select("doc_id", F.col("pos").cast("long").alias("pos"))
 
 
-@query(f"WITH {SENTENCES} SELECT doc_id, pos::BIGINT AS pos FROM (SELECT *, count(*) OVER (PARTITION BY code, {FINGER}) AS n FROM s WHERE {ASCII}) WHERE n < 10")
+@query(f"WITH {SENTENCES} SELECT doc_id, pos::BIGINT AS pos FROM (SELECT *, count(*) OVER (PARTITION BY code, {FINGER}) AS n FROM s) WHERE n < 10")
 def ded4_fingerprint_frequency(spark, sf):
-    s = sentences(spark, sf).where(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return R.drop_frequent(s, ["code"], text.fingerprint("text")).select("doc_id", F.col("pos").cast("long").alias("pos"))
+    return R.drop_frequent(sentences(spark, sf), ["code"], text.fingerprint("text")).select("doc_id", F.col("pos").cast("long").alias("pos"))
 
 
 @query("SELECT source AS id, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS title FROM documents GROUP BY source")
@@ -378,10 +402,12 @@ def jn1_left_join_counts(spark, sf):
     return d.select("doc_id", "lang", "source").join(lab, "doc_id", "left").join(n, "source").select("doc_id", "lang", "toxic", "quality", "n_source")
 
 
-@query("SELECT d.doc_id, e.doc_id AS other FROM documents d LEFT JOIN (SELECT * FROM documents WHERE source = 'src3') e ON md5(d.text) = md5(e.text)")
+@query("SELECT d.doc_id, e.n_copies, e.first_id, e.n_sources FROM documents d LEFT JOIN (SELECT md5(text) AS k, count(*)::BIGINT AS n_copies, min(doc_id) AS first_id, count(DISTINCT source)::BIGINT AS n_sources FROM documents GROUP BY k) e ON md5(d.text) = e.k")
 def jn2_text_key_join(spark, sf):
+    """What is known of a text, joined to every row that has it: one row a key, so that copies do not multiply."""
     d = table(spark, sf, "documents").select("doc_id", "source", F.md5("text").alias("k"))
-    return d.join(d.where("source = 'src3'").select("k", F.col("doc_id").alias("other")), "k", "left").select("doc_id", "other")
+    known = d.groupBy("k").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("first_id"), F.count_distinct("source").alias("n_sources"))
+    return d.select("doc_id", "k").join(known, "k", "left").select("doc_id", "n_copies", "first_id", "n_sources")
 
 
 @query(f"WITH {NUMBERED}, k AS (SELECT min(c) AS c FROM (SELECT count(*) AS c FROM n GROUP BY code)) SELECT pos, max(CASE WHEN code = 'en' THEN length(text) END)::BIGINT AS en, max(CASE WHEN code = 'fr' THEN length(text) END)::BIGINT AS fr FROM n, k WHERE pos < c GROUP BY pos")
@@ -411,11 +437,15 @@ def set3_merged_datasets(spark, sf):
     return u.join(F.broadcast(before), F.col("ord") == F.col("o")).select((F.col("before") + F.col("at")).alias("global_id"), F.concat("name", F.lit("_"), (F.col("at") - 1).cast("string")).alias("row_id"), "n_chars")
 
 
-@query("SELECT coalesce(a.source, b.source) AS n, coalesce(a.x, '') AS en, coalesce(b.x, '') AS fr FROM (SELECT source, min(left(text, 10)) AS x FROM documents WHERE lang = 'en' GROUP BY source) a FULL JOIN (SELECT source, min(left(text, 10)) AS x FROM documents WHERE lang = 'fr' GROUP BY source) b ON a.source = b.source")
+@query("SELECT source AS n, " + ", ".join(f"coalesce(min(text) FILTER (lang = '{c}'), '') AS {c}" for c in LANGS) + " FROM documents GROUP BY source")
 def set5_outer_union(spark, sf):
+    """Rows of four tables side by side by key, empty where a table lacks it."""
     d = table(spark, sf, "documents")
-    one = lambda c: d.where(F.col("lang") == c).groupBy(F.col("source").alias("n")).agg(F.min(F.left("text", F.lit(10))).alias(c))
-    return one("en").join(one("fr"), "n", "full_outer").select("n", F.coalesce("en", F.lit("")).alias("en"), F.coalesce("fr", F.lit("")).alias("fr"))
+    one = lambda c: d.where(F.col("lang") == c).groupBy(F.col("source").alias("n")).agg(F.min("text").alias(c))
+    out = one(LANGS[0])
+    for c in LANGS[1:]:
+        out = out.join(one(c), "n", "full_outer")
+    return out.select("n", *[F.coalesce(c, F.lit("")).alias(c) for c in LANGS])
 
 
 @query(f"""WITH {SENTENCES}, a AS (SELECT *, length(text) >= 30 AS p1, {SENT.format(30)} AS p2, length(text) <= 500 AS p3 FROM s)
@@ -437,18 +467,42 @@ def agg6_exact_quantiles(spark, sf):
     return table(spark, sf, "documents").groupBy("lang").agg(p.alias("p")).select("lang", F.round(F.col("p")[0], 6).alias("lo"), F.round(F.col("p")[1], 6).alias("hi"))
 
 
-@query(f"""WITH {SENTENCES}, a AS (SELECT doc_id, pos, code, text FROM s WHERE {SENT.format(30)}),
-b AS (SELECT doc_id, pos, code, {NORMAL} AS t FROM a WHERE NOT regexp_matches(text, '[^\\x00-\\x7F][IVXLCDM]|[IVXLCDM][^\\x00-\\x7F]')), c AS (SELECT * FROM b WHERE length(t) <= 500),
-d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code, t ORDER BY doc_id, pos) AS n FROM c) WHERE n = 1),
-f AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY code, left(t, 30)) AS k FROM d) WHERE k < 10)
-SELECT code, count(*)::BIGINT AS final_sentences, count(DISTINCT doc_id)::BIGINT AS final_articles FROM f GROUP BY code""")
+#: Rules of the kind that varieties have, for the languages that the test tables hold.
+DROP = {"en": [("the of",), ("that", "with")], "fr": [("de la",)]}
+DROPPED = "(code = 'en' AND (contains(t, 'the of') OR (contains(t, 'that') AND contains(t, 'with')))) OR (code = 'fr' AND contains(t, 'de la'))"
+STAGES = ["raw_articles", "after_article_clean", "after_article_dedup", "raw_sentences", "after_pre_norm_filter", "after_normalize", "after_post_norm_filter", "after_sentence_dedup", "final_sentences", "final_articles"]
+
+
+@query(rf"""WITH a0 AS (SELECT doc_id, lang AS code, {ARTICLE.replace('html', 'text')} AS text FROM documents),
+a1 AS (SELECT *, count(*) OVER (PARTITION BY code, text) AS copies FROM a0 WHERE length(text) >= 50), a2 AS (SELECT doc_id, code, text FROM a1 WHERE copies = 1),
+{MERGED.format('a2', 'doc_id, code', 'doc_id, any_value(code) AS code')}, q AS (SELECT *, {SENT.format(30)} AS pre, {NORMAL} AS t FROM (SELECT doc_id, code, k, x AS text FROM z)),
+r AS (SELECT *, pre AND t <> '' AS filled, pre AND t <> '' AND length(t) <= 500 AND NOT ({DROPPED}) AS post FROM q),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code, t ORDER BY doc_id, k) AS n FROM r WHERE post) WHERE n = 1),
+f AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY code, left(t, 30)) AS c FROM d) WHERE c < 10)
+SELECT x.code, x.raw_articles, y.after_article_clean, y.after_article_dedup, z2.raw_sentences, z2.after_pre_norm_filter, z2.after_normalize, z2.after_post_norm_filter, w.after_sentence_dedup, v.final_sentences, v.final_articles
+FROM (SELECT code, count(*)::BIGINT AS raw_articles FROM a0 GROUP BY code) x JOIN (SELECT code, count(*)::BIGINT AS after_article_clean, count_if(copies = 1)::BIGINT AS after_article_dedup FROM a1 GROUP BY code) y USING (code)
+JOIN (SELECT code, count(*)::BIGINT AS raw_sentences, count_if(pre)::BIGINT AS after_pre_norm_filter, count_if(filled)::BIGINT AS after_normalize, count_if(post)::BIGINT AS after_post_norm_filter FROM r GROUP BY code) z2 USING (code)
+JOIN (SELECT code, count(*)::BIGINT AS after_sentence_dedup FROM d GROUP BY code) w USING (code) JOIN (SELECT code, count(*)::BIGINT AS final_sentences, count(DISTINCT doc_id)::BIGINT AS final_articles FROM f GROUP BY code) v USING (code)""")
 def pipe1_corpus_cleaning(spark, sf):
-    s = sentences(spark, sf).where(text.is_sentence("text")).where(~F.col("text").rlike("[^\\x00-\\x7F][IVXLCDM]|[IVXLCDM][^\\x00-\\x7F]"))
+    """The whole cleaning chain with the rows left after every stage.
+
+    Sentences are grouped by what they are normalised to, those that a filter drops under null, so that one exchange
+    gives the counts of all stages, the first of each copy and the prefixes' frequencies.
+    """
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("code"), text.clean_article("text").alias("article"))
+    kept = d.where("article IS NOT NULL").groupBy("code", "article").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"))
+    raw = d.groupBy("code").agg(F.count(F.lit(1)).alias("raw_articles"))
+    cleaned = kept.groupBy("code").agg(F.sum("copies").alias("after_article_clean"), F.count_if(F.col("copies") == 1).alias("after_article_dedup"))
+    s = kept.where("copies = 1").select("doc_id", "code", F.posexplode(text.merged_sentences("article")).alias("pos", "text"))
     once = F.explode(F.array(text.aggressive_normalise("text")))  # a filter moved below would normalise every text twice
-    s = s.select("doc_id", "pos", "code", once.alias("t")).where(F.length("t") <= 500)
-    first = s.groupBy("code", "t").agg(F.min(F.struct("doc_id", "pos")).alias("x")).select("code", "t", "x.doc_id")
-    kept = R.drop_frequent(first, ["code"], F.substring("t", 1, 30))
-    return kept.groupBy("code").agg(F.count(F.lit(1)).alias("final_sentences"), F.count_distinct("doc_id").alias("final_articles"))
+    s = s.select("doc_id", "pos", "code", text.is_sentence("text").alias("pre"), once.alias("t"))
+    filled = F.col("pre") & (F.col("t") != "")
+    post = filled & ~text.rule_drop("t", "code", DROP)
+    g = s.withColumn("key", F.when(post, F.col("t"))).groupBy("code", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("pre").alias("pre"), F.count_if(filled).alias("filled"), F.min(F.struct("doc_id", "pos")).alias("x"))
+    counts = g.groupBy("code").agg(F.sum("n").alias("raw_sentences"), F.sum("pre").alias("after_pre_norm_filter"), F.sum("filled").alias("after_normalize"), F.sum(F.when(F.col("key").isNotNull(), F.col("n")).otherwise(0)).alias("after_post_norm_filter"), F.count("key").alias("after_sentence_dedup"))
+    left = R.drop_frequent(g.where("key IS NOT NULL").select("code", "key", "x.doc_id"), ["code"], F.substring("key", 1, 30))
+    final = left.groupBy("code").agg(F.count(F.lit(1)).alias("final_sentences"), F.count_distinct("doc_id").alias("final_articles"))
+    return raw.join(cleaned, "code").join(counts, "code").join(final, "code").select("code", *STAGES)
 
 
 @query(f"SELECT label, {FAM.format('label')} AS family, {ROLE.format('label')} AS role FROM (SELECT DISTINCT label FROM embeddings) WHERE {ROLE.format('label')} <> 'italian'")

@@ -22,10 +22,10 @@ def parallel(spark: SparkSession, path: str, codes: list[str], keys: list[str],
     return long
 
 
-def pairs(spark: SparkSession, path: str, reference: str, dialects: list[str], sep: str = ",") -> DataFrame:
-    """(reference, code, text) for each dialect column beside the reference column."""
+def beside(spark: SparkSession, path: str, column: str, others: list[str], sep: str = ",") -> DataFrame:
+    """(column, code, text): each of the other columns that the table has, next to one that all rows share."""
     wide = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"')
-    return wide.unpivot([reference], [d for d in dialects if d in wide.columns], "code", "text")
+    return wide.unpivot([column], [c for c in wide.columns if c in others], "code", "text")
 
 
 def monolingual(spark: SparkSession, path: str) -> DataFrame:

@@ -42,7 +42,13 @@ def test_article_cleaning(spark):
     src = "== Title == a &lt;br&gt; b <revision> &amp; " + "word " * 12
     assert one(spark, text.clean_article("x"), src).startswith("a")
     assert one(spark, text.clean_article("x"), "too short") is None
-    assert one(spark, text.unescaped("x"), "&lt;a&gt; &amp;lt;") == html.unescape("&lt;a&gt; &amp;lt;")
+    for x in ("&lt;a&gt; &amp;lt;", "caf&eacute; &#233;&#xE9; &ndash; &notanentity; &amp", "no entity", ""):
+        assert one(spark, text.unescaped("x"), x) == html.unescape(x)
+
+
+def test_roman_numerals_stand_alone(spark):
+    assert one(spark, text.aggressive_normalise("x"), "Łódź MCM éIV XII 3XI IX-XI Æther Þ ẞ") == "lodz eiv xi aether th"
+    assert one(spark, text.fingerprint("x"), "«XIV» ÈIX MM MM 12٣") == "«r» èix r r n"
 
 
 def test_sentence_merge(spark):
@@ -50,8 +56,19 @@ def test_sentence_merge(spark):
 
 
 def test_sound_classes(spark):
-    assert one(spark, text.sound_classes("x", "y"), "gnocchi", "ita") == "Nokki"
+    assert one(spark, text.sound_classes("x", "y"), "gnocchi", "ita") == "Noki"
     assert one(spark, text.sound_classes("x", "y"), "Schön", "deu") == "Son"
+    by_hand = {
+        "ita": {"figlio": "fiLo", "scena": "Sena", "acqua": "akkwa", "pizza": "piza", "ghiro": "giro"},
+        "fra": {"eau": "o", "chien": "Sia", "roi": "rwa", "famille": "famje", "peigne": "pENe"},
+        "spa": {"lluvia": "juvia", "perro": "pero", "noche": "noce", "queso": "keso", "año": "ano"},
+        "deu": {"ich": "ix", "ei": "aj", "pferd": "ferd", "dick": "dik", "häuser": "hEuser"},
+        "eng": {"ship": "Sip", "tooth": "tut", "rain": "rejn", "phone": "fone", "rock": "rok"},
+        "slv": {"konj": "koN", "ljudje": "Ludje", "džungla": "Zungla"},
+    }
+    for code, words in by_hand.items():
+        for word, sounds in words.items():
+            assert one(spark, text.sound_classes("x", "y"), word, code) == sounds
 
 
 def test_edit_distance_edges(spark):

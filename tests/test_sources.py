@@ -18,7 +18,7 @@ def test_parallel_and_pairs(spark, tmp_path):
     p = put(tmp_path / "w.csv", 'id,ita,fur\n1,"a ""x"", b",c\n2,d,e\n')
     got = {(r["id"], r["code"]): r["text"] for r in readers.parallel(spark, p, ["ita", "fur", "vec"], ["id"]).collect()}
     assert got == {("1", "ita"): 'a "x", b', ("1", "fur"): "c", ("2", "ita"): "d", ("2", "fur"): "e"}
-    assert readers.pairs(spark, p, "ita", ["fur"]).count() == 2
+    assert readers.beside(spark, p, "ita", ["fur"]).count() == 2
     bad = put(tmp_path / "bad.csv", "id,ita,fur\n1,a,\n2,d,e\n")
     with pytest.raises(ValueError):
         readers.parallel(spark, bad, ["ita", "fur"], ["id"])
