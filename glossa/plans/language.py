@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from glossa.functions import text
 from glossa.operators import embedding as EM
 from glossa.operators import relational as R
+from glossa.operators import scoring as SC
 from glossa.operators import tfidf as T
 from glossa.operators import translation as MT
-from glossa.plans.base import H32, rounded, table
+from glossa.plans.base import BLANK, H32, rounded, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -178,70 +179,128 @@ def st17_ldnd_bootstrap(spark, sf):
     return r.groupBy("a", "b").agg(F.percentile("ldnd", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("a", "b", F.round(F.col("q")[0], 5).alias("lo"), F.round(F.col("q")[1], 5).alias("hi"))
 
 
-MTSQL = """pr AS (SELECT x.conv_id AS pos, x.turn % 3 AS source, regexp_replace(lower(x.text), '[^a-z0-9 ]', '', 'g') AS ref, regexp_replace(lower(y.text), '[^a-z0-9 ]', '', 'g') AS pred FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1),
-mt AS (SELECT row_number() OVER (ORDER BY source, pos, ref, pred) AS id, source, ref, pred FROM pr WHERE length(trim(ref)) > 0 AND length(trim(pred)) > 0)"""
+MTSQL = """cv AS (SELECT 'd' || conv_id % 3 AS target, conv_id * 2 + turn // 4 AS unit, turn % 4 AS k, text FROM conversations),
+gold AS (SELECT target, unit, row_number() OVER (PARTITION BY target ORDER BY unit) - 1 AS pos, text AS ref FROM cv WHERE k = 0),
+preds AS (SELECT target, 's' || k AS source, pos, text AS pred FROM cv JOIN gold USING (target, unit) WHERE k > 0),
+mt AS (SELECT source || '-' || target || '-' || pos AS id, source, target, pos, trim(ref) AS ref, trim(pred) AS pred FROM preds JOIN gold USING (target, pos) WHERE trim(ref) <> '' AND trim(pred) <> '')"""
+
+
+def _files(spark, sf):
+    """Conversations as translations: of every four turns the first is the reference, the others three systems' text;
+    missing turns are missing predictions."""
+    cv = table(spark, sf, "conversations").select(F.concat(F.lit("d"), (F.col("conv_id") % 3).cast("string")).alias("target"), (F.col("conv_id") * 2 + F.floor(F.col("turn") / 4)).alias("unit"), (F.col("turn") % 4).alias("k"), "text")
+    gold = cv.where("k = 0").select("target", "unit", (F.row_number().over(Window.partitionBy("target").orderBy("unit")) - 1).cast("long").alias("pos"), F.col("text").alias("ref"))  # a test set's sentences
+    preds = cv.where("k > 0").join(gold.select("target", "unit", "pos"), ["target", "unit"]).select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("source"), "target", "pos", F.col("text").alias("pred"))
+    return preds, gold.select("target", "pos", "ref")
 
 
 def _translations(spark, sf):
-    c = table(spark, sf, "conversations")
-    clean = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9 ]", "")
-    x = c.select("conv_id", (F.col("turn") + 1).alias("turn"), (F.col("turn") % 3).alias("source"), clean("text").alias("ref"))
-    p = x.join(c.select("conv_id", "turn", clean("text").alias("pred")), ["conv_id", "turn"]).where((F.length(F.trim("ref")) > 0) & (F.length(F.trim("pred")) > 0))
-    return p.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "source", "ref", "pred")
+    """(id, source, target, pos, pred, ref): whole texts, as they are."""
+    return SC.scored_pairs(*_files(spark, sf), "truncate").withColumn("id", F.concat_ws("-", "source", "target", "pos"))
+
+
+MATCH = "ms AS (SELECT id, source, target, pos, kind, sum(coalesce(h, 0)) AS hyp, sum(coalesce(r, 0)) AS ref, sum(least(coalesce(h, 0), coalesce(r, 0))) AS match FROM (SELECT id, source, target, pos, kind, gram, count(*) AS h FROM gh GROUP BY ALL) FULL JOIN (SELECT id, source, target, pos, kind, gram, count(*) AS r FROM gr GROUP BY ALL) USING (id, source, target, pos, kind, gram) GROUP BY ALL)"
+PUNCT = "list_contains(string_split('!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~' || chr(39), ''), {0})"
+KEYS = "id, source, target, pos"
+
 
+def _chrf_grams(side: str, rows: str = "mt") -> str:
+    words = f"flatten(list_transform(list_filter(regexp_split_to_array({side}, '{BLANK}+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 1 AND {PUNCT.replace('{0}', 'right(w, 1)')} THEN [left(w, length(w) - 1), right(w, 1)] WHEN length(w) > 1 AND {PUNCT.replace('{0}', 'left(w, 1)')} THEN [left(w, 1), substr(w, 2)] ELSE [w] END))"
+    return f"""SELECT {KEYS}, 'c' || n AS kind, substr(s, i, n) AS gram FROM (SELECT {KEYS}, n, s, unnest(range(1, length(s) - n + 2)) AS i FROM (SELECT {KEYS}, regexp_replace({side}, '{BLANK}+', '', 'g') AS s FROM {rows}), (SELECT unnest(range(1, 7)) AS n))
+UNION ALL SELECT {KEYS}, 'w' || n, array_to_string(w[i : i + n - 1], ' ') FROM (SELECT {KEYS}, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT {KEYS}, {words} AS w FROM {rows}), (SELECT unnest(range(1, 3)) AS n))"""
 
-MATCH = "ms AS (SELECT id, source, kind, sum(coalesce(h, 0)) AS hyp, sum(coalesce(r, 0)) AS ref, sum(least(coalesce(h, 0), coalesce(r, 0))) AS match FROM (SELECT id, source, kind, gram, count(*) AS h FROM gh GROUP BY ALL) FULL JOIN (SELECT id, source, kind, gram, count(*) AS r FROM gr GROUP BY ALL) USING (id, source, kind, gram) GROUP BY id, source, kind)"
 
+def _chrf_sql(by: str, rows: str = "ms") -> str:
+    """(by, score) of a table of statistics."""
+    return f"SELECT {by}, coalesce(500 * avg(p) * avg(r) / nullif(4 * avg(p) + avg(r), 0), 0) AS score FROM (SELECT {by}, kind, sum(match) / sum(hyp) AS p, sum(match) / sum(ref) AS r FROM {rows} GROUP BY ALL HAVING sum(hyp) > 0 AND sum(ref) > 0) GROUP BY {by}"
 
-def _chrf_grams(side: str) -> str:
-    return f"""SELECT id, source, 'c' || n AS kind, substr(s, i, n) AS gram FROM (SELECT id, source, n, s, unnest(range(1, length(s) - n + 2)) AS i FROM (SELECT id, source, replace({side}, ' ', '') AS s FROM mt), (SELECT unnest(range(1, 7)) AS n))
-UNION ALL SELECT id, source, 'w' || n, array_to_string(w[i : i + n - 1], ' ') FROM (SELECT id, source, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT id, source, regexp_extract_all({side}, '[a-z0-9]+') AS w FROM mt), (SELECT unnest(range(1, 3)) AS n))"""
 
+CHRF = f"gh AS ({_chrf_grams('pred')}), gr AS ({_chrf_grams('ref')}), {MATCH}"
 
-@query(f"""WITH {MTSQL}, gh AS ({_chrf_grams('pred')}), gr AS ({_chrf_grams('ref')}), {MATCH},
-t AS (SELECT source, kind, sum(match) / sum(hyp) AS p, sum(match) / sum(ref) AS r FROM ms GROUP BY ALL HAVING sum(hyp) > 0 AND sum(ref) > 0) SELECT source, round(coalesce(500 * avg(p) * avg(r) / nullif(4 * avg(p) + avg(r), 0), 0), 4) AS chrf FROM t GROUP BY source""")
+
+@query(f"WITH {MTSQL}, {CHRF} SELECT source, target, round(score, 4) AS chrf FROM ({_chrf_sql('source, target')})")
 def mt1_chrf(spark, sf):
-    stats = MT.match_statistics(_translations(spark, sf), ["id", "source"], MT.CHRF)
-    return MT.chrf(stats, ["source"]).select("source", rounded("chrf", 4).alias("chrf"))
+    stats = MT.match_statistics(_translations(spark, sf), ["source", "target"], "chrfpp")
+    return MT.chrf(stats, ["source", "target"]).select("source", "target", rounded("chrf", 4).alias("chrf"))
 
 
 def _bleu_grams(side: str) -> str:
-    return f"SELECT id, source, 'b' || n AS kind, array_to_string(w[i : i + n - 1], ' ') AS gram FROM (SELECT id, source, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT id, source, regexp_extract_all({side}, '[a-z0-9]+') AS w FROM mt), (SELECT unnest(range(1, 5)) AS n))"
+    x = f"replace(replace(replace(replace(replace(replace(replace({side}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
+    x = f"regexp_replace(' ' || {x} || ' ', '([\\{{-\\~\\[-\\` -\\&\\(-\\+\\:-\\@\\/])', ' \\1 ', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '([^0-9])([\\.,])', '\\1 \\2 ', 'g'), '([\\.,])([^0-9])', ' \\1 \\2', 'g')"
+    x = f"list_filter(regexp_split_to_array(regexp_replace({x}, '([0-9])(-)', '\\1 \\2 ', 'g'), '{BLANK}+'), lambda w: w <> '')"
+    return f"SELECT {KEYS}, 'b' || n AS kind, array_to_string(w[i : i + n - 1], ' ') AS gram FROM (SELECT {KEYS}, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT {KEYS}, {x} AS w FROM mt), (SELECT unnest(range(1, 5)) AS n))"
 
 
-BLEU = """tb AS (SELECT source, kind, sum(hyp) AS h, sum(ref) AS r, sum(match) AS m FROM ms GROUP BY ALL),
-ord AS (SELECT *, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY kind) AS misses FROM tb),
-sc AS (SELECT source, sum(CASE WHEN m > 0 THEN ln(m / h) ELSE -ln(pow(2, misses) * h) END) AS lg, max(CASE WHEN kind = 'b1' THEN h END) AS h1, max(CASE WHEN kind = 'b1' THEN r END) AS r1, max(CASE WHEN kind = 'b1' THEN m END) AS m1, max(CASE WHEN kind = 'b4' THEN h END) AS h4 FROM ord GROUP BY source)"""
+BLEU = """tb AS (SELECT source, target, kind, sum(hyp) AS h, sum(ref) AS r, sum(match) AS m FROM ms GROUP BY ALL),
+ord AS (SELECT *, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source, target ORDER BY kind) AS misses FROM tb),
+sc AS (SELECT source, target, sum(CASE WHEN m > 0 THEN ln(m / h) ELSE -ln(pow(2, misses) * h) END) AS lg, max(CASE WHEN kind = 'b1' THEN h END) AS h1, max(CASE WHEN kind = 'b1' THEN r END) AS r1, max(CASE WHEN kind = 'b1' THEN m END) AS m1, max(CASE WHEN kind = 'b4' THEN h END) AS h4 FROM ord GROUP BY ALL),
+bl AS (SELECT source, target, CASE WHEN h4 > 0 AND m1 > 0 THEN 100 * (CASE WHEN h1 < r1 THEN exp(1 - r1 / h1) ELSE 1 END) * exp(lg / 4) ELSE 0 END AS bleu FROM sc)"""
+BLEU_GRAMS = f"gh AS ({_bleu_grams('pred')}), gr AS ({_bleu_grams('ref')}), {MATCH}"
 
 
-@query(f"WITH {MTSQL}, gh AS ({_bleu_grams('pred')}), gr AS ({_bleu_grams('ref')}), {MATCH}, {BLEU} SELECT source, round(CASE WHEN h4 > 0 AND m1 > 0 THEN 100 * (CASE WHEN h1 < r1 THEN exp(1 - r1 / h1) ELSE 1 END) * exp(lg / 4) ELSE 0 END, 4) AS bleu FROM sc")
+@query(f"WITH {MTSQL}, {BLEU_GRAMS}, {BLEU} SELECT source, target, round(bleu, 4) AS bleu FROM bl")
 def mt2_bleu(spark, sf):
-    stats = MT.match_statistics(_translations(spark, sf), ["id", "source"], MT.BLEU)
-    return MT.bleu(stats, ["source"]).select("source", rounded("bleu", 4).alias("bleu"))
+    stats = MT.match_statistics(_translations(spark, sf), ["source", "target"], "bleu")
+    return MT.bleu(stats, ["source", "target"]).select("source", "target", rounded("bleu", 4).alias("bleu"))
 
 
-@query(f"WITH {MTSQL}, gh AS ({_bleu_grams('pred')}), gr AS ({_bleu_grams('ref')}), {MATCH} SELECT source, kind, sum(hyp)::BIGINT AS hyp, sum(ref)::BIGINT AS ref, sum(match)::BIGINT AS match FROM ms GROUP BY ALL")
+@query(f"WITH {MTSQL}, {BLEU_GRAMS} SELECT id, kind, hyp::BIGINT AS hyp, ref::BIGINT AS ref, match::BIGINT AS match FROM ms")
 def mt3_sufficient_statistics(spark, sf):
-    stats = MT.match_statistics(_translations(spark, sf), ["id", "source"], MT.BLEU)
-    return stats.groupBy("source", "kind").agg(*[F.sum(c).alias(c) for c in ("hyp", "ref", "match")])
+    stats = MT.match_statistics(_translations(spark, sf), ["id"], "bleu")
+    return stats.where("hyp + ref > 0")
+
+
+@query(f"""WITH {MTSQL}, {CHRF}, cs AS ({_chrf_sql('source, target')}), n AS (SELECT source, target, count(*) AS n FROM mt GROUP BY ALL)
+SELECT source, target, n::BIGINT AS n_sentences, round(score, 4) AS chrfpp, round(bleu, 4) AS bleu FROM n JOIN cs USING (source, target) JOIN (WITH {BLEU_GRAMS}, {BLEU} SELECT * FROM bl) USING (source, target)""")
+def mt5_score_files(spark, sf):
+    return SC.score_files(*_files(spark, sf), "truncate")
 
 
 @query()
 def mt4_greedy_match(spark, sf):
-    t = _translations(spark, sf)
-    tokens = lambda c: EM.encode(t.select("id", F.posexplode(text.letter_tokens(c)).alias("pos", "w")), ["id", "pos"], "w", EM.HashingEncoder)
-    return MT.greedy_match(tokens("pred"), tokens("ref"), ["id"]).select("id", *[F.round(c, 5).alias(c) for c in ("precision", "recall", "f1")])
-
-
-@query(f"""WITH sy AS (SELECT doc_id AS pos, source AS target, length(text) AS m_a, length(lang) * 700 AS m_b FROM documents WHERE source IN ('src1', 'src2', 'src3')),
-n AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY pos) - 1 AS idx, count(*) OVER (PARTITION BY target) AS n FROM sy),
-k AS (SELECT target, n, unnest(range(n)) AS k FROM (SELECT DISTINCT target, n FROM n)), t AS (SELECT *, unnest(range(50)) AS b FROM k), d AS (SELECT target, b, {H32.format("'77-' || b || '-' || target || '-' || k")} % n AS idx, count(*) AS mult FROM t GROUP BY ALL),
-s AS (SELECT d.target, b, sum(mult * m_a) / sum(mult) - sum(mult * m_b) / sum(mult) AS x FROM d JOIN n USING (target, idx) GROUP BY ALL), o AS (SELECT target, avg(m_a) - avg(m_b) AS delta FROM n GROUP BY target)
-SELECT target, round(any_value(delta), 4) AS delta, round(quantile_cont(x, 0.025), 4) AS lo, round(quantile_cont(x, 0.975), 4) AS hi, round(least(2 * CASE WHEN any_value(delta) > 0 THEN avg((x <= 0)::INTEGER) WHEN any_value(delta) < 0 THEN avg((x >= 0)::INTEGER) ELSE 0.5 END, 1), 4) AS p FROM s JOIN o USING (target) GROUP BY target""")
-def st18_21_paired_bootstrap(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("source").isin("src1", "src2", "src3"))
-    rows = d.select(F.col("source").alias("target"), F.length("text").alias("m_a"), (F.length("lang") * 700).alias("m_b"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("idx"))
-    drawn = R.draws(rows.groupBy("target").agg(F.count(F.lit(1)).alias("n")), ["target"], "n", 50, "77").unionByName(rows.select("target", F.lit(-1).alias("b"), "idx", F.lit(1).cast("long").alias("mult")))
-    score = lambda c: F.sum(F.col("mult") * F.col(c)) / F.sum("mult")
-    s = drawn.join(rows, ["target", "idx"]).groupBy("target", "b").agg(score("m_a").alias("score_a"), score("m_b").alias("score_b"))
-    return MT.paired_bootstrap(s, ["target"]).select("target", *[rounded(c, 4).alias(c) for c in ("delta", "lo", "hi", "p")])
+    m = MT.token_scores(_translations(spark, sf), ["source", "target", "pos"], EM.HashingEncoder)
+    return m.select("source", "target", "pos", *[F.round(c, 5).alias(c) for c in ("precision", "recall", "f1")])
+
+
+BOOT, ALPHA = 200, 0.05
+#: Resamples of systems' statistics ms2 (grp, system, pos, kind, ..) over the positions sel (grp, pos), and the test.
+TESTED = f"""ix AS (SELECT grp, pos, row_number() OVER (PARTITION BY grp ORDER BY pos) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM sel), sz AS (SELECT DISTINCT grp, n FROM ix WHERE n >= 5),
+k AS (SELECT grp, n, unnest(range(n)) AS k FROM sz), t AS (SELECT *, unnest(range({BOOT})) AS b FROM k), dr AS (SELECT grp, b, {H32.format("'77-' || b || '-' || grp || '-' || k")} % n AS idx, count(*) AS mult FROM t GROUP BY ALL UNION ALL SELECT grp, -1, idx, 1 FROM ix WHERE n >= 5),
+wt AS (SELECT grp, system, b, kind, mult * hyp AS hyp, mult * ref AS ref, mult * match AS match FROM dr JOIN ix USING (grp, idx) JOIN ms2 USING (grp, pos)), so AS ({_chrf_sql('grp, system, b', 'wt')}),
+pq AS (SELECT grp, b, x.system AS sa, y.system AS sb, x.score AS xa, y.score AS xb, x.score - y.score AS d FROM so x JOIN so y USING (grp, b) WHERE x.system < y.system),
+o AS (SELECT grp, sa, sb, xa, xb, d AS delta FROM pq WHERE b = -1),
+pv AS (SELECT grp, sa, sb, any_value(xa) AS score_a, any_value(xb) AS score_b, any_value(delta) AS delta, quantile_cont(x.d, 0.025) AS lo, quantile_cont(x.d, 0.975) AS hi, least(2 * CASE WHEN any_value(delta) > 0 THEN avg((x.d <= 0)::INTEGER) WHEN any_value(delta) < 0 THEN avg((x.d >= 0)::INTEGER) ELSE 0.5 END, 1) AS p FROM (SELECT grp, sa, sb, d FROM pq WHERE b >= 0) x JOIN o USING (grp, sa, sb) GROUP BY ALL)"""
+
+
+@query(f"""WITH {MTSQL}, {CHRF}, nn AS (SELECT target, count(DISTINCT source) AS want FROM preds GROUP BY target), le AS (SELECT target, min(m) AS n FROM (SELECT target, source, max(pos) + 1 AS m FROM preds GROUP BY ALL UNION ALL SELECT target, '', max(pos) + 1 FROM gold GROUP BY ALL) GROUP BY target),
+sel AS (SELECT target AS grp, pos FROM mt JOIN nn USING (target) JOIN le USING (target) WHERE pos < n GROUP BY target, pos HAVING count(DISTINCT source) = any_value(want)), ms2 AS (SELECT target AS grp, source AS system, pos, kind, hyp, ref, match FROM ms), {TESTED}
+SELECT grp AS target, sa AS source_a, sb AS source_b, 'chrfpp' AS metric, sz.n::BIGINT AS n_sentences, round(score_a, 4) AS score_a, round(score_b, 4) AS score_b, round(delta, 4) AS delta, round(lo, 4) AS ci_low, round(hi, 4) AS ci_high, round(p, 6) AS p_value, round(least(p * count(*) OVER (PARTITION BY grp), 1), 6) AS p_value_bonferroni, p < {ALPHA} AS significant_alpha, least(p * count(*) OVER (PARTITION BY grp), 1) < {ALPHA} AS significant_bonf FROM pv JOIN sz USING (grp)""")
+def st18_20_within_system(spark, sf):
+    r = SC.within_system(*_files(spark, sf), ["chrfpp"], BOOT, "77", "truncate", ALPHA)
+    return r.select("target", "source_a", "source_b", "metric", "n_sentences", *[rounded(a, 4).alias(b) for a, b in (("score_a", "score_a"), ("score_b", "score_b"), ("delta", "delta"), ("lo", "ci_low"), ("hi", "ci_high"))], rounded("p").alias("p_value"), rounded("p_bonferroni").alias("p_value_bonferroni"), "significant_alpha", "significant_bonf")
+
+
+def _systems(spark, sf):
+    preds, gold = _files(spark, sf)
+    return {"A": preds, "B": preds.withColumn("pred", F.translate("pred", "aei", "eio"))}, gold
+
+
+CROSS = f"""mt2 AS (SELECT 'A' AS system, * FROM mt UNION ALL SELECT 'B', id, source, target, pos, ref, translate(pred, 'aei', 'eio') FROM mt), mx AS (SELECT system || '/' || id AS id, source, target, pos, ref, pred FROM mt2),
+gh AS ({_chrf_grams('pred', 'mx')}), gr AS ({_chrf_grams('ref', 'mx')}), {MATCH}, ms2 AS (SELECT source || '-' || target AS grp, left(id, 1) AS system, pos, kind, hyp, ref, match FROM ms), sel AS (SELECT DISTINCT source || '-' || target AS grp, pos FROM mt), {TESTED},
+xs AS (SELECT split_part(grp, '-', 1) AS source, split_part(grp, '-', 2) AS target, sa AS system_a, sb AS system_b, sz.n::BIGINT AS n_sentences, round(score_a, 4) AS score_a, round(score_b, 4) AS score_b, delta, round(lo, 4) AS ci_low, round(hi, 4) AS ci_high, p, least(p * count(*) OVER (), 1) AS pb FROM pv JOIN sz USING (grp))"""
+
+
+def _cross(spark, sf):
+    return SC.cross_system(*_systems(spark, sf), ["chrfpp"], BOOT, "77", "truncate", ALPHA)
+
+
+@query(f"WITH {MTSQL}, {CROSS} SELECT * EXCLUDE (delta, p, pb), round(delta, 4) AS delta, round(p, 6) AS p_value, round(pb, 6) AS p_value_bonferroni, pb < {ALPHA} AS significant_bonf FROM xs")
+def st21_cross_system(spark, sf):
+    r = _cross(spark, sf)
+    return r.select("source", "target", "system_a", "system_b", "n_sentences", *[rounded(a, 4).alias(b) for a, b in (("score_a", "score_a"), ("score_b", "score_b"), ("delta", "delta"), ("lo", "ci_low"), ("hi", "ci_high"))], rounded("p").alias("p_value"), rounded("p_bonferroni").alias("p_value_bonferroni"), "significant_bonf")
+
+
+@query(f"WITH {MTSQL}, {CROSS} SELECT count_if(pb < {ALPHA} AND delta > 0)::BIGINT AS wins_a, count_if(pb < {ALPHA} AND delta < 0)::BIGINT AS wins_b, count_if(NOT (pb < {ALPHA} AND delta <> 0))::BIGINT AS ties, 'chrfpp' AS metric FROM xs")
+def agg12_win_counts(spark, sf):
+    return SC.win_counts(_cross(spark, sf), ["metric"])

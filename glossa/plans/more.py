@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glossa.operators import relational as R
-from glossa.operators import statistics as S
 from glossa.plans.base import DISTANCES, METHODS, ROLE, distances, method_distances, role, rounded, table
 
 QUERIES: dict = {}
@@ -73,10 +72,3 @@ def st13_cross_method_table(spark, sf):
     x, y = m.withColumnsRenamed({"method": "method_a", "d": "dx"}), m.withColumnsRenamed({"method": "method_b", "d": "dy"})
     r = x.join(y, ["a", "b"]).where("method_a < method_b").groupBy("method_a", "method_b").agg(F.corr("dx", "dy").alias("r"))
     return r.select("method_a", "method_b", rounded("r").alias("r"), (F.col("r") > 0.3).alias("related"))
-
-
-@query("SELECT lang, source, n, round(p, 6) AS p, round(least(p * count(*) OVER (PARTITION BY lang), 1), 6) AS p_bonferroni, least(p * count(*) OVER (PARTITION BY lang), 1) < 0.05 AS significant FROM (SELECT lang, source, count(*) AS n, count(*) / 4000.0 AS p FROM documents GROUP BY ALL)")
-def st21_significance_table(spark, sf):
-    d = table(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.col("n") / 4000.0)
-    b = S.bonferroni("p", ["lang"])
-    return d.select("lang", "source", "n", rounded("p").alias("p"), rounded(b).alias("p_bonferroni"), (b < 0.05).alias("significant"))
