@@ -11,47 +11,62 @@ from pyspark.sql import functions as F
 from glossa.llm.common import stored
 
 
-#: Distinct edges that one task joins by itself (some 100 MB); beyond that, rounds over the cluster.
-SMALL_EDGES = 300_000
+class Forest:
+    """Union-find over things numbered as they come; the root of a tree is its smallest member."""
 
+    def __init__(self) -> None:
+        self.up: dict = {}
 
-def joined_here(edges: DataFrame) -> DataFrame:
-    """(node, root) of a small edge table by union-find in one task."""
-    kind = edges.schema["a"].dataType.simpleString()
+    def root(self, x):
+        up = self.up
+        y = up.setdefault(x, x)
+        while y != x:
+            up[x] = up[y]
+            x, y = y, up[y]
+        return x
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict = {}
+    def join(self, a, b) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
 
-        def root(x):
-            while (y := up.setdefault(x, x)) != x:
-                up[x] = up[y]
-                x = y
-            return x
+    def edges(self) -> list[tuple]:
+        """(thing, root) of all that are not roots."""
+        return [(x, r) for x in list(self.up) if (r := self.root(x)) != x]
 
+
+def contracted(edges: DataFrame, rows: int = 200_000) -> DataFrame:
+    """The same components by fewer edges: each stretch of a partition becomes stars."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = Forest(), 0
         for b in batches:
-            for a, c in zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True):
-                a, c = root(a), root(c)
-                if a != c:
-                    up[max(a, c)] = min(a, c)
-            like = b.schema.field(0).type
-        if up:
-            yield pa.RecordBatch.from_arrays([pa.array(list(up), like), pa.array([root(x) for x in list(up)], like)], ["node", "root"])
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found.join(x, y)
+            n += b.num_rows
+            if n >= rows:
+                yield from out(found, b.schema)
+                found, n = Forest(), 0
+        if n:
+            yield from out(found, b.schema)
+
+    def out(found: Forest, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        if pairs := found.edges():
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), schema.field(0).type) for c in zip(*pairs, strict=True)], ["a", "b"])
 
-    return edges.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def components(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the component's smallest node.
 
     Each round hangs neighbours on the smallest one they know: only minima per node are aggregated, never lists of
-    neighbours, so a node with very many of them does no harm. Every round is written to the shared folder. Tables
-    of at most `small` edges are not worth the rounds.
+    neighbours, so a node with very many of them does no harm. Every round is written to the shared folder.
     """
     tell = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = stored(contracted(edges.where("a <> b")).distinct(), "edges")  # a > b
     known = tell(now)
-    if known[0] <= small:
-        return joined_here(now)
     while known[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

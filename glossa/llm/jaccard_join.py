@@ -3,19 +3,25 @@
 Unrelated texts are all at distance 1 of each other and of every pivot, so pivots alone cannot tell them apart. A
 first exact step therefore leaves out what no partner can reach: shingles are counted over all documents, each set is
 ordered rarest shingle first, and sets at distance 0.2 or less must share one of the first fifth. The connected pieces
-of that graph are the spaces that the metric join then works in: pivots, regions around them, windows that replicate
-boundary documents to every region where a partner may lie, and recursion, until a region is small or all of it is
-known to be connected.
+of that graph are the spaces that the metric join works in.
 
-The shingles cross the network once, packed: 48 bits of a shingle and 16 of its set's number in the batch make one
-integer, and a batch sends one sorted array to each bucket.
+A space is cut over the cluster: pivots are drawn from it, its members meet them in blocks, each member belongs to the
+region of its nearest pivot, and windows replicate boundary documents to every region where a partner may lie; regions
+are spaces of the next round. A pivot has then met every member and leaves. What is linked to the same pivot, or to
+pivots that are linked, is known to be connected; regions that are connected as a whole are done. Spaces of at most
+LEAF_SETS sets are joined where they stand, in the same way.
+
+The shingles cross the network once, packed: what is left of a shingle when its bucket is known, and its set's number
+in the batch, make one integer, and a batch sends one sorted array to each bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+from bisect import bisect_right
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +31,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import stored, text_key, utf8
-from glossa.llm.components import components
+from glossa.llm.components import Forest, components
 
 SHINGLE = 5
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 BATCH_BYTES = 8 << 20
-LEAF = 24
+#: Sets of a batch are numbered in so many bits.
+ORDINAL_BITS = 12
+#: A space of more sets or bytes than this is cut into regions over the cluster; its members meet its pivots in blocks
+#: of BLOCK_SETS. In a task, LEAF sets are compared with each other.
+LEAF_SETS, LEAF_BYTES, BLOCK_SETS, LEAF = 256, 16 << 20, 128, 24
+#: Pivots of a space in its first round, at most; twice as many whenever the windows reach everywhere.
+PIVOTS, PIVOT_BYTES = 64, 8 << 20
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-ORDINAL = np.uint64(0xFFFF)
+ORDINAL = np.uint64((1 << ORDINAL_BITS) - 1)
 
 
 class _Hashes(dict):
@@ -77,9 +89,10 @@ def prefix(n: int, percent: int = PERCENT) -> int:
 
 
 class Space:
-    """Sets (sorted integer arrays without the shingles that only one set has) and their full sizes."""
+    """Sets (integer arrays without the shingles that only one set has) and their full sizes. Sets of equal labels are
+    known to be connected."""
 
-    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, percent: int = PERCENT):
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, percent: int = PERCENT, labels: list | None = None):
         self.sizes, self.percent = sizes.astype(np.int64), percent
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         n = [len(x) for x in sets]
@@ -87,80 +100,79 @@ class Space:
         order = np.argsort(ids, kind="stable")
         self.holders = np.repeat(np.arange(len(sets)), n)[order]  # the sets of each shingle, shingle by shingle
         self.first = np.searchsorted(ids[order], np.arange(int(ids.max()) + 2 if len(ids) else 1))
-        self.parent = list(range(len(sets)))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
+        self.found = Forest()
+        seen: dict = {}
+        for i, x in enumerate(labels or []):
+            self.found.join(i, seen.setdefault(x, i))
 
     def shared(self, p: int) -> np.ndarray:
         """Intersection sizes of set p with all sets, from the holders of its shingles."""
         mine = self.entries[self.ends[p] : self.ends[p + 1]]
         n = self.first[mine + 1] - self.first[mine]
         at = np.repeat(self.first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.holders[at], minlength=len(self.parent))
+        return np.bincount(self.holders[at], minlength=len(self.sizes))
 
-    def visit(self, p: int, members: np.ndarray) -> np.ndarray:
-        """Jaccard distances from p to the members; links those near enough."""
+    def distances(self, p: int, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Jaccard distances from p to the members, and which of them are linked to it."""
         both = self.shared(p)[members]
         union = self.sizes[p] + self.sizes[members] - both
-        for j in members[(100 * both >= self.percent * union) & (members != p)].tolist():
-            a, b = self.root(p), self.root(j)
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
-        return 1 - both / np.maximum(1, union)
-
-    def apart(self, members: np.ndarray) -> bool:
-        return len({self.root(i) for i in members.tolist()}) > 1
-
-    def pairs(self, members: np.ndarray) -> None:
-        """Every pair not known to be connected: each set outside the largest component against all others."""
-        roots = np.array([self.root(i) for i in members.tolist()])
+        return 1 - both / np.maximum(1, union), 100 * both >= self.percent * union
+
+    def visit(self, p: int, members: np.ndarray) -> np.ndarray:
+        """The same distances; links are noted."""
+        d, near = self.distances(p, members)
+        for j in members[near].tolist():
+            self.found.join(p, j)
+        return d
+
+    def outside(self, members: np.ndarray) -> np.ndarray:
+        """Which members are not in the largest piece that is known to be connected."""
+        roots = np.array([self.found.root(i) for i in members.tolist()])
         names, sizes = np.unique(roots, return_counts=True)
-        for p in members[roots != names[sizes.argmax()]].tolist():
-            self.visit(p, members)
+        return roots != names[sizes.argmax()]
 
     def join(self, members: np.ndarray) -> None:
-        """Connect all members that are linked, in whatever way, by links between members.
-
-        A pair within eps in two regions has d(x, p_j) <= d(x, p_i) + 2 eps, p_i being x's own pivot: so x is
-        replicated to each region j within that window, and both meet in one of the two regions.
-        """
+        """Connect all members that are linked, in whatever way, by links between members. Pivots lie outside the
+        largest connected piece; each has met all members when it leaves."""
         todo = [members]
         while todo:
             members = todo.pop()
-            if len(members) < 2 or not self.apart(members):
-                continue
-            if len(members) <= LEAF:
-                self.pairs(members)
+            if len(members) < 2 or not (free := self.outside(members)).any():
                 continue
-            k = int(np.ceil(np.sqrt(len(members))))
-            nearest, distances, p = np.full(len(members), 2.0), [], int(np.argmax(self.sizes[members]))
-            for _ in range(k):  # each pivot is the member farthest from those before it
-                distances.append(self.visit(int(members[p]), members))
-                nearest = np.minimum(nearest, distances[-1])
-                p = int(np.argmax(nearest))
-                if nearest[p] == 0:
+            k = len(members) if len(members) <= LEAF else int(np.ceil(np.sqrt(len(members))))
+            nearest, rows, used = np.full(len(members), 2.0), [], []
+            for _ in range(k):  # each pivot is the one farthest from those before it
+                p = int(np.argmax(np.where(free, nearest, -1.0)))
+                if not free[p]:
                     break
-            if not self.apart(members):
-                continue
-            d = np.stack(distances)
-            own, best = d.argmin(0), d.min(0)
-            eps = 1 - self.percent / 100
-            regions = [members[(own == j) | (d[j] <= best + 2 * eps + 1e-9)] for j in range(len(d)) if (own == j).any()]
-            if sum(map(len, regions)) > 2 * len(members) or max(map(len, regions)) > 0.75 * len(members):  # windows reach everywhere
-                self.pairs(members)
-            else:
-                todo += regions
+                free[p] = False
+                used.append(p)
+                rows.append(self.visit(int(members[p]), members))
+                nearest = np.minimum(nearest, rows[-1])
+            d = np.stack(rows)
+            rest = np.ones(len(members), bool)
+            rest[used] = False
+            regions = [members[r & rest] for r in windows(d, self.percent)]
+            todo += regions if sum(map(len, regions)) <= 2 * len(members) else [members[rest]]
+
+
+def windows(d: np.ndarray, percent: int) -> np.ndarray:
+    """(pivot, member) -> whether the member goes to the pivot's region, from distances (pivot, member); the last row
+    is the region of those that all pivots are far from.
+
+    A pair within eps has d(x, p_j) <= d(x, p_i) + 2 eps, p_i being x's own pivot and p_j the other's: x is replicated
+    to each region within that window. If one of them is nearer than 1 - eps to its own pivot, the other is nearer
+    than 1 to it and goes there; else both are in the last region. So no one need go where it shares nothing.
+    """
+    best, eps = d.min(0), 1 - percent / 100
+    return np.concatenate([(d <= best + 2 * eps + 1e-9) & (d < 1), [best >= 1 - eps - 1e-9]])
 
 
-def connect(sets: list[np.ndarray], sizes: np.ndarray, percent: int = PERCENT) -> list[int]:
+def connect(sets: list[np.ndarray], sizes: np.ndarray, percent: int = PERCENT, labels: list | None = None) -> list[int]:
     """For each set the number of the first set of its component."""
-    space = Space(sets, sizes, percent)
+    space = Space(sets, sizes, percent, labels)
     space.join(np.arange(len(sets)))
-    return [space.root(i) for i in range(len(sets))]
+    return [space.found.root(i) for i in range(len(sets))]
 
 
 # ---- the distributed part -----------------------------------------------------------------------------------------
@@ -184,12 +196,15 @@ def shingle_lists(docs: DataFrame, buckets: int, id_col: str, text_col: str, siz
     """(key, n, ids, shared): a row per distinct set of a batch: its key, size and documents, and, rarest first, its
     shingles that other sets have too; null where so many are its own that no partner can exist."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shift = np.uint64(64 - max(1, (buckets - 1).bit_length()))
+    bits = max(1, (buckets - 1).bit_length())
+    top, up, low = np.uint64(64 - bits), np.uint64(bits), np.uint64(ORDINAL_BITS)
     frame = ["bucket", "batch", "header", "entries"]
+    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], frame)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, part = _Hashes(), TaskContext.get().partitionId()
-        for number, (ids, texts) in enumerate(batched(batches, BATCH_BYTES, 60_000)):
+        for number, (ids, texts) in enumerate(batched(batches, BATCH_BYTES, 1 << ORDINAL_BITS)):
             at: dict[bytes, int] = {}
             keys, sets, owners = [], [], []
             for i, t in zip(ids, texts, strict=True):
@@ -202,51 +217,54 @@ def shingle_lists(docs: DataFrame, buckets: int, id_col: str, text_col: str, siz
                     owners.append([])
                 owners[k].append(i)
             n = np.array([len(s) for s in sets], np.int64)
-            packed = np.sort(np.concatenate(sets) & ~ORDINAL | np.repeat(np.arange(len(sets), dtype=np.uint64), n))
-            to = (packed >> shift).astype(np.int64)
+            every = np.concatenate(sets)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], np.repeat(np.arange(len(sets), dtype=np.uint64), n)[order]
+            to = (every >> top).astype(np.int64)
+            packed = every << up & ~ORDINAL | owner
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
             batch = part << 32 | number
-            out = [(batch % buckets, batch, pickle.dumps((keys, n, owners)), None)]
-            out += [(int(to[a]), batch, None, packed[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], frame)
+            yield table([(batch % buckets, batch, pickle.dumps((keys, n, owners)), None), *[(int(to[a]), batch, None, packed[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, parts = [], []
+        held: dict[int, tuple[list, list]] = {}
         for b in batches:
-            for batch, header, entries in zip(*(b.column(c).to_pylist() for c in ("batch", "header", "entries")), strict=True):
+            for bucket, batch, header, entries in zip(*(b.column(c).to_pylist() for c in frame), strict=True):
                 if header is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([batch], pa.int64()), pa.array([header], pa.binary()), pa.array([None], pa.binary())], frame)
+                    yield table([(bucket, batch, header, None)])
                 else:
+                    owner, parts = held.setdefault(bucket, ([], []))
                     owner.append(batch)
                     parts.append(np.frombuffer(entries, np.uint64))
-        if not parts:
-            return
-        packed = np.concatenate(parts)
-        names, which = np.unique(np.array(owner, np.int64), return_inverse=True)
-        batch = np.repeat(which, [len(p) for p in parts])
-        del parts
-        order = np.argsort(packed >> np.uint64(16), kind="stable")
-        packed, batch = packed[order], batch[order]
-        start = np.flatnonzero(np.append(True, np.diff(packed >> np.uint64(16)) != 0))
-        many = np.diff(np.append(start, len(packed)))
-        often = np.repeat(many, many)
-        keep = often > 1
-        packed, batch, often = packed[keep], batch[keep], np.minimum(often[keep], 0xFFFFFFFF).astype(np.uint32)
-        order = np.argsort(batch, kind="stable")
-        packed, batch, often = packed[order], batch[order], often[order]
-        cuts = np.searchsorted(batch, np.arange(len(names) + 1))
-        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if b > a:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([int(names[k])], pa.int64()), pa.array([None], pa.binary()), pa.array([packed[a:b].tobytes() + often[a:b].tobytes()], pa.binary())], frame)
+        for bucket in list(held):
+            owner, parts = held.pop(bucket)
+            packed = np.concatenate(parts)
+            names, which = np.unique(np.array(owner, np.int64), return_inverse=True)
+            batch = np.repeat(which, [len(p) for p in parts])
+            del parts
+            order = np.argsort(packed >> low, kind="stable")
+            packed, batch = packed[order], batch[order]
+            start = np.flatnonzero(np.append(True, np.diff(packed >> low) != 0))
+            many = np.diff(np.append(start, len(packed)))
+            often = np.repeat(many, many)
+            keep = often > 1
+            packed, batch, often = packed[keep], batch[keep], np.minimum(often[keep], 0xFFFFFFFF).astype(np.uint32)
+            order = np.argsort(batch, kind="stable")
+            packed, batch, often = packed[order], batch[order], often[order]
+            cuts = np.searchsorted(batch, np.arange(len(names) + 1))
+            for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if b > a:
+                    yield table([(bucket, int(names[k]), None, packed[a:b].tobytes() + often[a:b].tobytes())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(header: bytes, parts: list[bytes]) -> pa.RecordBatch:
+        def one(header: bytes, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
             keys, n, owners = pickle.loads(header)
-            packed = np.concatenate([np.frombuffer(p[: len(p) // 12 * 8], np.uint64) for p in parts] or [np.zeros(0, np.uint64)])
-            often = np.concatenate([np.frombuffer(p[len(p) // 12 * 8 :], np.uint32) for p in parts] or [np.zeros(0, np.uint32)])
-            owner = (packed & ORDINAL).astype(np.int64)
-            order = np.lexsort((packed, often, owner))
-            value, owner = (packed >> np.uint64(16))[order], owner[order]
+            packed = [(np.uint64(b) << top, np.frombuffer(p[: len(p) // 12 * 8], np.uint64)) for b, p in parts]
+            value = np.concatenate([b | p >> low << low >> up for b, p in packed] or [np.zeros(0, np.uint64)])
+            owner = np.concatenate([p & ORDINAL for _, p in packed] or [np.zeros(0, np.uint64)]).astype(np.int64)
+            often = np.concatenate([np.frombuffer(p[len(p) // 12 * 8 :], np.uint32) for _, p in parts] or [np.zeros(0, np.uint32)])
+            order = np.lexsort((value, often, owner))
+            value, owner = value[order], owner[order]
             cuts = np.searchsorted(owner, np.arange(len(keys) + 1)).tolist()
             lists = []
             for k, m in enumerate(n.tolist()):
@@ -256,7 +274,7 @@ def shingle_lists(docs: DataFrame, buckets: int, id_col: str, text_col: str, siz
 
         at, header, parts = None, None, []
         for b in batches:
-            for batch, h, entries in zip(*(b.column(c).to_pylist() for c in ("batch", "header", "entries")), strict=True):
+            for bucket, batch, h, entries in zip(*(b.column(c).to_pylist() for c in frame), strict=True):
                 if batch != at:
                     if header is not None:
                         yield one(header, parts)
@@ -264,7 +282,7 @@ def shingle_lists(docs: DataFrame, buckets: int, id_col: str, text_col: str, siz
                 if h is not None:
                     header = h
                 else:
-                    parts.append(entries)
+                    parts.append((bucket, entries))
         if header is not None:
             yield one(header, parts)
 
@@ -278,58 +296,200 @@ def shingle_lists(docs: DataFrame, buckets: int, id_col: str, text_col: str, siz
 
 
 def candidate_edges(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a star over the sets that share a shingle of their prefixes, for each stretch of sizes without a gap
-    that no pair of partners could reach over; its centre is the stretch's smallest key."""
+    """(a, b) that connect all sets that share a shingle of their prefixes and are of near enough size.
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Sizes fall into classes by powers of 100 / percent, so that partners are in the same class or in neighbouring
+    ones. Each stretch of rows is joined on the spot and sends one set for a shingle and class, however many have it;
+    what is sent meets by shingle, once more a set for a stretch.
+    """
+    bounds = size_classes(percent)
+    frame, types = ["shingle", "class", "key", "a", "b"], (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+    def out(found: Forest, sent: list[tuple] = ()) -> Iterator[pa.RecordBatch]:
+        rows = [(s, c, found.root(k), None, None) for s, c, k in sent] + [(None, None, None, a, b) for a, b in found.edges()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], frame)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> Iterator[pa.RecordBatch]:
+            for (s, c), k in seen.items():
+                if (other := seen.get((s, c + 1))) is not None:
+                    found.join(k, other)
+            yield from out(found, [(s, c, k) for (s, c), k in seen.items()])
+
+        found, seen = Forest(), {}
         for b in batches:
             for key, n, shared in zip(*(b.column(c).to_pylist() for c in ("key", "n", "shared")), strict=True):
-                own = n - len(shared) // 8
-                s = np.frombuffer(shared, np.uint64)[: prefix(n, percent) - own].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([key] * len(s), pa.binary()), pa.array(np.full(len(s), n))], ["shingle", "key", "n"])
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        rows = pa.Table.from_batches(held) if held else None
-        if rows is None or not rows.num_rows:
-            return
-        s, n = rows.column("shingle").to_numpy(), rows.column("n").to_numpy()
-        names, who = np.unique(np.frombuffer(b"".join(rows.column("key").to_pylist()), ">u8").reshape(-1, 2), axis=0, return_inverse=True)
-        order = np.lexsort((n, s))
-        s, n, who = s[order], n[order], who[order]
-        new = np.append(True, (s[1:] != s[:-1]) | (100 * n[:-1] < percent * n[1:]))  # no pair reaches over a gap in size
-        at = np.cumsum(new) - 1
-        centre = np.minimum.reduceat(who, np.flatnonzero(new))[at]
-        if (far := who != centre).any():
-            pairs = np.unique(np.stack([centre[far], who[far]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in names[pairs[:, k]]], pa.binary()) for k in (0, 1)], ["a", "b"])
-
-    spread = lists.select("key", "n", "shared").mapInArrow(first, "shingle long, key binary, n long")
-    return spread.repartition("shingle").mapInArrow(stars, "a binary, b binary").distinct()
+                c = bisect_right(bounds, n)
+                for s in np.frombuffer(shared, np.int64)[: prefix(n, percent) - n + len(shared) // 8].tolist():
+                    if (other := seen.setdefault((s, c), key)) is not key:
+                        found.join(other, key)
+                if len(seen) >= 500_000:
+                    yield from sent()
+                    found, seen = Forest(), {}
+        yield from sent()
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, last, held = Forest(), (None, 0), b""
+        for b in batches:
+            for s, c, key in zip(*(b.column(c).to_pylist() for c in frame[:3]), strict=True):
+                if s == last[0] and c <= last[1] + 1 and key != held:
+                    found.join(held, key)
+                last, held = (s, c), key
+                if len(found.up) >= 500_000:
+                    yield from out(found)
+                    found = Forest()
+        yield from out(found)
 
+    schema = "shingle long, class int, key binary, a binary, b binary"
+    sent = stored(lists.select("key", "n", "shared").mapInArrow(near, schema), "stars")
+    apart = sent.where("key IS NOT NULL").select(*frame).repartition("shingle").sortWithinPartitions("shingle", "class").mapInArrow(far, schema)
+    return sent.where("key IS NULL").select("a", "b").union(apart.select("a", "b"))
+
+
+def size_classes(percent: int) -> list[int]:
+    """Where size classes begin: sizes of partners are at most a factor 100 / percent apart, hence in one class or in
+    neighbouring ones."""
+    step, at, out = Fraction(100, min(percent, 99)), Fraction(1), []
+    while at < 1 << 40:
+        at *= step
+        out.append(-(-at.numerator // at.denominator))
+    return out
+
+
+ROW = "space binary, key binary, n long, shared binary, label binary"
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of a sorted partition, group by group, the first columns being the group's."""
+    at, held = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:keys] != at:
+                if held:
+                    yield at, held
+                at, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield at, held
 
-def linked(lists: DataFrame, spaces: DataFrame, percent: int) -> DataFrame:
-    """(key, head): for each set of a space with a link, the set that stands for its component."""
+
+def joined_in_place(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, head) of small spaces: the set that stands for each set's component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(keys: list, sizes: list, sets: list) -> pa.RecordBatch:
-            found = connect([np.frombuffer(s, np.uint64) for s in sets], np.array(sizes), percent)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([keys[f] for f in found], pa.binary())], ["key", "head"])
+        for _, held in groups(batches, 1):
+            keys, sizes, sets, labels = (list(c) for c in zip(*held, strict=True))
+            heads = connect([np.frombuffer(s, np.uint64) for s in sets], np.array(sizes), percent, labels)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([keys[h] for h in heads], pa.binary())], ["key", "head"])
 
-        at, held = None, ([], [], [])
-        for b in batches:
-            for root, *x in zip(*(b.column(c).to_pylist() for c in ("root", "key", "n", "shared")), strict=True):
-                if root != at:
-                    if held[0]:
-                        yield one(*held)
-                    at, held = root, ([], [], [])
-                for into, v in zip(held, x, strict=True):
-                    into.append(v)
-        if held[0]:
-            yield one(*held)
+    ordered = rows.select("space", "key", "n", "shared", "label").repartition("space").sortWithinPartitions("space", "key")
+    return ordered.mapInArrow(run, "key binary, head binary")
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """(space, sets, bytes, main, others, small): what there is in a space, its most frequent label, and how many sets
+    have another. Spaces of one label only are left out: they are connected."""
+    each = rows.groupBy("space", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("bytes"))
+    sizes = each.groupBy("space").agg(F.sum("c").alias("sets"), F.sum("bytes").alias("bytes"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    return sizes.select("space", "sets", "bytes", F.col("top.label").alias("main"), (F.col("sets") - F.col("top.c")).alias("others"), ((F.col("sets") <= LEAF_SETS) & (F.col("bytes") <= LEAF_BYTES)).alias("small"))
+
+
+def met_pivots(rows: DataFrame, percent: int, level: int) -> DataFrame:
+    """(space, key, n, shared, label, near, regions) for the members of large spaces: the pivots that each is linked
+    to, with their labels, and those whose regions it goes to; none for the pivots themselves.
+
+    Pivots are the sets outside the main label with the smallest hashes, about as many as wanted, one at least.
+    Members are dealt into blocks of about BLOCK_SETS, and the pivots are sent to each block.
+    """
+    luck = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.withColumn("luck", F.when(F.col("label") != F.col("main"), luck))
+    first = drawn.where("luck IS NOT NULL").groupBy("space").agg(F.min(F.struct("luck", "key")).alias("x")).select("space", F.col("x.key").alias("least"))
+    wanted = F.greatest(F.lit(1.0), F.least(F.lit(float(PIVOTS << min(level, 4))), F.ceil(F.col("sets") / (LEAF_SETS // 4)).cast("double") * F.lit(float(1 << min(level, 4))), F.lit(float(PIVOT_BYTES)) * F.col("sets") / F.greatest(F.col("bytes"), F.lit(1))))
+    marked = drawn.join(first, "space").withColumn("pivot", F.col("luck").isNotNull() & ((F.col("luck") < wanted / F.col("others")) | (F.col("key") == F.col("least"))))
+    blocks = F.ceil(F.col("sets") / BLOCK_SETS).cast("int")
+    base = ["space", "key", "n", "shared", "label", "pivot"]
+    members = marked.select(*base, F.lit(False).alias("visits"), F.pmod(F.xxhash64("key"), blocks.cast("long")).cast("int").alias("block"))
+    pivots = marked.where("pivot").select(*base, F.lit(True).alias("visits"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    names = ["space", "key", "n", "shared", "label", "near", "regions"]
+    link = pa.list_(pa.struct([("key", pa.binary()), ("label", pa.binary())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (space, _), held in groups(batches, 2):
+            pivots = [r for r in held if r[5]]
+            for at in range(0, len(held) - len(pivots), 2 * BLOCK_SETS):
+                here = [r for r in held if not r[5]][at : at + 2 * BLOCK_SETS]
+                if not here or not pivots:
+                    continue
+                every = pivots + here
+                met = Space([np.frombuffer(r[2], np.uint64) for r in every], np.array([r[1] for r in every]), percent)
+                who = np.arange(len(pivots), len(every))
+                d, linked = (np.stack(x) for x in zip(*(met.distances(p, who) for p in range(len(pivots))), strict=True))
+                goes, names_of = windows(d, percent), [*[r[0] for r in pivots], b""]
+                near = [[{"key": pivots[p][0], "label": pivots[p][3]} for p in np.flatnonzero(linked[:, i]).tolist()] for i in range(len(here))]
+                regions = [[] if here[i][4] else [names_of[p] for p in np.flatnonzero(goes[:, i]).tolist()] for i in range(len(here))]
+                keys, sizes, sets, labels = (list(c) for c in list(zip(*here, strict=True))[:4])
+                cols = [pa.array([space] * len(here), pa.binary()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(labels, pa.binary()), pa.array(near, link), pa.array(regions, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    dealt = members.unionByName(pivots).select("space", "block", "key", "n", "shared", "label", "pivot", "visits").repartition("space", "block").sortWithinPartitions("space", "block")
+    return dealt.mapInArrow(run, f"{ROW}, near array<struct<key:binary,label:binary>>, regions array<binary>")
+
+
+def relabelled(met: DataFrame) -> DataFrame:
+    """(space, label, into): labels of a space that its pivots connect, each with the smallest of them.
+
+    A member that is linked to several pivots connects their labels and, if others have its label too, that one. So
+    there are no more different pairs than pairs of pivots and of pivots with labels of earlier pivots.
+    """
+    first = F.col("near")[0]["label"]
+    pairs = met.where("size(near) > 0").select("space", first.alias("a"), F.explode(F.array_union(F.transform("near", lambda x: x["label"]), F.when(F.col("label") != F.col("key"), F.array("label")).otherwise(F.expr("cast(array() as array<binary>)")))).alias("b")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (space,), held in groups(batches, 1):
+            found = Forest()
+            for a, b in held:
+                found.join(a, b)
+            labels = list(found.up)
+            yield pa.RecordBatch.from_arrays([pa.array([space] * len(labels), pa.binary()), pa.array(labels, pa.binary()), pa.array([found.root(x) for x in labels], pa.binary())], ["space", "label", "into"])
+
+    return pairs.select("space", "a", "b").repartition("space").sortWithinPartitions("space").mapInArrow(run, "space binary, label binary, into binary")
 
-    rows = lists.join(spaces.select(F.col("node").alias("key"), "root"), "key").select("root", "key", "n", "shared")
-    return rows.repartition("root").sortWithinPartitions("root", "key").mapInArrow(run, "key binary, head binary")
+
+def linked(lists: DataFrame, spaces: DataFrame, percent: int) -> DataFrame:
+    """(key, head): for each set of a space with a link, the set that stands for its component.
+
+    Small spaces are joined in place. A round over the others takes new pivots; regions are the next round's spaces,
+    or, where windows reach everywhere (more than two regions a member), the space without its pivots, which then
+    gets twice as many. Links found on the way are edges; their components are found once, at the end.
+    """
+    rows = lists.join(spaces.select(F.col("node").alias("key"), F.col("root").alias("space")), "key").select("space", "key", "n", "shared", "bytes", F.col("key").alias("label"))
+    level, edges, heads = 0, None, None
+    while True:
+        sizes = stored(measured(rows), "sizes")
+        small = joined_in_place(rows.join(sizes.where("small").select("space"), "space", "left_semi"), percent)
+        large = sizes.where("NOT small")
+        if level == 0:
+            heads = stored(small, "heads")  # spaces have nothing in common
+        else:
+            edges = edges.unionByName(small.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")))
+        if large.isEmpty():
+            break
+        met = stored(met_pivots(rows.drop("bytes").join(large, "space"), percent, level), "met")
+        links = met.where("size(near) > 0").select("key", F.explode("near").alias("p")).select(F.col("key").alias("a"), F.col("p.key").alias("b")).where("a <> b")
+        edges = links if edges is None else edges.unionByName(links)
+        into = relabelled(met)
+        own = F.when(F.size("near") > 0, F.col("near")[0]["label"]).otherwise(F.col("label"))
+        rest = met.where("size(regions) > 0").select("space", "key", "n", "shared", own.alias("label"), "regions")
+        rest = rest.join(into, ["space", "label"], "left").withColumn("label", F.coalesce("into", "label")).drop("into")
+        reach = met.groupBy("space").agg((F.sum(F.size("regions")) > 2 * F.count(F.lit(1))).alias("whole"))
+        named = F.unhex(F.md5(F.concat("space", F.col("region")))).alias("space")
+        rest = rest.join(reach, "space").withColumn("region", F.explode(F.when(F.col("whole"), F.array(F.lit(b""))).otherwise(F.col("regions"))))
+        rows = stored(rest.select(named, "key", "n", "shared", F.octet_length("shared").alias("bytes"), "label"), "spaces")
+        level += 1
+    if edges is None:
+        return heads
+    return heads.unionByName(components(edges).select(F.col("node").alias("key"), F.col("root").alias("head")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -337,34 +497,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents of equal sets are one set from the start. Null and empty texts have no shingles, link with nothing and
     keep their own id. Repeated ids are rows of their own; null ids are reached but never the smallest, unless a
-    component has no other. An empty table gives an empty result; other columns are ignored.
+    component has no other. Very long texts are sets like others, whole. An empty table gives an empty result; other
+    columns, whatever their names, are ignored.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = stored(shingle_lists(docs, max(2, 4 * partitions), id_col, text_col, size, percent), "sets")
-    lists = stored(table.where("shared IS NOT NULL").groupBy("key").agg(F.max("n").alias("n"), F.max("shared").alias("shared")), "lists")
+    lists = stored(table.where("shared IS NOT NULL").groupBy("key").agg(F.max("n").alias("n"), F.max("shared").alias("shared")).withColumn("bytes", F.octet_length("shared")), "lists")
     spaces = components(candidate_edges(lists, percent))
     heads = linked(lists, spaces, percent)
-    smallest = table.groupBy("key").agg(F.min(F.array_min("ids")).alias("least"))
+    smallest = table.where("n > 0").groupBy("key").agg(F.min(F.array_min("ids")).alias("least"))
     known = smallest.join(heads, "key", "left").withColumn("head", F.coalesce("head", "key"))
     least = known.groupBy("head").agg(F.min("least").alias("component_id"))
     to = known.join(least, "head").select("key", "component_id")
-    rows = table.select("key", "n", F.explode("ids").alias("doc_id"))
-    return rows.join(to, "key").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    bare = table.where("n = 0").select(F.explode("ids").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"))
+    rows = table.where("n > 0").select("key", "n", "ids").join(to, "key")  # a row a batch, however many copies
+    return rows.select(F.explode("ids").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id").unionByName(bare.withColumn("component_id", F.col("doc_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of linked documents: the one of the smallest id (of equal ids, the smallest
-    text key; of rows equal in both, any). Documents without words link with nothing and stay. Same columns."""
-    marked = docs.withColumn("_key", text_key("text"))
-    found = near_duplicates(marked.select(F.struct("doc_id", "_key").alias("id"), "text"), id_col="id")
-    kept = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._key").alias("_k"), F.lit(1).alias("_once"))
-    bare = found.where("n_shingles = 0").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._key").alias("_k"), F.lit(0).alias("_once"))
-    keep = kept.unionByName(bare).groupBy("_id", "_k").agg(F.max("_once").alias("_once"), F.count(F.lit(1)).alias("_rows"))
-    rows = marked.join(keep, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    twice = (F.col("_once") == 1) & (F.col("_rows") > 1)
-    single = rows.where(~twice).select(*docs.columns)
-    repeated = rows.where(twice).select(*docs.columns, "_key").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
-    return single.unionByName(repeated)
+    text key; of rows equal in both, the one that comes first as JSON). Documents without words link with nothing and
+    stay, repeated or not. Same columns, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(row.alias("row"), F.struct(F.col("doc_id"), text_key("text").alias("key")).alias("id"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    found = near_duplicates(whole.where("worded").select("id", F.col("row.text").alias("text")), id_col="id")
+    kept = found.where(F.col("doc_id") == F.col("component_id"))
+    keep = kept.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
+    keep = keep.select(F.col("id.key").alias("k"), F.col("id.doc_id").alias("i"), "rows")
+    rows = whole.where("worded").join(keep, (F.col("id.key") == F.col("k")) & F.col("id.doc_id").eqNullSafe(F.col("i")))
+    repeated = rows.where("rows > 1").groupBy("id").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return whole.where("NOT worded").select("row").unionByName(rows.where("rows = 1").select("row")).unionByName(repeated).select("row.*")
 
 
 def op10_jaccard_metric_join(spark, sf_dir: str) -> DataFrame:

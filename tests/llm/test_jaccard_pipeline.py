@@ -78,27 +78,79 @@ def test_metric_join_with_regions_equals_all_pairs():
         assert J.connect(arrays, np.array([len(s) for s in sets])) == groups(sets), trial
 
 
+def spaces_of(r):
+    """Texts whose candidate graph has a chain, a cloud of near copies and a pair of clouds just too far apart."""
+    word = lambda: f"w{r.randrange(10**9)}"
+    chain = [word() for _ in range(1000)]
+    texts = [" ".join(chain[3 * i : 3 * i + 60]) for i in range(300)]
+    for shift in (0, 1):
+        base = [word() for _ in range(150)] if not shift else [*base[:128], *[word() for _ in range(22)]]  # noqa: F821
+        for _ in range(150):
+            ws = list(base)
+            for _ in range(r.randrange(0, 3)):
+                ws[r.randrange(len(ws))] = word()
+            texts.append(" ".join(ws))
+    return texts
+
+
+@pytest.mark.parametrize("leaf", [20, 256])
+def test_large_spaces_are_cut_over_the_cluster(table, leaf, monkeypatch):
+    monkeypatch.setattr(J, "LEAF_SETS", leaf)
+    monkeypatch.setattr(J, "BLOCK_SETS", 40)
+    texts = spaces_of(random.Random(leaf))
+    sets = [shingle_set(t) for t in texts]
+    want = groups(sets)
+    got = {r["doc_id"]: r["component_id"] for r in J.near_duplicates(table(texts)).collect()}
+    assert len(set(want)) > 1 and [got[i] for i in range(len(texts))] == want
+
+
+def test_a_chain_of_5000(table):
+    ws = [f"w{i}" for i in range(20100)]
+    texts = [" ".join(ws[4 * i : 4 * i + 80]) for i in range(5000)]
+    texts[2500], texts[2501] = "cut " * 9, ""
+    got = {r["doc_id"]: r["component_id"] for r in J.near_duplicates(table(texts)).collect()}
+    assert got == {i: 0 if i < 2500 else i if i < 2502 else 2502 for i in range(5000)}
+
+
+def test_hashes_keep_what_the_bucket_does_not_tell(table):
+    """Whatever the number of buckets, and so of bits that are left out, the sets come back the same."""
+    texts = near_copies(random.Random(9), 40)
+    want = None
+    for buckets in (2, 7, 200, 9000):
+        rows = J.shingle_lists(table(texts), buckets, "doc_id", "text", 5, 80).collect()
+        lens = sorted((bytes(r["key"]), None if r["shared"] is None else len(r["shared"])) for r in rows)
+        want = want or lens
+        assert lens == want
+
+
+def test_size_classes_hold_partners():
+    from bisect import bisect_right
+
+    bounds = J.size_classes(80)
+    for n in range(1, 3000):
+        assert bisect_right(bounds, n * 100 // 80) - bisect_right(bounds, n) <= 1
+
+
 def test_prefix_lengths_are_safe():
     for n in range(1, 300):
         assert 100 * J.needed(n) >= 80 * n > 100 * (J.needed(n) - 1) and 1 <= J.prefix(n) <= n
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_components_of_long_chains(spark, small):
+def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 100), (100, 150), (7, 7)]
-    got = {r["node"]: r["root"] for r in K.components(spark.createDataFrame(edges, "a long, b long"), small).collect()}
+    got = {r["node"]: r["root"] for r in K.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 150: 100, 200: 100}
-    assert K.components(spark.createDataFrame([], "a long, b long"), small).count() == 0
+    assert K.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_repeated_null_and_clashing(spark):
     long = " ".join(f"x{i}" for i in range(50))
-    rows = [(None, long, 1), (5, long, 2), (5, long, 2), (9, "y " * 9, 3), (9, "z " * 9, 4), (None, None, 5)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    rows = [(None, long, 1, 1), (5, long, 2, 7), (5, long, 2, 6), (9, "y " * 9, 3, 1), (9, "z " * 9, 4, 1), (None, None, 5, 1), (None, None, 5, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, key int")
     got = sorted(str((r["doc_id"], r["component_id"])) for r in J.near_duplicates(df).collect())
-    assert got == sorted(["(None, 5)", "(5, 5)", "(5, 5)", "(9, 9)", "(9, 9)", "(None, None)"])
+    assert got == sorted(["(None, 5)", "(5, 5)", "(5, 5)", "(9, 9)", "(9, 9)", "(None, None)", "(None, None)"])
     kept = J.one_of_each(df)
-    assert kept.columns == df.columns and kept.count() == 4 and J.one_of_each(df.limit(0)).count() == 0
+    assert kept.columns == df.columns and kept.count() == 5 and [r["key"] for r in kept.where("doc_id = 5").collect()] == [6] and J.one_of_each(df.limit(0)).count() == 0
 
 
 def test_pipeline_equals_plain_python(spark):
