@@ -517,9 +517,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of linked documents: the one of the smallest id (of equal ids, the smallest
     text key; of rows equal in both, the one that comes first as JSON). Documents without words link with nothing and
-    stay, repeated or not. Same columns, whatever their names."""
+    stay, repeated or not. A null id comes after all others. Same columns, whatever their names."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    whole = docs.select(row.alias("row"), F.struct(F.col("doc_id"), text_key("text").alias("key")).alias("id"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    whole = docs.select(row.alias("row"), F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), text_key("text").alias("key")).alias("id"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"))
     found = near_duplicates(whole.where("worded").select("id", F.col("row.text").alias("text")), id_col="id")
     kept = found.where(F.col("doc_id") == F.col("component_id"))
     keep = kept.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
