@@ -58,24 +58,36 @@ def contracted(edges: DataFrame, rows: int = 200_000) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+#: Rows of a narrow table that one task takes; tables of fewer rows need no exchange at all.
+TASK_ROWS = 200_000
+
+
+def dealt(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """A table of about so many rows in no more partitions than they make tasks."""
+    return df.coalesce(max(1, -(-rows // task_rows)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the component's smallest node.
 
     Each round hangs neighbours on the smallest one they know: only minima per node are aggregated, never lists of
-    neighbours, so a node with very many of them does no harm. Every round is written to the shared folder.
+    neighbours, so a node with very many of them does no harm. Every round is written to the shared folder; the
+    number of tasks follows the number of edges.
     """
     tell = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    now = stored(contracted(edges.where("a <> b")).distinct(), "edges")  # a > b
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    now = stored(contracted(edges.where("a <> b")), "edges")  # a > b
     known = tell(now)
     while known[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rows = 2 * known[0]
+        both = dealt(now, rows).select(F.explode(F.array(pair("a", "b"), pair("b", "a"))).alias("e")).select("e.*")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = dealt(large, rows)
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(small, "a")
-        after = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(small.select("a", F.col("m").alias("b"))).distinct()
-        now = stored(after, "edges")
+        hung = large.join(small, "a").select(F.explode(F.array(pair("b", "m"), pair("a", "m"))).alias("e")).select("e.*")
+        now = stored(dealt(hung.where("a <> b"), rows).distinct(), "edges")
         before, known = known, tell(now)
         if known == before:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    return stored(dealt(now, known[0]).select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))).alias("e")).select("e.*").distinct(), "components")

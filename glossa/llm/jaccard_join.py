@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import stored, text_key, utf8
-from glossa.llm.components import Forest, components
+from glossa.llm.components import Forest, components, dealt
 
 SHINGLE = 5
 #: Linked when 100 * intersection >= PERCENT * union.
@@ -42,7 +42,7 @@ ORDINAL_BITS = 12
 #: A space of more sets or bytes than this is cut into regions over the cluster; its members meet its pivots in blocks
 #: of BLOCK_SETS. In a task, LEAF sets are compared with each other.
 LEAF_SETS, LEAF_BYTES, BLOCK_SETS, LEAF = 256, 16 << 20, 128, 24
-#: Pivots of a space in its first round, at most; twice as many whenever the windows reach everywhere.
+#: Pivots of a space in its first round, at most, eight times as many in each further one, and bytes of them in a task.
 PIVOTS, PIVOT_BYTES = 64, 8 << 20
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -399,41 +399,43 @@ def met_pivots(rows: DataFrame, percent: int, level: int) -> DataFrame:
     """(space, key, n, shared, label, near, regions) for the members of large spaces: the pivots that each is linked
     to, with their labels, and those whose regions it goes to; none for the pivots themselves.
 
-    Pivots are the sets outside the main label with the smallest hashes, about as many as wanted, one at least.
-    Members are dealt into blocks of about BLOCK_SETS, and the pivots are sent to each block.
+    Pivots are drawn by hash from the sets outside the main label, about as many as wanted; a space from which none
+    was drawn is one region. Members are dealt into blocks of about BLOCK_SETS, and the pivots are sent to each block.
     """
     luck = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.withColumn("luck", F.when(F.col("label") != F.col("main"), luck))
-    first = drawn.where("luck IS NOT NULL").groupBy("space").agg(F.min(F.struct("luck", "key")).alias("x")).select("space", F.col("x.key").alias("least"))
-    wanted = F.greatest(F.lit(1.0), F.least(F.lit(float(PIVOTS << min(level, 4))), F.ceil(F.col("sets") / (LEAF_SETS // 4)).cast("double") * F.lit(float(1 << min(level, 4))), F.lit(float(PIVOT_BYTES)) * F.col("sets") / F.greatest(F.col("bytes"), F.lit(1))))
-    marked = drawn.join(first, "space").withColumn("pivot", F.col("luck").isNotNull() & ((F.col("luck") < wanted / F.col("others")) | (F.col("key") == F.col("least"))))
+    times = float(8 ** min(level, 6))
+    most = F.least(F.lit(PIVOTS * times), F.ceil(F.col("sets") / (LEAF_SETS // 4)).cast("double") * times, F.lit(float(PIVOT_BYTES)) * F.col("sets") / F.greatest(F.col("bytes"), F.lit(1)))
+    marked = rows.withColumn("pivot", (F.col("label") != F.col("main")) & (luck < F.greatest(F.lit(4.0), most) / F.col("others")))
     blocks = F.ceil(F.col("sets") / BLOCK_SETS).cast("int")
-    base = ["space", "key", "n", "shared", "label", "pivot"]
-    members = marked.select(*base, F.lit(False).alias("visits"), F.pmod(F.xxhash64("key"), blocks.cast("long")).cast("int").alias("block"))
-    pivots = marked.where("pivot").select(*base, F.lit(True).alias("visits"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    own = F.pmod(F.xxhash64("key"), blocks.cast("long")).cast("int")
+    at = F.array(F.struct(own.alias("block"), F.lit(False).alias("visits")))
+    sent = F.concat(at, F.when(F.col("pivot"), F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(x.alias("block"), F.lit(True).alias("visits")))).otherwise(F.array().cast("array<struct<block:int,visits:boolean>>")))
+    base = ["key", "n", "shared", "label", "pivot"]
+    dealt_out = marked.select("space", *base, F.explode(sent).alias("x")).select("space", "x.block", *base, "x.visits")
     names = ["space", "key", "n", "shared", "label", "near", "regions"]
     link = pa.list_(pa.struct([("key", pa.binary()), ("label", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (space, _), held in groups(batches, 2):
-            pivots = [r for r in held if r[5]]
-            for at in range(0, len(held) - len(pivots), 2 * BLOCK_SETS):
-                here = [r for r in held if not r[5]][at : at + 2 * BLOCK_SETS]
-                if not here or not pivots:
-                    continue
-                every = pivots + here
-                met = Space([np.frombuffer(r[2], np.uint64) for r in every], np.array([r[1] for r in every]), percent)
-                who = np.arange(len(pivots), len(every))
-                d, linked = (np.stack(x) for x in zip(*(met.distances(p, who) for p in range(len(pivots))), strict=True))
-                goes, names_of = windows(d, percent), [*[r[0] for r in pivots], b""]
-                near = [[{"key": pivots[p][0], "label": pivots[p][3]} for p in np.flatnonzero(linked[:, i]).tolist()] for i in range(len(here))]
-                regions = [[] if here[i][4] else [names_of[p] for p in np.flatnonzero(goes[:, i]).tolist()] for i in range(len(here))]
+            pivots, members = [r for r in held if r[5]], [r for r in held if not r[5]]
+            named = [*[r[0] for r in pivots], b""]
+            for at in range(0, len(members), 2 * BLOCK_SETS):
+                here = members[at : at + 2 * BLOCK_SETS]
+                near, regions = [[] for _ in here], [[b""] for _ in here]
+                if pivots:
+                    every = pivots + here
+                    met = Space([np.frombuffer(r[2], np.uint64) for r in every], np.array([r[1] for r in every]), percent)
+                    who = np.arange(len(pivots), len(every))
+                    d, linked = (np.stack(x) for x in zip(*(met.distances(p, who) for p in range(len(pivots))), strict=True))
+                    goes = windows(d, percent)
+                    near = [[{"key": pivots[p][0], "label": pivots[p][3]} for p in np.flatnonzero(linked[:, i]).tolist()] for i in range(len(here))]
+                    regions = [[] if r[4] else [named[p] for p in np.flatnonzero(goes[:, i]).tolist()] for i, r in enumerate(here)]
                 keys, sizes, sets, labels = (list(c) for c in list(zip(*here, strict=True))[:4])
                 cols = [pa.array([space] * len(here), pa.binary()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(labels, pa.binary()), pa.array(near, link), pa.array(regions, pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    dealt = members.unionByName(pivots).select("space", "block", "key", "n", "shared", "label", "pivot", "visits").repartition("space", "block").sortWithinPartitions("space", "block")
-    return dealt.mapInArrow(run, f"{ROW}, near array<struct<key:binary,label:binary>>, regions array<binary>")
+    ordered = dealt_out.repartition("space", "block").sortWithinPartitions("space", "block")
+    return ordered.mapInArrow(run, f"{ROW}, near array<struct<key:binary,label:binary>>, regions array<binary>")
 
 
 def relabelled(met: DataFrame) -> DataFrame:
@@ -445,47 +447,54 @@ def relabelled(met: DataFrame) -> DataFrame:
     first = F.col("near")[0]["label"]
     pairs = met.where("size(near) > 0").select("space", first.alias("a"), F.explode(F.array_union(F.transform("near", lambda x: x["label"]), F.when(F.col("label") != F.col("key"), F.array("label")).otherwise(F.expr("cast(array() as array<binary>)")))).alias("b")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (space,), held in groups(batches, 1):
-            found = Forest()
-            for a, b in held:
-                found.join(a, b)
-            labels = list(found.up)
-            yield pa.RecordBatch.from_arrays([pa.array([space] * len(labels), pa.binary()), pa.array(labels, pa.binary()), pa.array([found.root(x) for x in labels], pa.binary())], ["space", "label", "into"])
+    def run(key: tuple, held: pa.Table) -> pa.Table:
+        found = Forest()
+        for a, b in zip(held["a"].to_pylist(), held["b"].to_pylist(), strict=True):
+            found.join(a, b)
+        labels = list(found.up)
+        return pa.table([pa.array([key[0].as_py()] * len(labels), pa.binary()), pa.array(labels, pa.binary()), pa.array([found.root(x) for x in labels], pa.binary())], ["space", "label", "into"])
+
+    return pairs.groupBy("space").applyInArrow(run, "space binary, label binary, into binary")
+
 
-    return pairs.select("space", "a", "b").repartition("space").sortWithinPartitions("space").mapInArrow(run, "space binary, label binary, into binary")
+def next_round(met: DataFrame) -> DataFrame:
+    """The rows of the next round: each region is a space, or, where windows reach everywhere (more than two regions a
+    member), the space as it is without its pivots."""
+    into = stored(relabelled(met), "labels")
+    reach = stored(met.groupBy("space").agg((F.sum(F.size("regions")) > 2 * F.count(F.lit(1))).alias("whole")), "reach")
+    own = F.when(F.size("near") > 0, F.col("near")[0]["label"]).otherwise(F.col("label"))
+    rest = met.where("size(regions) > 0").select("space", "key", "n", "shared", own.alias("label"), "regions")
+    rest = rest.join(into, ["space", "label"], "left").withColumn("label", F.coalesce("into", "label")).join(reach, "space")
+    rest = rest.withColumn("region", F.explode(F.when(F.col("whole"), F.array(F.lit(b""))).otherwise(F.col("regions"))))
+    return rest.select(F.unhex(F.md5(F.concat("space", F.col("region")))).alias("space"), "key", "n", "shared", F.octet_length("shared").alias("bytes"), "label")
 
 
 def linked(lists: DataFrame, spaces: DataFrame, percent: int) -> DataFrame:
     """(key, head): for each set of a space with a link, the set that stands for its component.
 
-    Small spaces are joined in place. A round over the others takes new pivots; regions are the next round's spaces,
-    or, where windows reach everywhere (more than two regions a member), the space without its pivots, which then
-    gets twice as many. Links found on the way are edges; their components are found once, at the end.
+    Small spaces are joined in place, the others cut by new pivots, round by round. Spaces have nothing in common, so
+    the first round's small ones are done; of those that were cut, the links are edges whose components are found
+    once, at the end.
     """
-    rows = lists.join(spaces.select(F.col("node").alias("key"), F.col("root").alias("space")), "key").select("space", "key", "n", "shared", "bytes", F.col("key").alias("label"))
+    spaces = spaces.select(F.col("node").alias("key"), F.col("root").alias("space"))
+    rows = lists.join(spaces, "key").select("space", "key", "n", "shared", "bytes", F.col("key").alias("label"))
     level, edges, heads = 0, None, None
     while True:
         sizes = stored(measured(rows), "sizes")
         small = joined_in_place(rows.join(sizes.where("small").select("space"), "space", "left_semi"), percent)
-        large = sizes.where("NOT small")
         if level == 0:
-            heads = stored(small, "heads")  # spaces have nothing in common
+            heads = stored(small, "heads")
         else:
             edges = edges.unionByName(small.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")))
+        large = sizes.where("NOT small")
         if large.isEmpty():
             break
         met = stored(met_pivots(rows.drop("bytes").join(large, "space"), percent, level), "met")
-        links = met.where("size(near) > 0").select("key", F.explode("near").alias("p")).select(F.col("key").alias("a"), F.col("p.key").alias("b")).where("a <> b")
+        met = dealt(met, met.count(), 20_000)
+        links = met.select("key", F.explode("near").alias("p")).select(F.col("key").alias("a"), F.col("p.key").alias("b")).where("a <> b")
         edges = links if edges is None else edges.unionByName(links)
-        into = relabelled(met)
-        own = F.when(F.size("near") > 0, F.col("near")[0]["label"]).otherwise(F.col("label"))
-        rest = met.where("size(regions) > 0").select("space", "key", "n", "shared", own.alias("label"), "regions")
-        rest = rest.join(into, ["space", "label"], "left").withColumn("label", F.coalesce("into", "label")).drop("into")
-        reach = met.groupBy("space").agg((F.sum(F.size("regions")) > 2 * F.count(F.lit(1))).alias("whole"))
-        named = F.unhex(F.md5(F.concat("space", F.col("region")))).alias("space")
-        rest = rest.join(reach, "space").withColumn("region", F.explode(F.when(F.col("whole"), F.array(F.lit(b""))).otherwise(F.col("regions"))))
-        rows = stored(rest.select(named, "key", "n", "shared", F.octet_length("shared").alias("bytes"), "label"), "spaces")
+        rows = stored(next_round(met), "spaces")
+        rows = dealt(rows, rows.count(), 20_000)
         level += 1
     if edges is None:
         return heads
