@@ -1,22 +1,23 @@
-"""Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
-
-Source blocks and target cells are fixed first. How many rows block i sends to cell j is one entry of a random
-matrix with given row sums (block sizes) and column sums (cell sizes): the multivariate hypergeometric law that a
-uniform permutation has. Each block draws its own row of that matrix by walking down a binary tree over the blocks,
-every node of which splits its column vector between its halves with a seed of its own; so nothing of size
-blocks x cells exists anywhere, and a retried task draws the same numbers. Then: permute inside the block, deal the
-rows out by the drawn counts, exchange, permute inside the cell. A shard is a run of whole cells, its slots are
-gapless, and every permutation of the rows is equally likely.
+"""Uniform shuffle of whole rows into shards of exact size by a hypergeometric communication matrix.
+
+The blocks are stretches of the input's partitions, the cells equal parts of the shards. How many rows block i sends
+to cell j is one entry of a random matrix with given row sums (block sizes) and column sums (cell sizes): the
+multivariate hypergeometric law that a uniform permutation has. Each block draws its own row of that matrix by walking
+down a binary tree over the blocks, every node of which splits its column vector between its halves with a seed of its
+own; so nothing of size blocks x cells exists anywhere, and a retried task draws the same numbers. Then: permute inside
+the block, deal the rows out by the drawn counts, exchange, permute inside the cell. A shard is a run of whole cells,
+its slots are gapless, and every permutation of the rows is equally likely.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: numpy's generator takes populations below this.
@@ -45,6 +46,8 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -
 
 def split_columns(rng: np.random.Generator, cells: np.ndarray, left: int) -> np.ndarray:
     """How much of each column the left half gets when it holds `left` of all rows."""
+    if cells.sum() < NUMPY_MAX:
+        return rng.multivariate_hypergeometric(cells, left, method="marginals")
     out = np.zeros_like(cells)
     rest = int(cells.sum())
     for j, c in enumerate(cells.tolist()):
@@ -73,48 +76,72 @@ def even(total: int, parts: int) -> np.ndarray:
     return np.diff(np.arange(parts + 1, dtype=np.int64) * total // parts)
 
 
-def shuffle_into_shards(docs: DataFrame, n_shards: int = 16, seed: int = 42, rows_per_cell: int = 8192, max_blocks: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot): counts of the shards differ by one at most.
-
-    Blocks come from a hash of id and text, so that a recomputed stage deals the same rows. Block and cell numbers
-    grow with the rows up to max_blocks (beyond that, blocks grow). Null ids and texts are rows like any other (a
-    null text has size 1 and the checksum of no bytes); repeated rows each get a slot; an empty table gives an empty
-    result; other columns are ignored. Fewer rows than shards leave some shards empty.
+def blocks_of(batches: Iterator[pa.RecordBatch], sizes: int, rows: int, limit: int) -> Iterator[pa.Table]:
+    """A partition in blocks of at most `rows` rows that end once they hold `limit` bytes, as column `sizes` has it."""
+    held, n, size = [], 0, 0
+    for b in batches:
+        weights = np.cumsum(b.column(sizes).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            before = int(weights[at - 1]) if at else 0
+            end = int(np.searchsorted(weights, before + limit - size)) + 1
+            end = min(b.num_rows, end, at + rows - n)
+            held.append(b.slice(at, end - at))
+            n, size, at = n + end - at, size + int(weights[end - 1]) - before, end
+            if n >= rows or size >= limit:
+                yield pa.Table.from_batches(held)
+                held, n, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def shuffle_into_shards(docs: DataFrame, n_shards: int = 16, seed: int = 42, block_rows: int = 8192, block_bytes: int = 16 << 20, max_cells: int = 4096, text_col: str = "text") -> DataFrame:
+    """(row, shard, slot): every row of docs, whole, as a struct; counts of the shards differ by one at most.
+
+    docs must give the same partitions in the same order when read again, as files do; a task that finds a block of
+    another size fails. Cells are permuted by the sort of a drawn key, which spills, so their size is not bounded by
+    memory. Null ids and texts are rows like any other, repeated rows each get a slot, a very long text is a block of
+    its own; an empty table gives an empty result; columns may have any names. Fewer rows than shards leave some
+    shards empty.
     """
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    base = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    keys = ["doc_id", "size", "text_crc32"]
-    n = docs.count()
-    blocks = max(1, min(max_blocks, math.ceil(n / rows_per_cell)))
-    per_shard = max(1, min(math.ceil(max_blocks / n_shards), math.ceil(n / n_shards / rows_per_cell)))
-    base = base.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(blocks)).cast("int"))
-    sizes = np.zeros(blocks, dtype=np.int64)
-    for r in base.groupBy("block").count().collect():  # at most max_blocks rows
-        sizes[r["block"]] = r["count"]
-    shard_rows = even(int(sizes.sum()), n_shards)
-    cells = np.concatenate([even(int(s), per_shard) for s in shard_rows])
-    first = np.concatenate([np.concatenate([[0], np.cumsum(even(int(s), per_shard))[:-1]]) for s in shard_rows])
-
-    def settled(rows: pa.Table) -> pa.Table:
-        return rows.take(pc.sort_indices(rows, sort_keys=[(k, "ascending") for k in keys])).select(keys)
-
-    def deal(key: tuple, rows: pa.Table) -> pa.Table:
-        block = key[0].as_py()
-        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, 1, block])))
-        to = np.repeat(np.arange(len(cells), dtype=np.int32), matrix_row(sizes, cells, block, seed))
-        return settled(rows).append_column("cell", pa.array(to[rng.permutation(len(rows))], pa.int32()))
-
-    def settle(key: tuple, rows: pa.Table) -> pa.Table:
-        cell = key[0].as_py()
-        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, 2, cell])))
-        rows = settled(rows).append_column("shard", pa.array(np.full(len(rows), cell // per_shard), pa.int32()))
-        return rows.append_column("slot", pa.array(first[cell] + rng.permutation(len(rows)), pa.int64()))
-
-    types = f"doc_id {dict(base.dtypes)['doc_id']}, size long, text_crc32 long"
-    dealt = base.groupBy("block").applyInArrow(deal, f"{types}, cell int")
-    return dealt.groupBy("cell").applyInArrow(settle, f"{types}, shard int, slot long")
+    size = F.octet_length(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("long")
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), size.alias("size"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for i, b in enumerate(blocks_of(batches, 0, block_rows, block_bytes)):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([i], pa.int32()), pa.array([len(b)], pa.int64())], ["part", "i", "n"])
+
+    found = sorted(tuple(r) for r in sized.select("size").mapInArrow(counted, "part int, i int, n long").collect())  # a row a block
+    sizes = np.array([n for _, _, n in found], np.int64)
+    first = dict(zip([(p, i) for p, i, _ in found], range(len(found)), strict=True))
+    total = int(sizes.sum())
+    per_shard = max(1, min(max_cells // n_shards, math.ceil(total / n_shards / block_rows)))
+    cells = np.concatenate([even(int(s), per_shard) for s in even(total, n_shards)])
+    sent = docs.sparkSession.sparkContext.broadcast((sizes, first, cells))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, (sizes, number, cells) = TaskContext.get().partitionId(), sent.value
+        for i, b in enumerate(blocks_of(batches, 1, block_rows, block_bytes)):
+            block = number.get((part, i), -1)
+            if block < 0 or sizes[block] != len(b):
+                raise ValueError("the table gives other partitions than when its rows were counted")
+            rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, 1, block])))
+            to = np.repeat(np.arange(len(cells), dtype=np.int32), matrix_row(sizes, cells, block, seed))[rng.permutation(len(b))]
+            rows = b.select(["row"]).append_column("cell", pa.array(to, pa.int32())).append_column("key", pa.array(rng.integers(0, 1 << 63, len(b))))
+            yield from rows.combine_chunks().to_batches()
+
+    from pyspark.sql.types import IntegerType, LongType, StructType
+
+    dealt = sized.mapInArrow(deal, StructType([sized.schema["row"]]).add("cell", IntegerType()).add("key", LongType()))
+    shard, at = F.floor(F.col("cell") / per_shard), F.col("cell") % per_shard
+    start = lambda k, n, parts: F.floor(k.cast("decimal(38,0)") * n / parts).cast("long")
+    rows_of = start(shard + 1, F.lit(total), n_shards) - start(shard, F.lit(total), n_shards)
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("key")) - 1
+    return dealt.select("row", shard.cast("int").alias("shard"), (start(at, rows_of, per_shard) + place).cast("long").alias("slot"))
 
 
 def op1_hypergeometric_shards(spark, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
     out = shuffle_into_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("row.doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
