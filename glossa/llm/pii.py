@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import stored, text_key
-from glossa.llm.spans import SPAN, count, in_order, joined, with_spans
+from glossa.llm.spans import clear_of, computed, count, in_order, joined, running, with_spans
 
 #: Share of an entity's information that a term may give, and the lines (or documents) that must hold both at least.
 DISCLOSURE = 0.8
 MIN_LINES = 3
+#: Code points of the parts that a text is cut into to take it apart.
+PART = 1024
 KINDS = ["email", "ip", "card", "phone", "term"]
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -47,7 +49,7 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
     ip = F.filter("ip", lambda s: s["text"].rlike(OCTETS))
     card = F.filter("card", lambda s: luhn(digits(s["text"])))
     phone = F.filter("phone", lambda s: F.length(digits(s["text"])).between(10, 15))
-    return df.withColumn("base", F.concat("email", ip, card, phone)).drop(*BASE)
+    return computed(df.withColumn("base", F.concat("email", ip, card, phone)).drop(*BASE), "base")
 
 
 def entity(span: Column) -> Column:
@@ -71,8 +73,9 @@ def telling(pairs: DataFrame, words: DataFrame, n: int, disclosure: float, min_l
 
 
 def tested(bearing: DataFrame, min_lines: int) -> DataFrame:
-    """(entity, n_c): entities on fewer than min_lines contexts have no terms to test."""
-    return bearing.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= min_lines)
+    """(entity, n_c): entities on fewer than min_lines contexts have no terms to test. Stored, so that the contexts of
+    an entity that very many have can be split where they are joined."""
+    return stored(bearing.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= min_lines), "entities")
 
 
 def disclosing_terms(lines: DataFrame, disclosure: float = DISCLOSURE, min_lines: int = MIN_LINES) -> DataFrame:
@@ -101,8 +104,9 @@ def disclosing_in_documents(docs: DataFrame, keys: DataFrame, bearing: DataFrame
 def detected(docs: DataFrame, disclosure: float = DISCLOSURE, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, base, spans): spans of the four kinds, and of all with disclosing terms, in order.
 
-    A null text is empty and has none. Rows stay rows (repeated and null ids too); equal texts get equal spans; an
-    empty table gives an empty result; other columns are ignored.
+    A null text is empty and has none; a very long one is searched whole. Rows stay rows (repeated and null ids too);
+    equal texts get equal spans; spans that begin at one place come in the order of kinds; an empty table gives an
+    empty result; other columns, whatever their names, are ignored.
     """
     df = with_base(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", text_key("text")))
     table = stored(df.select("doc_id", "key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii")
@@ -112,23 +116,38 @@ def detected(docs: DataFrame, disclosure: float = DISCLOSURE, min_lines: int = M
     on_lines = disclosing_terms(stored(lines, "lines"), disclosure, min_lines)
     told = stored(on_lines.union(disclosing_in_documents(docs, table.select("key"), bearing, units, disclosure, min_lines, text_col)).distinct(), "terms")
     known = units.join(bearing.join(told, "entity").groupBy("key").agg(F.collect_set("term").alias("terms")), "key")
-    placed = with_spans(known, "text", "words", "term", WORD)
-    extra = placed.select("key", F.filter("words", lambda w: F.array_contains("terms", F.lower(w["text"]))).alias("extra"))
-    clear = F.filter("extra", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    every = table.drop("text").join(extra, "key", "left").withColumn("all", F.concat("base", F.coalesce(clear, F.expr(f"cast(array() as {SPAN})"))))
-    return every.select("doc_id", "key", in_order(F.col("base"), KINDS).alias("base"), in_order(F.col("all"), KINDS).alias("spans"))
+    placed = computed(with_spans(known, "text", "words", "term", WORD), "words")
+    extra = placed.select("key", F.filter("words", lambda w: F.array_contains("terms", F.lower(w["text"]))).alias("extra")).where("size(extra) > 0")
+    extra = stored(extra, "marks")
+    bare = table.where("text IS NULL").select("doc_id", "key", "base", F.col("base").alias("all"))
+    every = table.where("text IS NOT NULL").select("doc_id", "key", "base").join(extra, "key", "left")
+    every = every.select("doc_id", "key", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.concat("base", clear_of(F.col("extra"), F.col("base")))).alias("all"))
+    return bare.unionByName(every).select("doc_id", "key", in_order(F.col("base"), KINDS).alias("base"), in_order(F.col("all"), KINDS).alias("spans"))
 
 
 def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, min_lines: int = MIN_LINES) -> DataFrame:
     """docs with every span replaced by its kind in brackets ([EMAIL], [IP], [CARD], [PHONE], [TERM]); overlapping
     spans become one mark, of the first's kind. Rows and columns stay; n_chars, where there is one, follows the text."""
-    spans = detected(docs, disclosure, min_lines).where("size(spans) > 0").groupBy("key").agg(F.first("spans").alias("_spans"))
-    step = lambda a, s: F.when(s["start"] >= a["end"], F.struct(F.concat(a["out"], F.substring(F.col("text"), a["end"] + 1, s["start"] - a["end"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"), s["end"].alias("end"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["end"], s["end"]).alias("end")))
-    done = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("end")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["end"] + 1, F.length("text"))))
-    rows = docs.withColumn("_key", text_key("text")).join(spans.withColumnRenamed("key", "_key"), "_key", "left")
-    rows = rows.withColumn("_new", F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text")))
-    out = [F.col("_new").alias("text") if c == "text" else F.when(F.col("_spans").isNotNull(), F.length("_new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*out)
+    found = detected(docs, disclosure, min_lines).where("size(spans) > 0")
+    spans = stored(found.groupBy(F.col("key").alias("k")).agg(F.first("spans").alias("spans")), "masks")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col("text"), text_key("text").alias("k")).join(spans, "k", "left")
+    rows = rows.withColumn("ends", F.transform("spans", lambda s: s["end"]))
+    reach = running(F.col("ends"), lambda a, x: F.greatest(a, x), F.lit(0))
+    apart = F.filter(F.arrays_zip(F.col("spans").alias("s"), reach.alias("from")), lambda x: x["s"]["start"] >= x["from"])
+    rows = rows.withColumn("parts", F.when(F.col("spans").isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)))).withColumn("apart", apart)
+
+    def between(start: Column, end: Column) -> Column:
+        """Code points start..end of the text, from the parts that hold them: a long text is not walked from its beginning."""
+        first = F.floor(start / PART).cast("int")
+        held = F.array_join(F.slice(F.col("parts"), first + 1, F.floor(end / PART).cast("int") - first + 1), "")
+        return F.substring(held, start % PART + 1, end - start)
+
+    pieces = F.transform("apart", lambda x: F.concat(between(x["from"], x["s"]["start"]), F.lit("["), F.upper(x["s"]["kind"]), F.lit("]")))
+    rest = between(F.array_max("ends"), F.length("text"))
+    rows = rows.withColumn("new", F.when(F.col("spans").isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text")))
+    changed = {"text": F.col("new"), "n_chars": F.when(F.col("spans").isNotNull(), F.length("new")).otherwise(F.col("row")["n_chars"])} if "n_chars" in docs.columns else {"text": F.col("new")}
+    return rows.select(*[(changed[c].cast(docs.schema[c].dataType) if c in changed else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op7_disclosure_sanitiser(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import stored, text_key
-from glossa.llm.spans import SPAN, count, in_order, joined, with_spans
+from glossa.llm.spans import clear_of, count, in_order, joined, with_spans
 
 #: Parts whose spans are at most so many code points apart are in one scope.
 SCOPE = 200
@@ -37,7 +37,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         df = with_spans(df, "text", kind, kind, PATTERNS[kind])
     long_enough = F.filter("assign", lambda s: F.length(F.regexp_replace(s["text"], "^" + ASSIGNED, "")) >= 6)
     df = df.select("doc_id", "key", F.concat(long_enough, "access", "hex").alias("base"), F.concat(*KINDS[3:]).alias("weak"))
-    return df.withColumn("weak", F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))))
+    return df.withColumn("weak", clear_of(F.col("weak"), F.col("base")))
 
 
 def linked_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -61,13 +61,17 @@ def linked_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, spans): base secrets, and those with linked weak parts added, in order.
 
-    A null text is empty and has none. Rows stay rows (repeated and null ids too); equal texts get equal spans; an
-    empty table gives an empty result; other columns are ignored.
+    A null text is empty and has none; a very long one is searched whole, in time that grows a little faster than its
+    matches. Rows stay rows (repeated and null ids too); equal texts get equal spans; spans that begin at one place
+    come in the order of kinds; an empty table gives an empty result; other columns, whatever their names, are
+    ignored. Rows without a weak part take no part in the join; what it adds is stored, so that the rows of a text
+    with very many copies can be split.
     """
     found = stored(found_spans(docs, id_col, text_col), "secrets")
-    every = found.join(linked_parts(found, scope), "key", "left")
-    more = F.concat("base", F.coalesce("extra", F.expr(f"cast(array() as {SPAN})")))
-    return every.select("doc_id", in_order(F.col("base"), KINDS).alias("base"), in_order(more, KINDS).alias("spans"))
+    extra = stored(linked_parts(found, scope), "linked")
+    alone = found.where("size(weak) = 0").select("doc_id", "base", F.col("base").alias("all"))
+    more = found.where("size(weak) > 0").join(extra, "key", "left").select("doc_id", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.concat("base", "extra")).alias("all"))
+    return alone.unionByName(more).select("doc_id", in_order(F.col("base"), KINDS).alias("base"), in_order(F.col("all"), KINDS).alias("spans"))
 
 
 def op5_credential_linking(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from glossa.llm import pii as P
 from glossa.llm import secrets as S
+from glossa.llm import spans as SP
 
 KEYWORD = "|".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
 ASSIGN = re.compile(rf"""({KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -51,6 +53,40 @@ def test_base_secrets_stay_as_defined(table):
         assert set(spans(r["base"])) <= set(spans(r["spans"]))
 
 
+def test_very_many_matches_take_little_time(spark, table, tmp_path):
+    """Texts of 20,000 matches, and of thousands of weak and strong parts side by side."""
+    many = ["a@b.cc " * 20_000, "token=abcdef " * 20_000, "token=abcdef Xy7-Qw8_Er9_Ty10Zz login: bob " * 2_000]
+    table(many).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    P.detected(table(["warm@up.cc token=abcdef"])).count(), S.scan(table(["login: bob"])).count()
+    began = time.time()
+    got = P.sanitised(docs.where("doc_id = 0")).first()["text"]
+    secrets = {r["doc_id"]: r for r in S.scan(docs).collect()}
+    took = time.time() - began
+    assert got == "[EMAIL] " * 20_000 and len(secrets[1]["base"]) == 20_000 and spans(secrets[1]["base"])[-1] == ("assign", 13 * 19_999, 13 * 20_000 - 1)
+    assert len(secrets[2]["base"]) == 2_000 and len(secrets[2]["spans"]) == 6_000
+    assert took < 30
+
+
+def test_clear_of_equals_brute_force(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(200):
+        pick = lambda: [("k", a, a + r.randrange(1, 9), "") for a in sorted(r.randrange(60) for _ in range(r.randrange(8)))]  # noqa: E731, B023
+        rows.append((i, pick(), pick()))
+    df = spark.createDataFrame(rows, f"i int, x {SP.SPAN}, y {SP.SPAN}")
+    for row in df.select("i", SP.clear_of(F.col("x"), F.col("y")).alias("z")).collect():
+        _, x, y = rows[row["i"]]
+        assert [tuple(s) for s in row["z"]] == [s for s in x if not any(t[1] < s[2] and s[1] < t[2] for t in y)]
+
+
+def test_one_text_in_very_many_rows(table):
+    t = ["login: bob at Xy7-Qw8_Er9_Ty10Zz"] * 300 + [None] * 300 + ["mail a@b.cc"] * 300
+    got = S.scan(table(t)).collect()
+    assert sorted(len(r["spans"]) for r in got) == [0] * 600 + [2] * 300
+    assert sorted(len(r["spans"]) for r in P.detected(table(t)).collect()) == [0] * 600 + [1] * 300
+
+
 def test_weak_parts_need_company(table):
     weak = "Xy7-Qw8_Er9_Ty10Zz"
     t = [f"login: bob at {weak}", f"just {weak} alone", "login: bob alone", f"login: bob {'.' * 500} {weak}", f"login: bob, {weak} on https://h.example/x", "https://h.example/x", "é😀 login: bob token = abcdef99"]
