@@ -75,19 +75,19 @@ def components(edges: DataFrame) -> DataFrame:
     number of tasks follows the number of edges.
     """
     tell = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
     now = stored(contracted(edges.where("a <> b")), "edges")  # a > b
     known = tell(now)
     while known[0]:
         rows = 2 * known[0]
-        both = dealt(now, rows).select(F.explode(F.array(pair("a", "b"), pair("b", "a"))).alias("e")).select("e.*")
+        both = dealt(now.select("a", "b").unionAll(now.select("b", "a")), rows)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = dealt(large, rows)
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(small, "a").select(F.explode(F.array(pair("b", "m"), pair("a", "m"))).alias("e")).select("e.*")
+        hung = large.join(small, "a").select("b", "m").unionAll(small.select("a", "m")).toDF("a", "b")
         now = stored(dealt(hung.where("a <> b"), rows).distinct(), "edges")
         before, known = known, tell(now)
         if known == before:
             break
-    return stored(dealt(now, known[0]).select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))).alias("e")).select("e.*").distinct(), "components")
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root"))
+    return stored(dealt(now.toDF("node", "root").unionAll(roots), 2 * known[0]).distinct(), "components")

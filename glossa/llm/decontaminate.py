@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import text_key, utf8, word_table
+from glossa.llm.common import text_key, trimmed, utf8, word_table
 from glossa.llm.fm_index import FMIndex
 
 WORDS = word_table(keep_digits=True)
@@ -197,6 +197,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
                     old = part.column(size).to_pylist()
                     out = out.set_column(size, "n_chars", pa.array([len(new[i].decode()) if len(m) else old[i] for i, m in enumerate(marks)], part.schema.field(size).type))
                 yield out.filter(pa.array(keep))
+        trimmed()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import stored, text_key, utf8
+from glossa.llm.common import stored, text_key, trimmed, utf8
 from glossa.llm.components import Forest, components, dealt
 
 SHINGLE = 5
@@ -43,7 +43,7 @@ ORDINAL_BITS = 12
 #: of BLOCK_SETS. In a task, LEAF sets are compared with each other.
 LEAF_SETS, LEAF_BYTES, BLOCK_SETS, LEAF = 256, 16 << 20, 128, 24
 #: Pivots of a space in its first round, at most, eight times as many in each further one, and bytes of them in a task.
-PIVOTS, PIVOT_BYTES = 64, 8 << 20
+PIVOTS, PIVOT_BYTES = 64, 2 << 20
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 ORDINAL = np.uint64((1 << ORDINAL_BITS) - 1)
@@ -52,7 +52,7 @@ ORDINAL = np.uint64((1 << ORDINAL_BITS) - 1)
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[word] = h
         return h
 
@@ -225,6 +225,8 @@ def shingle_lists(docs: DataFrame, buckets: int, id_col: str, text_col: str, siz
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
             batch = part << 32 | number
             yield table([(batch % buckets, batch, pickle.dumps((keys, n, owners)), None), *[(int(to[a]), batch, None, packed[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]])
+        del hashes
+        trimmed()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -255,6 +257,7 @@ def shingle_lists(docs: DataFrame, buckets: int, id_col: str, text_col: str, siz
             for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if b > a:
                     yield table([(bucket, int(names[k]), None, packed[a:b].tobytes() + often[a:b].tobytes())])
+        trimmed()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(header: bytes, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -285,6 +288,7 @@ def shingle_lists(docs: DataFrame, buckets: int, id_col: str, text_col: str, siz
                     parts.append((bucket, entries))
         if header is not None:
             yield one(header, parts)
+        trimmed()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -324,7 +328,7 @@ def candidate_edges(lists: DataFrame, percent: int) -> DataFrame:
                 for s in np.frombuffer(shared, np.int64)[: prefix(n, percent) - n + len(shared) // 8].tolist():
                     if (other := seen.setdefault((s, c), key)) is not key:
                         found.join(other, key)
-                if len(seen) >= 500_000:
+                if len(seen) >= 150_000:
                     yield from sent()
                     found, seen = Forest(), {}
         yield from sent()
@@ -336,7 +340,7 @@ def candidate_edges(lists: DataFrame, percent: int) -> DataFrame:
                 if s == last[0] and c <= last[1] + 1 and key != held:
                     found.join(held, key)
                 last, held = (s, c), key
-                if len(found.up) >= 500_000:
+                if len(found.up) >= 150_000:
                     yield from out(found)
                     found = Forest()
         yield from out(found)
@@ -419,8 +423,8 @@ def met_pivots(rows: DataFrame, percent: int, level: int) -> DataFrame:
         for (space, _), held in groups(batches, 2):
             pivots, members = [r for r in held if r[5]], [r for r in held if not r[5]]
             named = [*[r[0] for r in pivots], b""]
-            for at in range(0, len(members), 2 * BLOCK_SETS):
-                here = members[at : at + 2 * BLOCK_SETS]
+            for at in range(0, len(members), BLOCK_SETS):
+                here = members[at : at + BLOCK_SETS]
                 near, regions = [[] for _ in here], [[b""] for _ in here]
                 if pivots:
                     every = pivots + here

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.llm.common import trimmed
+
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 #: Entries that a worker's memory of words may hold before it starts anew.
@@ -173,10 +175,13 @@ class PieceCodec:
     @staticmethod
     def _bytes(run: bytearray) -> str:
         """Whole characters; each byte that belongs to none becomes U+FFFD."""
-        try:
-            return run.decode()
-        except UnicodeDecodeError as e:
-            return run[: e.start].decode() + "�" + PieceCodec._bytes(run[e.start + 1 :])
+        out, at = [], 0
+        while True:
+            try:
+                return "".join(out) + run[at:].decode()
+            except UnicodeDecodeError as e:
+                out.append(run[at : at + e.start].decode() + "�")
+                at += e.start + 1
 
     def decode(self, ids: list[int]) -> str:
         text = self._surface(ids)
@@ -229,6 +234,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                         ids_out.append(np.fromstring(ids, np.int32, sep=" "))
                 cols = [b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(backs, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(ids_out, pa.list_(pa.int32()))] * keep_ids, names)
+        trimmed()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
