@@ -148,3 +148,32 @@ def test_duplicates_go_whole(spark):
     df = spark.createDataFrame([(i, f"same prefix {i % 2}") for i in range(20)] + [(99, "other")], "id int, t string")
     assert relational.drop_frequent(df, [], F.substring("t", 1, 11), 10).count() == 1
     assert [r["id"] for r in relational.drop_all_copies(df, ["t"]).collect()] == [99]
+
+
+def test_merges_equal_a_loop(spark):
+    from collections import Counter
+
+    from glossa.operators import embedding
+
+    counts = {"abababab": 5, "aaaa": 3, "xyab": 4, "xyxy": 2}
+    words, want = {tuple(w): n for w, n in counts.items()}, []
+    for _ in range(5):
+        pairs = Counter()
+        for w, n in words.items():
+            for p in zip(w, w[1:], strict=False):
+                pairs[p] += n
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        if pairs[best] < 2:
+            break
+        want.append(best)
+        merged = Counter()
+        for w, n in words.items():
+            out, i = [], 0
+            while i < len(w):
+                two = w[i : i + 2] == best
+                out.append(w[i] + w[i + 1] if two else w[i])
+                i += 1 + two
+            merged[tuple(out)] += n
+        words = merged
+    df = spark.createDataFrame(list(counts.items()), "word string, n long")
+    assert embedding.bpe_merges(df, 5) == want
