@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -19,21 +20,45 @@ from glossa.llm.common import stored, utf8
 #: Payloads below this size are never replaced by a revisit record.
 MIN_REVISIT_BYTES = 100
 GZIP = 31
+#: The table has no dates of fetching; callers that have one pass it.
+NO_DATE = "1970-01-01T00:00:00Z"
+IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Characters of a URI that stay as they are.
+URI_MARKS = ":/?#[]@!$&'()*+,;=%-._~"
+#: Parts that the rows of one digest are dealt to.
+SALTS = 16
 PIECE = 1 << 20
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no block and names the response it repeats."""
-    body = payload if kind == "response" else b""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Payload-Digest: sha256:{digest}", f"Payload-Length: {len(payload)}"]
-    if url is not None:
-        head.append("WARC-Target-URI: " + " ".join(url.split()))
+def page_uri(page_id: object) -> str:
+    """A record id of a page id of any type; the null id has one of its own."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def page_of(uri: str | None) -> str | None:
+    """The page id, as text, of a record id."""
+    return None if uri is None or uri == "<urn:page>" else unquote(uri[10:-1])
+
+
+def record(kind: str, page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object, date: str = NO_DATE) -> bytes:
+    """One WARC/1.1 record of an HTTP answer; a revisit's block holds the answer's header only, as the standard has it,
+    and names the response it repeats."""
+    answer = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    body = answer + payload if kind == "response" else answer
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {page_uri(page_id)}", f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
+    head.append("WARC-Target-URI: " + ("".join(quote(url, safe=URI_MARKS).split()) if url else page_uri(page_id)[1:-1]))
     if refers_to is not None:
-        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        head += [f"WARC-Refers-To: {page_uri(refers_to)}", f"WARC-Profile: {IDENTICAL}"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def answer_of(body: bytes) -> tuple[int, bytes]:
+    """Of an HTTP answer, the payload's length as its header says and the payload itself, absent in a revisit."""
+    head, _, payload = body.partition(b"\r\n\r\n")
+    return next(int(x[15:]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), payload
+
+
 def records_of(pieces: Iterator[bytes]) -> Iterator[bytes]:
     """Cut a stream of WARC bytes into records, holding one record and one piece at a time."""
     held = bytearray()
@@ -93,13 +118,16 @@ def classified(pages: DataFrame, min_revisit: int = MIN_REVISIT_BYTES) -> DataFr
     """(page_id, url, payload, digest, record_type, refers_to). Null html is an empty payload.
 
     Rows that repeat the smallest page_id of a digest are all responses; null ids are never referred to, and are
-    responses when no other id has their payload.
+    responses when no other id has their payload. Copies of one payload are dealt to SALTS parts by their ids; what
+    meets them there is a digest and an id. Payloads too small for a revisit are dealt by their ids alone.
     """
-    base = pages.select("page_id", "url", utf8("html").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= min_revisit
-    first = pages.select("page_id", utf8("html").alias("payload")).where(large).groupBy(F.sha2("payload", 256).alias("digest")).agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first_id")
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+    base = pages.select("page_id", "url", utf8("html").alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("met", F.when(large, F.col("digest")).otherwise(F.xxhash64("page_id").cast("string"))).withColumn("salt", salt)
+    first = pages.select("page_id", utf8("html").alias("payload")).where(large).groupBy(F.sha2("payload", 256).alias("met")).agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    spread = first.select("met", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     again = F.col("first_id").isNotNull() & large & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return base.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
+    return base.join(spread, ["met", "salt"], "left").select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
 
 
 def write_monolithic(rows: DataFrame, archive_bytes: int) -> DataFrame:
@@ -139,36 +167,39 @@ def normalised(archives: DataFrame) -> DataFrame:
     return archives.mapInArrow(run, "archive string, content binary, index array<struct<offset:long,length:long,record_id:string,record_type:string>>")
 
 
-def read_members(archives: DataFrame) -> DataFrame:
+def read_members(archives: DataFrame, id_type: str = "bigint") -> DataFrame:
     """A row per record, each read by its own slice of the archive as the sidecar index says; a response's digest is
     taken anew from the payload read, a revisit's from its header."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-        number = lambda x: None if x is None or x == "<urn:page:null>" else int(x[10:-1])
         for b in batches:
             for content, index in zip(b["content"].to_pylist(), b["index"].to_pylist(), strict=True):
                 out = []
                 for e in index:
                     fields, body = parse(zlib.decompress(content[e["offset"] : e["offset"] + e["length"]], GZIP))
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if fields["WARC-Type"] == "response" and hashlib.sha256(body).hexdigest() != digest:
-                        raise ValueError(f"record {fields['WARC-Record-ID']} has another payload than its digest says")
-                    out.append((number(fields["WARC-Record-ID"]), int(fields["Payload-Length"]), digest, fields["WARC-Type"], number(fields.get("WARC-Refers-To"))))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names)
+                    size, payload = answer_of(body)
+                    if fields["WARC-Type"] == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != size):
+                        raise ValueError(f"record {fields['WARC-Record-ID']} has another payload than its header says")
+                    out.append((page_of(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], page_of(fields.get("WARC-Refers-To"))))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names)
 
-    return archives.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    read = archives.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return read.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def normalise_archives(pages: DataFrame, archive_bytes: int = 8 << 20) -> DataFrame:
     """Write pages to single-stream archives of about archive_bytes, normalise them, read every record back.
 
-    Returns (page_id, payload_bytes, payload_digest, record_type, refers_to), a row per page row. An empty table
-    gives an empty result; null html is an empty payload; null urls are left out of the header; clashing extra
+    Returns (page_id, payload_bytes, payload_digest, record_type, refers_to), a row per page row. Ids are of any type
+    that text can hold and give back (numbers, strings); they should be a key: rows that repeat one get records that
+    repeat its record id. An empty table gives an empty result; null html is an empty payload; a page without url is
+    its own target; equal payloads go by the smallest id; a very long page makes its archive as long; clashing extra
     columns are ignored.
     """
     mono = stored(write_monolithic(classified(pages), archive_bytes), "warc-mono")
-    return read_members(stored(normalised(mono), "warc-members"))
+    return read_members(stored(normalised(mono), "warc-members"), pages.schema["page_id"].dataType.simpleString())
 
 
 def op6_warc_normaliser(spark, sf_dir: str) -> DataFrame:
