@@ -7,7 +7,6 @@ their payload, the payload store is keyed by digest, and a join on it resolves e
 from __future__ import annotations
 
 import hashlib
-import html
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,6 +35,7 @@ class _Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.figure: list[int] | None = None
+        self.figcaption: str | None = None
         self.caption: list[str] | None = None
         self.hidden = 0
 
@@ -44,7 +44,7 @@ class _Sequence(HTMLParser):
         if tag in ("script", "style"):
             self.hidden += 1
         elif tag == "figure":
-            self.figure = []
+            self.figure, self.figcaption = [], None
         elif tag == "figcaption":
             self.caption = []
         elif tag in self.MEDIA and a.get("src"):
@@ -52,17 +52,20 @@ class _Sequence(HTMLParser):
             digest = src[7:] if src.startswith("sha256:") else hashlib.sha256(src.encode()).hexdigest()
             if self.figure is not None:
                 self.figure.append(len(self.items))
-            self.items.append({"kind": "media", "text": None, "digest": digest, "caption": a.get("alt")})
+            self.items.append({"kind": "media", "text": None, "digest": digest, "caption": self.figcaption or a.get("alt")})
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
         elif tag == "figcaption" and self.caption is not None:
+            text = " ".join("".join(self.caption).split())
             for i in self.figure or []:
-                self.items[i]["caption"] = " ".join("".join(self.caption).split())
+                self.items[i]["caption"] = text
+            if self.figure is not None:
+                self.figcaption = text
             self.caption = None
         elif tag == "figure":
-            self.figure = None
+            self.figure, self.figcaption = None, None
 
     def handle_data(self, data: str) -> None:
         if self.hidden:
@@ -84,21 +87,38 @@ def sequence(page: str | None) -> list[dict]:
     return [{"position": i, **x} for i, x in enumerate(p.items)]
 
 
-def sequences(pages: DataFrame, key: str, html_col: str = "html") -> DataFrame:
-    """(key, sequence) for every page row."""
-    kind = pages.schema[key].dataType.simpleString()
+def sequences(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """The pages with their sequence instead of their HTML, at the end; all other columns stay."""
+    rows = pages.select(*[c for c in pages.columns if c != html_col], html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sequence(x) for x in b.column(1).to_pylist()], ARROW_SEQUENCE)], [key, "sequence"])
-
-    return pages.select(key, html_col).mapInArrow(run, f"{key} {kind}, sequence {SEQUENCE}")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([sequence(x) for x in b.column(b.num_columns - 1).to_pylist()], ARROW_SEQUENCE)], [*b.schema.names[:-1], "sequence"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(run, ", ".join([*kinds, f"sequence {SEQUENCE}"]))
+
+
+def resolve(seqs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """A row per media reference, with the columns of its page, where it stands, how much text comes before and after
+    it, and what is known of its payload, joined on digest; unknown digests stay, with nulls."""
+    chars = lambda test: F.aggregate(F.filter("sequence", test), F.lit(0), lambda n, x: n + F.coalesce(F.length(x["text"]), F.lit(0)))
+    at = seqs.select(*[c for c in seqs.columns if c != "sequence"], "sequence", F.explode(F.filter("sequence", lambda x: x["kind"] == "media")).alias("s"))
+    position = F.col("s.position")
+    refs = at.select(*[c for c in seqs.columns if c != "sequence"], position, F.col("s.caption"), F.col("s.digest"), chars(lambda x: x["position"] < position).alias("chars_before"), chars(lambda x: x["position"] > position).alias("chars_after"))
+    return refs.join(resolved, "digest", "left")
 
 
-def resolve(seqs: DataFrame, key: str, resolved: DataFrame) -> DataFrame:
-    """A row per media reference, joined on digest to what is known of its payload; unknown digests stay, with nulls."""
-    refs = seqs.select(key, F.explode("sequence").alias("s")).where("s.kind = 'media'").select(key, "s.position", "s.caption", "s.digest")
-    return refs.join(resolved, "digest", "left")
+def interleaved(seqs: DataFrame, key: str, resolved: DataFrame) -> DataFrame:
+    """(key, items): each page's sequence in order, its texts as they were and its media references with what is known
+    of their payloads in `media`. Keys must be unique; pages without any item have an empty array."""
+    items = seqs.select(key, F.explode("sequence").alias("s")).select(key, "s.*")
+    known = resolved.select(F.col("digest").alias("_digest"), F.struct(*resolved.columns).alias("media"))
+    met = items.where("kind = 'media'").join(known, F.col("digest") == F.col("_digest"), "left").drop("_digest").unionByName(items.where("kind <> 'media'"), allowMissingColumns=True)
+    lists = met.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("position", "kind", "text", "digest", "caption", "media"))).alias("items"))
+    return seqs.select(key).join(lists, key, "left").withColumn("items", F.coalesce("items", F.array().cast(lists.schema["items"].dataType)))
 
 
 def to_png(payload: bytes, width: int = ROW_BYTES // 3) -> bytes:
@@ -178,30 +198,28 @@ def described(store: DataFrame) -> DataFrame:
 
 
 def wrapped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document as a page: its text, then a figure that refers to the document's payload by digest."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                pages = [f'<p>{html.escape(t.decode("utf-8", "replace"), quote=False)}</p><figure><img src="sha256:{hashlib.sha256(padded(t)).hexdigest()}"><figcaption>{len(t)} bytes of text</figcaption></figure>' for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in part.column(1).to_pylist()], pa.int64()), pa.array([[{k: v for k, v in s.items() if k != "text"} for s in sequence(p)] for p in pages], pa.list_(pa.struct([f for f in ARROW_SEQUENCE.value_type if f.name != "text"])))], ["doc_id", "n_bytes", "sequence"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, sequence array<struct<position:int,kind:string,digest:string,caption:string>>")
+    """(doc_id, n_bytes, html): each document as a page, the first half of its text, a figure that refers to the
+    document's payload by digest, and the second half."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    n, half = F.octet_length(text).cast("long"), F.floor(F.length(text) / 2).cast("int")
+    blanks = F.when(n == 0, F.lit(ROW_BYTES)).otherwise(F.pmod(-n, F.lit(ROW_BYTES))).cast("int")
+    digest = F.sha2(F.concat(text, F.repeat(F.lit(" "), blanks)).cast("binary"), 256)
+    marked = lambda part: F.concat(F.lit("<p>"), F.replace(F.replace(F.replace(part, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</p>"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), n.cast("string"), F.lit(" bytes of text</figcaption></figure>"))
+    return docs.select(F.col(id_col).alias("doc_id"), n.alias("n_bytes"), F.concat(marked(F.substring(text, F.lit(1), half)), figure, marked(F.substring(text, half + 1, F.length(text)))).alias("html"))
 
 
 def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every text stored losslessly as an image, referred to from its page, resolved by digest and read back.
+    """Every text stored losslessly as an image, referred to from the middle of its page, resolved by digest and read
+    back: (digest, doc_id, n_bytes, position, caption, chars_before, chars_after, payload and medium).
 
     A null text is empty (one row of blanks); equal texts share one stored medium, which is read back once however
-    many rows refer to it; repeated and null ids keep their rows; an empty table gives an empty result.
+    many rows refer to it; repeated and null ids keep their rows; a text is one medium however long; halves that are
+    only white space are no items of the page; an empty table gives an empty result; other columns are ignored.
     """
-    pages = wrapped(docs, id_col, text_col)
-    refs = pages.select("doc_id", "n_bytes", F.explode("sequence").alias("s")).where("s.kind = 'media'").select("doc_id", "n_bytes", "s.position", "s.caption", "s.digest")
-    return refs.join(described(media_store(docs, text_col)), "digest")
+    return resolve(sequences(wrapped(docs, id_col, text_col)), described(media_store(docs, text_col)))
 
 
 def op8_interleaved_media(spark, sf_dir: str) -> DataFrame:
     out = documents_as_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "chars_before", "chars_after")

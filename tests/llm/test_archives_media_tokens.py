@@ -36,6 +36,24 @@ def test_pages_round_trip(spark):
     assert W.normalise_archives(df.limit(0)).count() == 0
 
 
+def test_ids_of_any_type_and_valid_headers(spark):
+    big = "x" * 150
+    rows = [("a b>", "http://h/é ü", big), ("b", None, big), ("", "u", "s"), ("null", "u", "s"), (None, "u", "s")]
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in W.normalise_archives(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {"a b>": ("response", None), "b": ("revisit", "a b>"), "": ("response", None), "null": ("response", None), None: ("response", None)}
+    for kind, refers in (("response", None), ("revisit", 1)):
+        fields, body = W.parse(W.record(kind, 2, None, b"pay\r\n\r\nload", "ab", refers))
+        assert fields.keys() >= {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Type", "Content-Length", "WARC-Target-URI"}
+        assert (kind == "revisit") == ("WARC-Profile" in fields)
+        assert W.answer_of(body) == (11, b"pay\r\n\r\nload" if kind == "response" else b"")
+
+
+def test_hot_payload(spark):
+    df = spark.range(3000).selectExpr("id AS page_id", "'u' AS url", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN repeat('y', 100) ELSE concat(id, repeat('z', 100)) END AS html")
+    got = {tuple(r): n for *r, n in W.normalise_archives(df).groupBy("record_type", "refers_to").count().collect()}
+    assert got == {("response", None): 2001, ("revisit", 1): 999}
+
+
 def test_png_round_trip():
     for n in (0, 1, 191, 192, 193, 5000):
         t = bytes(random.Random(n).randrange(256) for _ in range(n))
@@ -50,6 +68,8 @@ def test_sequence_keeps_order_and_captions():
     page = "<h1>T</h1><p>a<img src='u1' alt='alt'>b</p><figure><img src='sha256:ab'><img src='u2'><figcaption>the <b>cap</b></figcaption></figure><script>no</script>end"
     got = [(x["position"], x["kind"], x["text"], x["caption"]) for x in M.sequence(page)]
     assert got == [(0, "text", "Ta", None), (1, "media", None, "alt"), (2, "text", "b", None), (3, "media", None, "the cap"), (4, "media", None, "the cap"), (5, "text", "end", None)]
+    first = "<figure><figcaption>c</figcaption><img src='u'></figure><img src='v'>"
+    assert [x["caption"] for x in M.sequence(first)] == ["c", None]
     assert M.sequence(None) == [] and M.sequence(page)[3]["digest"] == "ab"
 
 
@@ -63,9 +83,27 @@ def test_documents_as_media(spark, table):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
         assert r["media_sha256"] == hashlib.sha256(M.to_png(p)).hexdigest() and r["caption"].startswith(str(r["n_bytes"]))
     assert rows[2]["feature"] == rows[5]["feature"]
-    pages = spark.createDataFrame([(1, "<img src='sha256:00'>x<img src='sha256:11'>")], "page_id long, html string")
+    assert [(rows[i]["position"], rows[i]["chars_before"], rows[i]["chars_after"]) for i in (0, 2, 4)] == [(0, 0, 0), (0, 0, 1), (1, 150, 150)]
+    assert M.documents_as_media(table([])).count() == 0
+    clash = table(["a"]).selectExpr("*", "1 AS digest", "2 AS html", "3 AS sequence", "4 AS media", "5 AS position", "6 AS s")
+    assert M.documents_as_media(clash).count() == 1
+
+
+def test_document_pages_keep_the_text(spark, table):
+    texts = ["one <b> & two", "é" * 301, "a\r\n&amp;b</p>c", "x" * 200_000]
+    for r in M.sequences(M.wrapped(table(texts))).collect():
+        kinds = [s["kind"] for s in r["sequence"]]
+        assert kinds == ["text", "media", "text"] and "".join(s["text"] for s in r["sequence"] if s["text"]) == texts[r["doc_id"]]
+
+
+def test_interleaved_pages(spark):
+    pages = spark.createDataFrame([(1, "<img src='sha256:00'>x<img src='sha256:11' alt='c'>yz"), (2, None)], "page_id long, html string")
     known = spark.createDataFrame([("11", 5)], "digest string, size int")
-    assert [(r["position"], r["size"]) for r in M.resolve(M.sequences(pages, "page_id"), "page_id", known).orderBy("position").collect()] == [(0, None), (2, 5)]
+    seqs = M.sequences(pages)
+    got = [(r["position"], r["size"], r["chars_before"], r["chars_after"]) for r in M.resolve(seqs, known).orderBy("position").collect()]
+    assert got == [(0, None, 0, 3), (2, 5, 1, 2)]
+    rows = {r["page_id"]: [(i["position"], i["text"], i["caption"], i["media"] and i["media"]["size"]) for i in r["items"]] for r in M.interleaved(seqs, "page_id", known).collect()}
+    assert rows == {1: [(0, None, None, None), (1, "x", None, None), (2, None, "c", 5), (3, "yz", None, None)], 2: []}
 
 
 @pytest.fixture(scope="module")
