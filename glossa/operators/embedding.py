@@ -48,12 +48,12 @@ def encode(df: DataFrame, ids: list[str], text_col: str, make_encoder: Callable[
     return df.select(*ids, text_col).mapInArrow(run, f"{kinds}, vec array<double>")
 
 
-def word_model(df: DataFrame, text_col: str, dims: int = 32, window: int = 5, min_count: int = 2, iterations: int = 1, seed: int = 42):
-    """A skip-gram word model fitted on the letter tokens of a column."""
+def word_model(df: DataFrame, text_col: str, dims: int = 32, window: int = 5, min_count: int = 2, iterations: int = 1, seed: int = 42, partitions: int = 8):
+    """A skip-gram word model fitted on the letter tokens of a column, in so many tasks whose vectors are averaged."""
     from pyspark.ml.feature import Word2Vec
 
     tokens = df.select(text.letter_tokens(F.lower(text_col)).alias("tokens")).where(F.size("tokens") > 0)
-    return Word2Vec(vectorSize=dims, windowSize=window, minCount=min_count, maxIter=iterations, seed=seed, numPartitions=1, inputCol="tokens", outputCol="vec").fit(tokens)
+    return Word2Vec(vectorSize=dims, windowSize=window, minCount=min_count, maxIter=iterations, seed=seed, numPartitions=partitions, inputCol="tokens", outputCol="vec").fit(tokens)
 
 
 def pooled(df: DataFrame, ids: list[str], text_col: str, vectors: DataFrame, dims: int, zero_fill: bool = False) -> DataFrame:

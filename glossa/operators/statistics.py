@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.operators.relational import average_rank
+from glossa.operators.relational import average_rank, draws
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 3) -> DataFrame:
@@ -53,3 +53,23 @@ def linear_cka(grams: DataFrame) -> DataFrame:
     centred = lambda c: F.col(c) - F.avg(c).over(Window.partitionBy("i")) - F.avg(c).over(Window.partitionBy("j")) + F.avg(c).over(Window.partitionBy(F.lit(0)))
     x = grams.select(centred("k").alias("k"), centred("l").alias("l"))
     return x.agg((F.sum(F.col("k") * F.col("l")) / F.sqrt(F.sum(F.col("k") * F.col("k")) * F.sum(F.col("l") * F.col("l")))).alias("cka"))
+
+
+def distance_intervals(pairs: DataFrame, concepts: DataFrame, iterations: int, seed: str) -> DataFrame:
+    """(a, b, ld_lo, ld_hi, lo, hi): 95 % bootstrap intervals of the mean distance and of the mean distance divided by
+    that of different concepts, over pairs (a, b, i, j, d) of the concepts that a and b share.
+
+    concepts (code, n) is one row: concepts 1 to n are drawn for all pairs alike, and a pair keeps the drawn ones that
+    it shares. Distances are computed once; a resample is a sum weighted by multiplicities. Without a drawn concept a
+    resample is left out; with one, or without any distance to another concept, nothing is divided.
+    """
+    m = draws(concepts, ["code"], "n", iterations, seed).select(F.col("b").alias("it"), (F.col("idx") + 1).alias("c"), "mult")
+    x, y = m.withColumnsRenamed({"c": "i", "mult": "mi"}), m.withColumnsRenamed({"c": "j", "mult": "mj"})
+    own = F.col("i") == F.col("j")
+    every, same, n = F.sum(F.col("mi") * F.col("mj") * F.col("d")), F.sum(F.when(own, F.col("mi") * F.col("d"))), F.sum(F.when(own, F.col("mi")))
+    s = pairs.join(x, "i").join(y, ["it", "j"]).groupBy("it", "a", "b").agg(every.alias("every"), same.alias("same"), n.alias("n"))
+    e = s.select("a", "b", (F.col("same") / F.col("n")).alias("ld"), F.when(F.col("n") > 1, (F.col("every") - F.col("same")) / (F.col("n") * F.col("n") - F.col("n"))).alias("other"))
+    r = e.withColumn("ldnd", F.when(F.col("other") > 1e-12, F.col("ld") / F.col("other")).otherwise(F.col("ld")))
+    ends = F.array(F.lit(0.025), F.lit(0.975))
+    q = r.groupBy("a", "b").agg(F.percentile("ld", ends).alias("p"), F.percentile("ldnd", ends).alias("q"))
+    return q.select("a", "b", F.col("p")[0].alias("ld_lo"), F.col("p")[1].alias("ld_hi"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))

@@ -9,6 +9,7 @@ from glossa.functions import text
 from glossa.operators import embedding as EM
 from glossa.operators import relational as R
 from glossa.operators import scoring as SC
+from glossa.operators import statistics as S
 from glossa.operators import tfidf as T
 from glossa.operators import translation as MT
 from glossa.plans.base import BLANK, H32, rounded, table
@@ -102,7 +103,7 @@ def emb3_subword_vectors(spark, sf):
     met = tokens.select("code", F.explode(EM.subwords(F.col("word"), (3, 4, 5, 6), 1 << 16)).alias("bucket")).join(table_, "bucket")
     from glossa.functions import vectors as V
 
-    return met.groupBy("code").agg(V.mean_of("vec", 16).alias("vec")).select("code", F.size("vec").alias("dims"))
+    return met.groupBy("code").agg(V.mean_of("vec", 16).alias("vec")).select("code", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
 @query()
@@ -111,7 +112,7 @@ def emb4_word2vec(spark, sf):
 
     docs = _texts(spark, sf)
     vectors = EM.word_model(docs, "t", 16).getVectors().select("word", vector_to_array("vector").alias("vec"))
-    return EM.pooled(docs, ["id"], "t", vectors, 16, zero_fill=True).select("id", F.size("vec").alias("dims"))
+    return EM.pooled(docs, ["id"], "t", vectors, 16, zero_fill=True).select("id", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
 @query()
@@ -166,17 +167,29 @@ def st16_ldnd(spark, sf):
     return p.groupBy("a", "b").agg(rounded(F.when(other > 0, same / other).otherwise(same)).alias("ldnd"))
 
 
-@query(f"""WITH {FP}, it AS (SELECT unnest(range(10)) AS b), k AS (SELECT b AS it, unnest(range(40)) AS k FROM it), m AS (SELECT it, {H32.format("'31-' || it || '-w-' || k")} % 40 + 1 AS c, count(*) AS mult FROM k GROUP BY ALL),
-s AS (SELECT p.it, a, b, sum(p.mult * q.mult * d) AS every, sum(p.mult * d) FILTER (i = j) AS same, any_value(40) AS n FROM fp JOIN m p ON p.c = fp.i JOIN m q ON q.c = fp.j AND q.it = p.it GROUP BY ALL),
-r AS (SELECT a, b, it, (same / n) / ((every - same) / (n * n - n)) AS ldnd FROM s) SELECT a, b, round(quantile_cont(ldnd, 0.025), 5) AS lo, round(quantile_cont(ldnd, 0.975), 5) AS hi FROM r GROUP BY ALL""")
+LD_DRAWS = 100
+#: Intervals of both distances: concepts are drawn from the whole list, a pair keeps those that it shares.
+LD_CI = f"""{FP}, it AS (SELECT unnest(range({LD_DRAWS})) AS b), cn AS (SELECT max(concept) AS n FROM fm), k AS (SELECT b AS it, n, unnest(range(n)) AS k FROM it, cn), m AS (SELECT it, {H32.format("'31-' || it || '-w-' || k")} % n + 1 AS c, count(*) AS mult FROM k GROUP BY ALL),
+s AS (SELECT p.it, a, b, sum(p.mult * q.mult * d) AS every, sum(p.mult * d) FILTER (i = j) AS same, sum(p.mult) FILTER (i = j) AS n FROM fp JOIN m p ON p.c = fp.i JOIN m q ON q.c = fp.j AND q.it = p.it GROUP BY ALL),
+e AS (SELECT a, b, it, same / n AS ld, CASE WHEN n > 1 THEN (every - same) / (n * n - n) END AS other FROM s), r AS (SELECT a, b, ld, CASE WHEN other > 1e-12 THEN ld / other ELSE ld END AS ldnd FROM e),
+iv AS (SELECT a, b, quantile_cont(ld, 0.025) AS ld_lo, quantile_cont(ld, 0.975) AS ld_hi, quantile_cont(ldnd, 0.025) AS lo, quantile_cont(ldnd, 0.975) AS hi FROM r GROUP BY ALL)"""
+
+
+@query(f"WITH {LD_CI} SELECT a, b, round(ld_lo, 5) AS ld_lo, round(ld_hi, 5) AS ld_hi, round(lo, 5) AS lo, round(hi, 5) AS hi FROM iv")
 def st17_ldnd_bootstrap(spark, sf):
-    p = _form_pairs(_wordlist(spark, sf))
-    one = spark.createDataFrame([("w", 40)], "code string, n int")
-    m = R.draws(one, ["code"], "n", 10, "31").select(F.col("b").alias("it"), (F.col("idx") + 1).alias("c"), "mult")
-    x, y = m.withColumnsRenamed({"c": "i", "mult": "mi"}), m.withColumnsRenamed({"c": "j", "mult": "mj"})
-    s = p.join(x, "i").join(y, ["it", "j"]).groupBy("it", "a", "b").agg(F.sum(F.col("mi") * F.col("mj") * F.col("d")).alias("every"), F.sum(F.when(F.col("i") == F.col("j"), F.col("mi") * F.col("d"))).alias("same"))
-    r = s.select("a", "b", ((F.col("same") / 40) / ((F.col("every") - F.col("same")) / (40 * 40 - 40))).alias("ldnd"))
-    return r.groupBy("a", "b").agg(F.percentile("ldnd", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("a", "b", F.round(F.col("q")[0], 5).alias("lo"), F.round(F.col("q")[1], 5).alias("hi"))
+    f = _wordlist(spark, sf)
+    ci = S.distance_intervals(_form_pairs(f), f.agg(F.lit("w").alias("code"), F.max("concept").alias("n")), LD_DRAWS, "31")
+    return ci.select("a", "b", *[F.round(c, 5).alias(c) for c in ("ld_lo", "ld_hi", "lo", "hi")])
+
+
+@query(f"WITH {LD_CI}, pt AS (SELECT a, b, CASE WHEN avg(d) FILTER (i <> j) > 0 THEN avg(d) FILTER (i = j) / avg(d) FILTER (i <> j) ELSE avg(d) FILTER (i = j) END AS m FROM fp GROUP BY ALL) SELECT a, b, printf('%.3f [%.3f,%.3f]', m, lo, hi) AS cell FROM pt JOIN iv USING (a, b)")
+def snk11_interval_cells(spark, sf):
+    f = _wordlist(spark, sf)
+    p = _form_pairs(f)
+    same, other = F.avg(F.when(F.col("i") == F.col("j"), F.col("d"))), F.avg(F.when(F.col("i") != F.col("j"), F.col("d")))
+    point = p.groupBy("a", "b").agg(F.when(other > 0, same / other).otherwise(same).alias("m"))
+    ci = S.distance_intervals(p, f.agg(F.lit("w").alias("code"), F.max("concept").alias("n")), LD_DRAWS, "31")
+    return point.join(ci, ["a", "b"]).select("a", "b", F.format_string("%.3f [%.3f,%.3f]", "m", "lo", "hi").alias("cell"))
 
 
 MTSQL = """cv AS (SELECT 'd' || conv_id % 3 AS target, conv_id * 2 + turn // 4 AS unit, turn % 4 AS k, text FROM conversations),

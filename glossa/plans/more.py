@@ -52,12 +52,6 @@ def rnk3_average_rank(spark, sf):
     return m.select("method", "a", "b", R.average_rank("d", ["method"]).alias("r"))
 
 
-@query(f"WITH {METHODS}, p AS (SELECT a, b, avg(d) AS m, min(d) AS lo, max(d) AS hi FROM mm GROUP BY ALL) SELECT a, b, printf('%.3f [%.3f,%.3f]', m, lo, hi) AS cell FROM p WHERE a < b")
-def snk11_interval_cells(spark, sf):
-    p = method_distances(spark, sf).where("a < b").groupBy("a", "b").agg(F.avg("d").alias("m"), F.min("d").alias("lo"), F.max("d").alias("hi"))
-    return p.select("a", "b", F.format_string("%.3f [%.3f,%.3f]", "m", "lo", "hi").alias("cell"))
-
-
 @query("WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM documents), k AS (SELECT min(c) AS c FROM (SELECT count(*) AS c FROM n GROUP BY lang)) SELECT lang, doc_id FROM n, k WHERE pos < c")
 def st20_align_to_shortest(spark, sf):
     d = table(spark, sf, "documents").select("lang", "doc_id")
