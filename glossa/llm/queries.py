@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.llm import decontaminate, jaccard_join, media, pii, piece_codec, secrets, sharding, suffix_dedup, toxicity, warc
+from glossa.llm import decontaminate, jaccard_join, media, pii, piece_codec, secrets, sharding, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_interleaved_media": media.op8_interleaved_media,
         "op9_piece_codec": piece_codec.op9_piece_codec,
         "op10_jaccard_metric_join": jaccard_join.op10_jaccard_metric_join,
+        "op11_token_counts": token_counts.op11_token_counts,
     }
 
 
