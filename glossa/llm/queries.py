@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.llm import collocations, decontaminate, jaccard_join, media, pii, piece_codec, secrets, sharding, suffix_dedup, token_counts, toxicity, warc
+from glossa.llm import collocations, decontaminate, jaccard_join, media, pii, piece_codec, secrets, sharding, spelling, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_jaccard_metric_join": jaccard_join.op10_jaccard_metric_join,
         "op11_token_counts": token_counts.op11_token_counts,
         "op12_collocations": collocations.op12_collocations,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_fm_decontamination": decontaminate.OP3_SQL, "op6_warc_normaliser": warc.OP6_SQL, "op10_jaccard_metric_join": jaccard_join.OP10_SQL, "op12_collocations": collocations.OP12_SQL}
+    return {"op3_fm_decontamination": decontaminate.OP3_SQL, "op6_warc_normaliser": warc.OP6_SQL, "op10_jaccard_metric_join": jaccard_join.OP10_SQL, "op12_collocations": collocations.OP12_SQL, "op13_spelling_variants": spelling.OP13_SQL}
