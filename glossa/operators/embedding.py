@@ -76,19 +76,3 @@ def subwords(word, sizes: tuple[int, ...], buckets: int):
     w = F.concat(F.lit("<"), word, F.lit(">"))
     grams = F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n))))
     return F.transform(F.array_distinct(grams), lambda g: F.pmod(F.crc32(g.cast("binary")), F.lit(buckets)))
-
-
-def bpe_merges(words: DataFrame, merges: int) -> list[tuple[str, str]]:
-    """The most frequent neighbouring symbols, merged one after another, over a table (word, n) of distinct words.
-    Each round is one aggregate; only its winner comes to the driver."""
-    table = words.select(F.regexp_replace("word", "(.)", " $1 ").alias("s"), "n")  # each symbol has blanks of its own
-    out = []
-    for _ in range(merges):
-        parts = F.split(F.trim("s"), " +")
-        pairs = F.zip_with(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        best = table.select(F.explode(pairs).alias("p"), "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
-        if best is None or best["n"] < 2:
-            break
-        out.append((best["a"], best["b"]))
-        table = table.withColumn("s", F.replace("s", F.lit(f" {best['a']}  {best['b']} "), F.lit(f" {best['a']}{best['b']} ")))
-    return out

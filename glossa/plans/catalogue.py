@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["texts", "groups", "language", "more"]
+MODULES = ["texts", "groups", "language", "models", "more"]
 
 
 def _all(what: str) -> dict:

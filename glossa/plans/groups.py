@@ -10,6 +10,7 @@ from glossa.functions import vectors as V
 from glossa.operators import evaluation as E
 from glossa.operators import matrices as M
 from glossa.operators import relational as R
+from glossa.operators import resampling as RS
 from glossa.operators import statistics as S
 from glossa.plans.base import DIMS, DISTANCES, FAM, H32, METHODS, ROLE, distances, embeddings, family, group_vectors, method_distances, role, rounded, table
 
@@ -240,7 +241,7 @@ def st10_method_correlations(spark, sf):
     return S.spearman(x.join(y, ["a", "b"]).where("method_a < method_b"), ["method_a", "method_b"], "dx", "dy").select("method_a", "method_b", rounded("rho").alias("rho"))
 
 
-BOOT = 20
+BOOT = 1000
 
 
 @query(f"""WITH n AS (SELECT label AS code, count(*) AS n FROM embeddings GROUP BY label), r AS (SELECT label AS code, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx FROM embeddings),
@@ -253,20 +254,15 @@ rk AS (SELECT it, rank() OVER (PARTITION BY it ORDER BY d) AS rx, rank() OVER (P
 SELECT round(avg(rho), 6) AS mean, round(quantile_cont(rho, 0.025), 6) AS lo, round(quantile_cont(rho, 0.975), 6) AS hi, count(*)::BIGINT AS n_boot FROM rho""")
 def st5_bootstrap_ci(spark, sf):
     e = embeddings(spark, sf)
-    w = Window.partitionBy("code").orderBy("vec_id")
-    rows = e.withColumn("idx", (F.row_number().over(w) - 1).cast("long")).select("code", "idx", "vec")
-    drawn = R.draws(e.groupBy("code").agg(F.count(F.lit(1)).alias("n")), ["code"], "n", BOOT, "42")
-    weighted = drawn.join(rows, ["code", "idx"])
-    total = F.sum("mult")
-    c = weighted.groupBy("b", "code").agg(F.array(*[F.sum(F.col("mult") * F.col("vec")[i].cast("double")) / total for i in range(DIMS)]).alias("vec"))
-    m = V.cosine_distances(c.withColumnRenamed("b", "it"), "code", ["it"]).where("a < b")
+    m = RS.dense_replicates(RS.numbered(e, "code", ["vec_id"]), "code", BOOT, "42")
     half = e.select("code", F.slice("vec", 1, DIMS // 2).alias("vec"))
     gold = V.cosine_distances(V.centroids(half, ["code"], "vec", DIMS // 2), "code").withColumnRenamed("d", "gold")
     rho = S.spearman(m.join(gold, ["a", "b"]), ["it"], "d", "gold")
     return S.bootstrap_summary(rho, [], "rho").select(*[rounded(x).alias(x) for x in ("mean", "lo", "hi")], "n_boot")
 
 
-PERMS = 50
+#: Relabellings of the rank test and of the other one.
+PERMS, PERMS_PEARSON = 10_000, 999
 
 
 @query(f"""WITH {BOTH}, pr AS (SELECT x.method, x.a, x.b, x.d, g.d AS gold FROM mm x JOIN m g ON x.a = g.a AND x.b = g.b WHERE x.a < x.b),
@@ -285,7 +281,7 @@ def st8_mantel(spark, sf):
 
 
 @query(f"""WITH {METHODS}, j AS (SELECT x.a, x.b, x.d AS dx, y.d AS dy FROM mm x JOIN mm y ON x.a = y.a AND x.b = y.b AND x.method = 'm0' AND y.method = 'm1'),
-cs AS (SELECT DISTINCT label AS code FROM embeddings), o AS (SELECT code AS to_code, row_number() OVER (ORDER BY code) AS pos FROM cs), bb AS (SELECT code, unnest(range({PERMS})) AS it FROM cs),
+cs AS (SELECT DISTINCT label AS code FROM embeddings), o AS (SELECT code AS to_code, row_number() OVER (ORDER BY code) AS pos FROM cs), bb AS (SELECT code, unnest(range({PERMS_PEARSON})) AS it FROM cs),
 pm AS (SELECT it, code, to_code FROM (SELECT it, code, row_number() OVER (PARTITION BY it ORDER BY md5('13-' || it || '-' || code), code) AS pos FROM bb) JOIN o USING (pos)),
 r AS (SELECT pa.it, corr(k.dx, j.dy) AS r FROM j JOIN pm pa ON pa.code = j.a JOIN pm pb ON pb.code = j.b AND pb.it = pa.it JOIN j k ON k.a = pa.to_code AND k.b = pb.to_code WHERE j.a < j.b GROUP BY ALL)
 SELECT round((SELECT corr(dx, dy) FROM j WHERE a < b), 6) AS r, round((count_if(r.r >= (SELECT corr(dx, dy) FROM j WHERE a < b) - 1e-12) + 1) / (count(*) + 1), 6) AS p FROM r""")
@@ -293,7 +289,7 @@ def st9_mantel_pearson(spark, sf):
     m = method_distances(spark, sf)
     j = m.where("method = 'm0'").select("a", "b", F.col("d").alias("dx")).join(m.where("method = 'm1'").select("a", "b", F.col("d").alias("dy")), ["a", "b"])
     codes = table(spark, sf, "embeddings").select(F.col("label").alias("code")).distinct()
-    p = R.permuted(codes, "code", PERMS, "13").select(F.col("b").alias("it"), "code", "to")
+    p = R.permuted(codes, "code", PERMS_PEARSON, "13").select(F.col("b").alias("it"), "code", "to")
     pa, pb = p.withColumnsRenamed({"code": "a", "to": "ta"}), p.withColumnsRenamed({"code": "b", "to": "tb"})
     moved = j.where("a < b").select("a", "b", "dy").join(pa, "a").join(pb, ["it", "b"]).select("it", "dy", F.col("ta").alias("a"), F.col("tb").alias("b"))
     r = moved.join(j.select("a", "b", "dx"), ["a", "b"]).groupBy("it").agg(F.corr("dx", "dy").alias("r"))

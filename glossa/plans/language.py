@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text
 from glossa.operators import embedding as EM
+from glossa.operators import pieces as P
 from glossa.operators import relational as R
 from glossa.operators import scoring as SC
 from glossa.operators import statistics as S
@@ -118,7 +119,7 @@ def emb4_word2vec(spark, sf):
 @query()
 def emb5_bpe_merges(spark, sf):
     words = _texts(spark, sf).select(F.explode(text.letter_tokens("t")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(EM.bpe_merges(words, 8))], "step int, left string, right string")
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(P.learned(words, 8))], "step int, left string, right string")
 
 
 @query()

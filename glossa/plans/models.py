@@ -1,0 +1,149 @@
+"""Queries of trained pieces, bootstraps with all replicates at once, and comparisons of methods."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from glossa.operators import methods as ME
+from glossa.operators import pieces as P
+from glossa.operators import resampling as RS
+from glossa.operators import tfidf as T
+from glossa.plans.base import BLANK, DIMS, DISTANCES, H32, METHODS, ROLE, distances, embeddings, group_vectors, method_distances, role, rounded, table
+
+QUERIES: dict = {}
+SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- EMB5: pieces -------------------------------------------------------------------------------------------------
+
+#: Merges of the query that SQL replays: SQL scans all words for each.
+FEW = 60
+
+
+def _words(spark, sf):
+    return P.marked_words(table(spark, sf, "documents").select(F.col("lang").alias("code"), "text"), ["code"], "text").persist()
+
+
+@query()
+def emb5_piece_model(spark, sf):
+    """The whole set of 8000 pieces, as merges in their order."""
+    merges = P.trained(_words(spark, sf).groupBy("word").agg(F.sum("n").alias("n")))
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "step int, left string, right string")
+
+
+@query(f"""WITH RECURSIVE tok AS (SELECT lang AS code, unnest(regexp_split_to_array(text, '{BLANK}+')) AS w FROM documents),
+ct AS (SELECT code, '▁' || w AS w, count(*) AS n FROM tok WHERE w <> '' GROUP BY ALL), wd AS (SELECT w, sum(n) AS n FROM ct GROUP BY w),
+st AS (SELECT 0 AS step, w, n, regexp_replace(w, '(.)', ' \\1 ', 'gs') AS s FROM wd
+  UNION ALL SELECT step + 1, w, n, replace(s, ' ' || a || '  ' || b || ' ', ' ' || a || b || ' ') FROM st, (
+    SELECT p[1] AS a, p[2] AS b FROM (SELECT unnest(list_zip(x[:-2], x[2:])) AS p, n FROM (SELECT string_split(trim(s), '  ') AS x, n FROM st) WHERE len(x) > 1) GROUP BY ALL ORDER BY sum(n) DESC, a, b LIMIT 1) WHERE step < {FEW}),
+tf AS (SELECT code, term, sum(n) AS tf FROM (SELECT ct.code, ct.n, unnest(string_split(trim(s), '  ')) AS term FROM ct JOIN st USING (w) WHERE step = {FEW}) GROUP BY ALL),
+x AS (SELECT code, term, (1 + ln(tf)) * (ln((1 + (SELECT count(DISTINCT code) FROM tf)) / (1 + count(*) OVER (PARTITION BY term))) + 1) AS x FROM tf)
+SELECT code, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY code)), 6) AS w FROM x""")
+def emb5_piece_tfidf(spark, sf):
+    words = _words(spark, sf)
+    merges = P.learned(words.groupBy("word").agg(F.sum("n").alias("n")), FEW)
+    return P.piece_weights(words, ["code"], merges).select("code", "term", rounded("w").alias("w"))
+
+
+# ---- ST6, ST7: bootstraps against gold ------------------------------------------------------------------------------
+
+BOOT = 1000
+GOLD = f"{DISTANCES}, gd AS (SELECT 'all' AS gold, a, b, d AS g FROM m WHERE a < b)"
+SUMMARY = f"""bl AS (SELECT *, 'full' AS block FROM pr UNION ALL SELECT *, 'dialect_external' FROM pr WHERE ({ROLE.format('a')} = 'dialect' AND {ROLE.format('b')} = 'external') OR ({ROLE.format('b')} = 'dialect' AND {ROLE.format('a')} = 'external')),
+rk AS (SELECT gold, block, it, rank() OVER (PARTITION BY gold, block, it ORDER BY d) + (count(*) OVER (PARTITION BY gold, block, it, d) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY gold, block, it ORDER BY g) + (count(*) OVER (PARTITION BY gold, block, it, g) - 1) / 2.0 AS ry FROM bl),
+rho AS (SELECT gold, block, it, corr(rx, ry) AS r FROM rk GROUP BY ALL)
+SELECT gold, block, round(max(r) FILTER (it = -1), 5) AS rho_observed, round(avg(r) FILTER (it >= 0), 5) AS rho_mean, round(quantile_cont(r, 0.025) FILTER (it >= 0), 5) AS rho_lo, round(quantile_cont(r, 0.975) FILTER (it >= 0), 5) AS rho_hi, count(r) FILTER (it >= 0) AS n_boot FROM rho GROUP BY ALL"""
+
+
+def _summary(df):
+    return df.select("gold", "block", *[rounded(c, 5).alias(c) for c in ("rho_observed", "rho_mean", "rho_lo", "rho_hi")], "n_boot")
+
+
+def _golds(spark, sf):
+    return distances(spark, sf).where("a < b").select(F.lit("all").alias("gold"), "a", "b", F.col("d").alias("g"))
+
+
+@query(f"""WITH doc AS (SELECT conv_id * 100 + turn AS id, conv_id % 10 AS code, lower(text) AS t FROM conversations),
+g AS (SELECT id, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM doc), tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL),
+nd AS (SELECT count(DISTINCT id) AS n FROM tf), df AS (SELECT term, count(*) AS df, row_number() OVER () AS t FROM tf GROUP BY term), x AS (SELECT id, t, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term), nd),
+wt AS (SELECT id, t, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM x),
+r AS (SELECT code, id, row_number() OVER (PARTITION BY code ORDER BY id) - 1 AS idx, count(*) OVER (PARTITION BY code) AS n FROM doc),
+dr AS (SELECT code, it, {H32.format("'42-' || it || '-' || code || '-' || k")} % n AS idx, count(*) AS mult FROM (SELECT code, n, unnest(range(n)) AS k FROM (SELECT DISTINCT code, n FROM r)), (SELECT unnest(range({BOOT})) AS it) GROUP BY ALL),
+mu AS (SELECT it::BIGINT AS it, code, id, mult FROM dr JOIN r USING (code, idx) UNION ALL SELECT -1, code, id, 1 FROM r),
+ce AS (SELECT it, code, t, sum(mult * w) AS w FROM mu JOIN wt USING (id) GROUP BY ALL), ln AS (SELECT it, code, sqrt(sum(w * w)) AS l FROM ce GROUP BY ALL),
+dt AS (SELECT p.it, p.code AS a, q.code AS b, sum(p.w * q.w) AS x FROM ce p JOIN ce q ON p.it = q.it AND p.t = q.t AND p.code < q.code GROUP BY ALL),
+{GOLD}, pr AS (SELECT gold, p.it, gd.a, gd.b, greatest(0, 1 - coalesce(x, 0) / (p.l * q.l)) AS d, g FROM gd JOIN ln p ON p.code = gd.a JOIN ln q ON q.code = gd.b AND q.it = p.it LEFT JOIN dt ON dt.it = p.it AND dt.a = gd.a AND dt.b = gd.b),
+{SUMMARY}""")
+def st6_sparse_bootstrap(spark, sf):
+    """All 1000 replicates of word TF-IDF centroids of ten groups of turns, over whole texts."""
+    texts = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("conv_id") % 10).alias("code"), F.lower("text").alias("t"))
+    tf = T.term_counts(texts, ["id"], F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).persist()
+    return _summary(RS.sparse_bootstrap(texts, "code", T.weights(tf, tf, ["id"]), _golds(spark, sf), role, BOOT))
+
+
+@query(f"""WITH {DISTANCES}, gd AS (SELECT 'half' AS gold, x.code AS a, y.code AS b, greatest(0.0, 1 - list_cosine_similarity(x.vec[1:32], y.vec[1:32])) AS g FROM c x JOIN c y ON x.code < y.code),
+r AS (SELECT label AS code, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+dr AS (SELECT code, it, {H32.format("'42-' || it || '-' || code || '-' || k")} % n AS idx, count(*) AS mult FROM (SELECT code, n, unnest(range(n)) AS k FROM (SELECT DISTINCT code, n FROM r)), (SELECT unnest(range({BOOT})) AS it) GROUP BY ALL),
+mu AS (SELECT it::BIGINT AS it, code, idx, mult FROM dr UNION ALL SELECT -1, code, idx, 1 FROM r),
+rc AS (SELECT it, code, list(x ORDER BY i) AS vec FROM (SELECT it, code, i, sum(mult * embedding[i]::DOUBLE) AS x FROM mu JOIN r USING (code, idx), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY ALL),
+pr AS (SELECT gold, p.it, gd.a, gd.b, greatest(0.0, 1 - list_cosine_similarity(p.vec, q.vec)) AS d, g FROM gd JOIN rc p ON p.code = gd.a JOIN rc q ON q.code = gd.b AND q.it = p.it),
+{SUMMARY}""")
+def st7_dense_bootstrap(spark, sf):
+    """All 1000 replicates of sentence vectors; gold is what half of the dimensions say."""
+    half = group_vectors(spark, sf).select("code", F.slice("vec", 1, DIMS // 2).alias("vec"))
+    from glossa.functions import vectors as V
+
+    golds = V.cosine_distances(half, "code").where("a < b").select(F.lit("half").alias("gold"), "a", "b", F.col("d").alias("g"))
+    return _summary(RS.dense_bootstrap(embeddings(spark, sf), "code", ["vec_id"], golds, role, DIMS, BOOT))
+
+
+# ---- ST13: methods with each other ----------------------------------------------------------------------------------
+
+
+def _vectors(spark, sf, n: int = 4):
+    """(method, code, vec): each method sees its own stretch of the dimensions."""
+    width = DIMS // n
+    parts = F.explode(F.array(*[F.struct(F.lit(f"m{k}").alias("method"), F.slice("vec", k * width + 1, width).alias("vec")) for k in range(n)]))
+    return group_vectors(spark, sf).select("code", parts.alias("p")).select("p.method", "code", "p.vec")
+
+
+JOINED = "j AS (SELECT x.method AS method_a, y.method AS method_b, x.a, x.b, x.d AS x, y.d AS y FROM mm x JOIN mm y ON x.a = y.a AND x.b = y.b AND x.method < y.method WHERE x.a < x.b)"
+
+
+@query(f"""WITH {METHODS}, {JOINED}, k AS (SELECT method_a, method_b, rank() OVER (PARTITION BY method_a, method_b ORDER BY x) AS rx, rank() OVER (PARTITION BY method_a, method_b ORDER BY y) AS ry FROM j),
+r AS (SELECT method_a, method_b, corr(rx, ry) AS rho FROM k GROUP BY ALL)
+SELECT method_a, method_b, round(rho, 6) AS rho FROM r UNION ALL SELECT method_b, method_a, round(rho, 6) FROM r UNION ALL SELECT DISTINCT method, method, 1.0 FROM mm""")
+def st13_rank_matrix(spark, sf):
+    return ME.rank_correlations(method_distances(spark, sf)).select("method_a", "method_b", rounded("rho").alias("rho"))
+
+
+@query(f"""WITH {METHODS}, {JOINED}, cs AS (SELECT DISTINCT code FROM cm), mp AS (SELECT DISTINCT method_a, method_b FROM j), pl AS (SELECT code AS tc, row_number() OVER (ORDER BY code) AS pos FROM cs),
+pm AS (SELECT method_a, method_b, it, code, tc FROM (SELECT method_a, method_b, it, code, row_number() OVER (PARTITION BY method_a, method_b, it ORDER BY md5('42-' || method_a || '/' || method_b || '-' || it || '-' || code), code) AS pos FROM mp, cs, (SELECT unnest(range(999)) AS it)) JOIN pl USING (pos)),
+mv AS (SELECT method_a, method_b, p.it, x, least(p.tc, q.tc) AS a, greatest(p.tc, q.tc) AS b FROM j JOIN pm p USING (method_a, method_b) JOIN pm q USING (method_a, method_b) WHERE p.code = j.a AND q.code = j.b AND q.it = p.it),
+r AS (SELECT method_a, method_b, it, corr(mv.x, j.y) AS moved FROM mv JOIN j USING (method_a, method_b, a, b) GROUP BY ALL), s AS (SELECT method_a, method_b, corr(x, y) AS r FROM j GROUP BY ALL)
+SELECT method_a, method_b, round(any_value(s.r), 6) AS mantel_r, round((count_if(moved >= s.r - 1e-12) + 1) / (count(*) + 1), 6) AS p_value, (SELECT count(*) FROM cs) AS n_varieties, (count_if(moved >= s.r - 1e-12) + 1) / (count(*) + 1) < 0.05 AS significant_005 FROM r JOIN s USING (method_a, method_b) GROUP BY ALL""")
+def st13_mantel(spark, sf):
+    return ME.mantel_table(method_distances(spark, sf)).select("method_a", "method_b", rounded("mantel_r").alias("mantel_r"), rounded("p_value").alias("p_value"), "n_varieties", "significant_005")
+
+
+@query("""WITH e AS (SELECT label AS code, 'm' || ((i - 1) // 16)::VARCHAR AS method, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),
+g AS (SELECT p.method, p.code AS i, q.code AS j, sum(p.x * q.x) AS k FROM e p JOIN e q ON p.i = q.i AND p.method = q.method GROUP BY ALL),
+c AS (SELECT method, i, j, k - avg(k) OVER (PARTITION BY method, i) - avg(k) OVER (PARTITION BY method, j) + avg(k) OVER (PARTITION BY method) AS k FROM g)
+SELECT p.method AS method_a, q.method AS method_b, count(DISTINCT p.i) AS n_varieties, round(sum(p.k * q.k) / sqrt(sum(p.k * p.k) * sum(q.k * q.k)), 6) AS cka FROM c p JOIN c q ON p.i = q.i AND p.j = q.j AND p.method < q.method GROUP BY ALL""")
+def st13_cka(spark, sf):
+    return ME.space_table(_vectors(spark, sf)).select("method_a", "method_b", "n_varieties", rounded("cka").alias("cka"))
+
+
+@query()
+def st13_procrustes(spark, sf):
+    return ME.space_table(_vectors(spark, sf)).select("method_a", "method_b", rounded("procrustes").alias("procrustes"))

@@ -153,7 +153,7 @@ def test_duplicates_go_whole(spark):
 def test_merges_equal_a_loop(spark):
     from collections import Counter
 
-    from glossa.operators import embedding
+    from glossa.operators import pieces
 
     counts = {"abababab": 5, "aaaa": 3, "xyab": 4, "xyxy": 2}
     words, want = {tuple(w): n for w, n in counts.items()}, []
@@ -176,4 +176,4 @@ def test_merges_equal_a_loop(spark):
             merged[tuple(out)] += n
         words = merged
     df = spark.createDataFrame(list(counts.items()), "word string, n long")
-    assert embedding.bpe_merges(df, 5) == want
+    assert pieces.learned(df, 5) == want
