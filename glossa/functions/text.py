@@ -203,15 +203,15 @@ def masculine_feminine(cell: str | Column) -> Column:
     return F.struct(m.alias("m"), F.coalesce(of("f"), second, m).alias("f"))
 
 
-def codepoint_index(c: str | Column, ranges: list[tuple[int, int]] = rules.CODE_POINTS) -> Column:
-    """Characters as vocabulary numbers: 0 pads, 1 is unknown, then the ranges one after another."""
-    chars = F.filter(F.split(col(c), ""), lambda x: x != "")
+def vocabulary_number(point: Column, ranges: list[tuple[int, int]] = rules.CODE_POINTS) -> Column:
+    """A code point's number: 0 pads, 1 is unknown, then the ranges one after another."""
+    out, at = F.lit(1), 2
+    for a, b in ranges:
+        out = F.when(point.between(a, b), point - a + at).otherwise(out)
+        at += b - a + 1
+    return out
 
-    def number(x: Column) -> Column:
-        point, out, at = F.ascii(x), F.lit(1), 2
-        for a, b in ranges:
-            out = F.when(point.between(a, b), point - a + at).otherwise(out)
-            at += b - a + 1
-        return out
 
-    return F.transform(chars, number)
+def codepoint_index(c: str | Column, ranges: list[tuple[int, int]] = rules.CODE_POINTS) -> Column:
+    """Characters as vocabulary numbers."""
+    return F.transform(F.filter(F.split(col(c), ""), lambda x: x != ""), lambda x: vocabulary_number(F.ascii(x), ranges))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glossa.functions import rules
+from glossa.operators import encoders as EN
+from glossa.operators import masking as MK
 from glossa.operators import methods as ME
 from glossa.operators import pieces as P
 from glossa.operators import resampling as RS
+from glossa.operators import subwords as SW
 from glossa.operators import tfidf as T
-from glossa.plans.base import BLANK, DIMS, DISTANCES, H32, METHODS, ROLE, distances, embeddings, group_vectors, method_distances, role, rounded, table
+from glossa.plans.base import BLANK, DIMS, DISTANCES, H32, METHODS, ROLE, SENTENCES, distances, embeddings, group_vectors, method_distances, role, rounded, sentences, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -147,3 +151,88 @@ def st13_cka(spark, sf):
 @query()
 def st13_procrustes(spark, sf):
     return ME.space_table(_vectors(spark, sf)).select("method_a", "method_b", rounded("procrustes").alias("procrustes"))
+
+
+# ---- EMB8: masked characters ----------------------------------------------------------------------------------------
+
+
+def _case(x: str, cells: list[tuple[str, str]], other: str) -> str:
+    return "CASE " + " ".join(f"WHEN {x} BETWEEN {between} THEN {then}" for between, then in cells) + f" ELSE {other} END"
+
+
+def _ranges(number: str, point: str) -> tuple[str, str]:
+    """SQL: the code point of a number, and the vocabulary number of a code point."""
+    to, back, at = [], [], 0
+    for a, b in rules.CODE_POINTS:
+        to.append((f"{at} AND {at + b - a}", f"{number} + {a - at}"))
+        back.append((f"{a} AND {b}", f"{point} + {at + 2 - a}"))
+        at += b - a + 1
+    return _case(number, to, "NULL"), _case(point, back, "1")
+
+
+_TO, _BACK = _ranges(f"(h3 % {sum(b - a + 1 for a, b in rules.CODE_POINTS)})", "p")
+
+
+@query(f"""WITH {SENTENCES}, ch AS (SELECT doc_id, pos, list_filter(string_split(text, ''), lambda c: c <> '') AS x FROM s WHERE text IS NOT NULL),
+pt AS (SELECT doc_id, pos, unnest(range(greatest(ceil(len(x) / {MK.LENGTH - 2}), 1)::BIGINT)) AS part, x FROM ch),
+sq AS (SELECT doc_id, pos, part, x[part * {MK.LENGTH - 2} + 1 : (part + 1) * {MK.LENGTH - 2}] AS x FROM pt),
+po AS (SELECT doc_id, pos, part, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM sq WHERE len(x) > 0),
+hs AS (SELECT *, unicode(c) AS p, md5('42-' || doc_id || '-' || pos || '-' || part || '-' || i) AS h FROM po),
+nb AS (SELECT doc_id, pos, part, i, p, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT % 100 AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3 FROM hs),
+ms AS (SELECT doc_id, pos, part, i, h1 < {int(MK.SHARE * 2**32)} AND p NOT IN (0, 57344, 57345, 57346, 57347) AS chosen, CASE WHEN h2 < 80 THEN 57347 WHEN h2 < 90 THEN {_TO} ELSE p END AS new, p, {_BACK} AS label FROM nb)
+SELECT sq.doc_id, sq.pos::INTEGER AS pos, sq.part::INTEGER AS part, len(any_value(x)) + 2 AS n, count_if(chosen) AS n_chosen,
+md5('57344,' || coalesce(string_agg((CASE WHEN chosen THEN new ELSE p END)::VARCHAR, ',' ORDER BY i) || ',', '') || '57345') AS ids_md5, md5('-100,' || coalesce(string_agg((CASE WHEN chosen THEN label ELSE -100 END)::VARCHAR, ',' ORDER BY i) || ',', '') || '-100') AS labels_md5
+FROM sq LEFT JOIN ms ON ms.doc_id = sq.doc_id AND ms.pos = sq.pos AND ms.part = sq.part GROUP BY ALL""")
+def emb8_masked_characters(spark, sf):
+    """Every line of every document, whole: long lines go on in further sequences."""
+    m = MK.masked(sentences(spark, sf).where("text IS NOT NULL"), ["doc_id", "pos"], "text")
+    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").cast("binary"))
+    chosen = F.size(F.filter("labels", lambda x: x != MK.IGNORED)).cast("long")
+    return m.select("doc_id", "pos", "part", F.size("input_ids").cast("long").alias("n"), chosen.alias("n_chosen"), digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5"))
+
+
+# ---- EMB3, EMB6, EMB7: encoders -------------------------------------------------------------------------------------
+
+
+def _turns(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("turn") % 5).alias("code"), "text")
+
+
+@query()
+def emb3_subword_skipgram(spark, sf):
+    """Vectors of the groups' turns from a model trained on all of them."""
+    from glossa.functions import vectors as V
+
+    rows = _turns(spark, sf).withColumn("tokens", F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+"), lambda w: w != ""))
+    model = SW.trained(rows, "id", dims=64, epochs=5, rows=1 << 14)
+    vecs = SW.embedded(rows, ["id", "code"], "tokens", model)
+    return vecs.groupBy("code").agg(V.mean_of("vec", 64).alias("vec")).select("code", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 4))
+
+
+BYTES = "list_transform(range(16), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::INT / 127.5 - 1)"
+
+
+def _pooled_sql(tokens: str, most: int, centre: bool) -> str:
+    mean = "avg(x) OVER (PARTITION BY i)" if centre else "0"
+    return f"""WITH tk AS (SELECT conv_id * 100 + turn AS id, ({tokens})[:{most}] AS t FROM conversations),
+hs AS (SELECT id, md5(unnest(t)) AS h FROM tk), st AS (SELECT id, unnest(range(1, 17)) AS i, unnest({BYTES}) AS v FROM hs),
+po AS (SELECT id, i, coalesce(avg(v), 0) AS x FROM (SELECT id, unnest(range(1, 17)) AS i FROM tk) LEFT JOIN st USING (id, i) GROUP BY ALL),
+ce AS (SELECT id, i, x - {mean} AS x FROM po), nm AS (SELECT id, i, x / coalesce(nullif(sqrt(sum(x * x) OVER (PARTITION BY id)), 0), 1) AS x FROM ce)
+SELECT id, (i - 1)::INTEGER AS dim, round(x, 5) + 0.0 AS x FROM nm"""
+
+
+def _components(vecs):
+    return vecs.select("id", F.posexplode("vec").alias("dim", "x")).withColumn("x", rounded("x", 5))
+
+
+@query(_pooled_sql(f"list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}+'), lambda w: w <> '')", EN.TOKENS, False))
+def emb6_pooled_tokens(spark, sf):
+    """Encoders of tokens: at most 128 of a turn, the limit of the encoder; all components."""
+    return _components(EN.encode(_turns(spark, sf), ["id"], "text", EN.HashedTokens, 16))
+
+
+@query(_pooled_sql("list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> '')", EN.CHARACTERS, True))
+def emb7_centred_characters(spark, sf):
+    """Encoders of characters: at most 512 of a turn; the mean of all turns taken off."""
+    return _components(EN.encode(_turns(spark, sf), ["id"], "text", lambda: EN.HashedTokens(16, characters=True), 16, EN.CHARACTERS, centre=True))
