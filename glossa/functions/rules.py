@@ -155,7 +155,7 @@ NATIVE_PATTERNS: dict[str, list[str]] = {
 }
 
 # What article cleaning removes, in this order; the second set in either case.
-HEADER = r"=+\s*[^=]+\s*=+"
+HEADER = r"(?<!=)=++[^=]++=++"  # possessive: a sign without a partner is looked at once
 MARKUP = r"<comment>.*?</comment>|<contributor>|</contributor>|<format>.*?</format>|<ip>.*?</ip>|<minor\s*/>|<model>.*?</model>|<ns[^>]*>[^<]*</ns>|<parentid>.*?</parentid>|<revision>|<timestamp>.*?</timestamp>|<username>.*?</username>"
 MARKUP_ANY_CASE = r"</math>|</poem>|</small>|<references>|</html>|</includeonly></onlyinclude>|</table>|<\?php|<BR\s+C[^>]*>|#redirect"
 STRAY = r"<|br>"
@@ -163,6 +163,9 @@ STRAY = r"<|br>"
 # Characters that end a sentence.
 TERMINATORS = [".", "!", "?", '"', "'", "”", "’", "»", "…", ")", "]"]
 
+# What ends a sentence, and what may close after it before the blank.
+SENTENCE_END, CLOSERS = ".!?…", "\"'”’»)]"
+
 # Letters without a decomposition, and what stands for them.
 LETTERS = {"ß": "ss", "ł": "l", "Ł": "L", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "TH"}
 

@@ -110,13 +110,17 @@ def rule_drop(c: str | Column, code: str | Column, groups: dict[str, list[tuple[
     return out
 
 
+#: Blanks after the end of a sentence; quotes and brackets that close there belong to it.
+AFTER_END = r"(?<=[" + rules.SENTENCE_END + "][" + rules.CLOSERS.replace("]", r"\]") + r"]{0,8})\s++"
+
+
 def merged_sentences(c: str | Column) -> Column:
-    """Split after terminators; a fragment that begins in lower case belongs to the sentence before it."""
-    parts = F.filter(F.transform(F.split(col(c), r"(?<=[.!?…])\s+"), F.trim), lambda s: s != "")
-    first = lambda s: F.substring(s, 1, 1)
-    lower = lambda s: (F.lower(first(s)) == first(s)) & (F.upper(first(s)) != first(s))
-    glue = lambda a, s: F.when(lower(s) & (F.size(a) > 0), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat_ws(" ", F.element_at(a, -1), s)))).otherwise(F.concat(a, F.array(s)))
-    return F.aggregate(parts, F.expr("cast(array() as array<string>)"), glue)
+    """Split after terminators; a fragment that begins in lower case belongs to the sentence before it.
+
+    No split is made there in the first place, so a text of any number of sentences takes one pass.
+    """
+    parts = F.transform(F.split(col(c), AFTER_END + r"(?!\p{IsLowercase})"), lambda s: F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), AFTER_END + r"(?=\p{IsLowercase})", " "))
+    return F.filter(parts, lambda s: s != "")
 
 
 def fingerprint(c: str | Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +53,38 @@ def capped_union(seed_rows: DataFrame, more: DataFrame, by: str, cap: int, seed:
     return rows.withColumn("_seeds", n_seed).withColumn("_n", at).where(F.col("_n") <= F.greatest(F.lit(cap), F.col("_seeds"))).drop("_n", "_seeds")
 
 
+def ordered_checksum(df: DataFrame, by: str, order: list[str], text: str) -> DataFrame:
+    """(by, checksum): MD5 of each group's texts in order, each ended by a line feed.
+
+    A digest of an ordered stream is sequential by nature: a group's rows pass through one task, sorted on disk if need
+    be, one text at a time. Null texts are left out; a group without any has no checksum; ties are ordered by text.
+    """
+    rows = df.select(by, text, *order).repartition(by).sortWithinPartitions(by, *order, text).select(by, text)
+    kind = df.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, at, digest, some = False, None, None, False
+
+        def one() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], type_), pa.array([digest.hexdigest() if some else None], pa.string())], [by, "checksum"])
+
+        for b in batches:
+            type_ = b.schema.field(0).type
+            for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if not begun or key != at:
+                    if begun:
+                        yield one()
+                    begun, at, digest, some = True, key, hashlib.md5(), False
+                if t.is_valid:
+                    digest.update(t.as_py().encode())
+                    digest.update(b"\n")
+                    some = True
+        if begun:
+            yield one()
+
+    return rows.mapInArrow(run, f"`{by}` {kind}, checksum string")
+
+
 def draws(strata: DataFrame, by: list[str], n: str, iterations: int, seed: str) -> DataFrame:
     """(by..., b, idx, mult): bootstrap draws with replacement as multiplicities. strata holds the size n of each."""
     each = strata.select(*by, n, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("b")).select(*by, n, "b", F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1)).alias("k"))

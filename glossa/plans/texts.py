@@ -165,7 +165,7 @@ def txt6_rule_filter(spark, sf):
 
 
 #: Sentences z (.., k, x) of a table of texts.
-MERGED = r"""p AS (SELECT {1}, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS ps FROM {0}),
+MERGED = r"""p AS (SELECT {1}, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…]["''”’»)\]]{{0,8}})\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS ps FROM {0}),
 u AS (SELECT {1}, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM p),
 g AS (SELECT *, sum(CASE WHEN i > 1 AND lower(left(x, 1)) = left(x, 1) AND upper(left(x, 1)) <> left(x, 1) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM u),
 z AS (SELECT {2}, k, string_agg(x, ' ' ORDER BY i) AS x FROM g GROUP BY doc_id, k)"""
@@ -291,8 +291,8 @@ def txt21_row_expansion(spark, sf):
 
 @query("SELECT lang AS code, md5(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS checksum FROM documents GROUP BY lang")
 def txt22_ordered_checksum(spark, sf):
-    d = table(spark, sf, "documents").groupBy(F.col("lang").alias("code")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("x"))
-    return d.select("code", F.md5(F.concat(F.array_join(F.transform("x", lambda s: s["text"]), "\n"), F.lit("\n"))).alias("checksum"))
+    d = table(spark, sf, "documents").select(F.col("lang").alias("code"), "doc_id", "text")
+    return R.ordered_checksum(d, "code", ["doc_id"], "text")
 
 
 @query("SELECT doc_id, md5(regexp_replace(text, '[\"!]{2,}', '!', 'g')) AS t FROM documents")
@@ -486,7 +486,7 @@ JOIN (SELECT code, count(*)::BIGINT AS after_sentence_dedup FROM d GROUP BY code
 def pipe1_corpus_cleaning(spark, sf):
     """The whole cleaning chain with the rows left after every stage.
 
-    Sentences are grouped by what they are normalised to, those that a filter drops under null, so that one exchange
+    Sentences are grouped by the digest of what they are normalised to (and its start, which the last filter counts), those that a filter drops under null, so that one exchange
     gives the counts of all stages, the first of each copy and the prefixes' frequencies.
     """
     d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("code"), text.clean_article("text").alias("article"))
@@ -498,9 +498,10 @@ def pipe1_corpus_cleaning(spark, sf):
     s = s.select("doc_id", "pos", "code", text.is_sentence("text").alias("pre"), once.alias("t"))
     filled = F.col("pre") & (F.col("t") != "")
     post = filled & ~text.rule_drop("t", "code", DROP)
-    g = s.withColumn("key", F.when(post, F.col("t"))).groupBy("code", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("pre").alias("pre"), F.count_if(filled).alias("filled"), F.min(F.struct("doc_id", "pos")).alias("x"))
+    s = s.withColumn("key", F.when(post, F.unhex(F.md5("t")))).withColumn("start", F.when(post, F.substring("t", 1, 30)))
+    g = s.groupBy("code", "key", "start").agg(F.count(F.lit(1)).alias("n"), F.count_if("pre").alias("pre"), F.count_if(filled).alias("filled"), F.min(F.struct("doc_id", "pos")).alias("x"))
     counts = g.groupBy("code").agg(F.sum("n").alias("raw_sentences"), F.sum("pre").alias("after_pre_norm_filter"), F.sum("filled").alias("after_normalize"), F.sum(F.when(F.col("key").isNotNull(), F.col("n")).otherwise(0)).alias("after_post_norm_filter"), F.count("key").alias("after_sentence_dedup"))
-    left = R.drop_frequent(g.where("key IS NOT NULL").select("code", "key", "x.doc_id"), ["code"], F.substring("key", 1, 30))
+    left = R.drop_frequent(g.where("key IS NOT NULL").select("code", "start", "x.doc_id"), ["code"], F.col("start"))
     final = left.groupBy("code").agg(F.count(F.lit(1)).alias("final_sentences"), F.count_distinct("doc_id").alias("final_articles"))
     return raw.join(cleaned, "code").join(counts, "code").join(final, "code").select("code", *STAGES)
 

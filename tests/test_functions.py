@@ -177,3 +177,44 @@ def test_merges_equal_a_loop(spark):
         words = merged
     df = spark.createDataFrame(list(counts.items()), "word string, n long")
     assert pieces.learned(df, 5) == want
+
+
+def test_sentence_ends_and_long_texts(spark):
+    from glossa.functions import text
+
+    cases = {
+        'He said "no." Then left. (Quite so!) "Yes?" she asked.': ['He said "no."', "Then left.", "(Quite so!)", '"Yes?" she asked.'],
+        "Fin.» Et puis… encore. ”Là.’ Oui": ["Fin.»", "Et puis… encore.", "”Là.’", "Oui"],
+        "  lower first. then more.\n\nNext ": ["lower first. then more.", "Next"],
+        "": [], "   ": [], "one": ["one"], "A.b. C": ["A.b.", "C"],
+    }
+    for t, want in cases.items():
+        assert one(spark, text.merged_sentences("x"), t) == want, t
+    import time
+
+    began = time.time()
+    long = "A sentence. and more. " * 50_000 + "Last."
+    assert spark.createDataFrame([(long,)], "x string").select(F.size(text.merged_sentences("x"))).first()[0] == 50_001
+    assert time.time() - began < 5
+
+
+def test_headers_in_linear_time(spark):
+    import time
+
+    from glossa.functions import text
+
+    began = time.time()
+    for t in ("= " + " " * 100_000 + "x", "=" * 20_000, "= a " * 20_001):
+        one(spark, text.clean_article("x", 1), t)
+    assert time.time() - began < 10
+    assert one(spark, text.clean_article("x", 1), "a == History == b = c") == "a b = c"
+
+
+def test_ordered_checksum(spark):
+    import hashlib
+
+    from glossa.operators.relational import ordered_checksum
+
+    rows = [("x", 2, "b"), ("x", 1, "é"), ("x", 3, None), ("y", 1, None), (None, 1, "z"), ("x", 2, "a")]
+    got = {r["code"]: r["checksum"] for r in ordered_checksum(spark.createDataFrame(rows, "code string, k int, t string"), "code", ["k"], "t").collect()}
+    assert got == {"x": hashlib.md5("é\na\nb\n".encode()).hexdigest(), "y": None, None: hashlib.md5(b"z\n").hexdigest()}
