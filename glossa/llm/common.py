@@ -43,6 +43,11 @@ def trimmed() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """df with its columns named by place, for functions over whole batches: names may hold dots or occur twice."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def text_key(text: str | Column = "text") -> Column:
     """128 bits that stand for a text; null and the empty text share one key."""
     return F.unhex(F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")))

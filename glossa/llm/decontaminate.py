@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import text_key, trimmed, utf8, word_table
+from glossa.llm.common import by_place, text_key, trimmed, utf8, word_table
 from glossa.llm.fm_index import FMIndex
 
 WORDS = word_table(keep_digits=True)
@@ -170,7 +170,9 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with every hit span cut out of its text (and n_chars set anew where there is one); documents left without
-    a word are dropped if something was cut from them, all others stay. Same columns."""
+    a word are dropped if something was cut from them, all others stay. Same columns, whatever their names: null texts
+    stay null, repeated rows are treated alike, a text of any length is cut as a whole, ties do not arise, and an empty
+    table or benchmark changes nothing."""
     blocks = phrase_blocks(benchmark, window, block_bytes)
     sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
     at = docs.columns.index("text")
@@ -196,10 +198,11 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
                 if size is not None:
                     old = part.column(size).to_pylist()
                     out = out.set_column(size, "n_chars", pa.array([len(new[i].decode()) if len(m) else old[i] for i, m in enumerate(marks)], part.schema.field(size).type))
-                yield out.filter(pa.array(keep))
+                yield out.filter(pa.array(keep)).rename_columns(names)
         trimmed()
 
-    return docs.mapInArrow(run, docs.schema)
+    names = docs.columns
+    return by_place(docs).mapInArrow(run, docs.schema)
 
 
 def op3_fm_decontamination(spark, sf_dir: str) -> DataFrame:

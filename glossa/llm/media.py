@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import text_key, utf8
+from glossa.llm.common import by_place, text_key, utf8
 
 #: 64 pixels of 3 samples: payloads fill whole rows of an RGB image.
 ROW_BYTES = 192
@@ -87,27 +87,45 @@ def sequence(page: str | None) -> list[dict]:
     return [{"position": i, **x} for i, x in enumerate(p.items)]
 
 
+def apart(names: list[str], taken: list[str]) -> list[str]:
+    """The names of a page's columns; those that are taken begin with `page_`."""
+    out: list[str] = []
+    for name in names:
+        while name in taken or name in out:
+            name = f"page_{name}"
+        out.append(name)
+    return out
+
+
 def sequences(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """The pages with their sequence instead of their HTML, at the end; all other columns stay."""
-    rows = pages.select(*[c for c in pages.columns if c != html_col], html_col)
+    """The pages with their sequence instead of their HTML, at the end; all other columns stay, one that is itself called
+    `sequence` as `page_sequence`. Null and empty pages have an empty sequence; repeated pages keep their rows."""
+    others = [c for c in pages.columns if c != html_col]
+    rows = pages.select(*[F.col(f"`{c}`") for c in [*others, html_col]])
+    names = apart(others, ["sequence"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([sequence(x) for x in b.column(b.num_columns - 1).to_pylist()], ARROW_SEQUENCE)], [*b.schema.names[:-1], "sequence"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([sequence(x) for x in b.column(b.num_columns - 1).to_pylist()], ARROW_SEQUENCE)], [*names, "sequence"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, f"sequence {SEQUENCE}"]))
+    kinds = [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, rows.schema.fields, strict=False)]
+    return by_place(rows).mapInArrow(run, ", ".join([*kinds, f"sequence {SEQUENCE}"]))
 
 
 def resolve(seqs: DataFrame, resolved: DataFrame) -> DataFrame:
     """A row per media reference, with the columns of its page, where it stands, how much text comes before and after
-    it, and what is known of its payload, joined on digest; unknown digests stay, with nulls."""
+    it, and what is known of its payload, joined on digest; unknown digests stay, with nulls. Page columns whose names
+    the result has uses for come out with `page_` before them. resolved has a row per digest."""
+    pages = [c for c in seqs.columns if c != "sequence"]
+    names = apart(pages, ["position", "caption", "chars_before", "chars_after", "sequence", "s", *resolved.columns])
+    seqs = seqs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(pages, names, strict=True)], "sequence")
     chars = lambda test: F.aggregate(F.filter("sequence", test), F.lit(0), lambda n, x: n + F.coalesce(F.length(x["text"]), F.lit(0)))
-    at = seqs.select(*[c for c in seqs.columns if c != "sequence"], "sequence", F.explode(F.filter("sequence", lambda x: x["kind"] == "media")).alias("s"))
+    kept = [F.col(f"`{n}`") for n in names]
+    at = seqs.select(*kept, "sequence", F.explode(F.filter("sequence", lambda x: x["kind"] == "media")).alias("s"))
     position = F.col("s.position")
-    refs = at.select(*[c for c in seqs.columns if c != "sequence"], position, F.col("s.caption"), F.col("s.digest"), chars(lambda x: x["position"] < position).alias("chars_before"), chars(lambda x: x["position"] > position).alias("chars_after"))
+    refs = at.select(*kept, position, F.col("s.caption"), F.col("s.digest"), chars(lambda x: x["position"] < position).alias("chars_before"), chars(lambda x: x["position"] > position).alias("chars_after"))
     return refs.join(resolved, "digest", "left")
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import stored, trimmed, utf8, word_table
+from glossa.llm.common import by_place, stored, trimmed, utf8, word_table
 
 WORDS = word_table(keep_digits=False)
 #: The fit reads this many labelled documents at most, taken by a hash of their ids, each in full.
@@ -199,16 +199,18 @@ def score_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
 
 
 def accept(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """The rows of docs that are not toxic, columns as they are; decided text by text, in the scan itself."""
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    """The rows of docs that are not toxic, columns as they are, whatever their names; decided text by text, in the scan
+    itself, however long a text is. Null and empty texts have no features and stay; repeated rows are decided alike; an
+    empty table stays empty."""
+    sent, names, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            yield b.filter(pa.array([m.grades((t.as_py() or "").encode())[0] < 0.5 for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([m.grades((t.as_py() or "").encode())[0] < 0.5 for t in b.column(at)], pa.bool_())).rename_columns(names)
         trimmed()
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_place(docs).mapInArrow(run, docs.schema)
 
 
 def op4_ordinal_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -139,3 +139,16 @@ def test_encode_documents(table, codecs):
         assert rows[i]["ids"] == ids and rows[i]["n_tokens"] == len(ids) and rows[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert rows[i]["decoded_sha256"] == hashlib.sha256(codecs[1].decode(ids).encode()).hexdigest()
     assert encode_documents(table([]), MODEL).count() == 0
+
+
+def test_page_columns_with_names_of_the_result(spark):
+    digests = {k: hashlib.sha256(M.padded(k.encode())).hexdigest() for k in ("one", "two")}
+    html = f'a<img src="sha256:{digests["one"]}">b<img src="sha256:{digests["two"]}" alt="z">'
+    pages = spark.createDataFrame([(1, html, digests["two"], 7, "cap", "seq", 5, 6)], "id long, html string, digest string, position int, caption string, sequence string, `x.y` int, page_digest int")
+    known = spark.createDataFrame([(d, k) for k, d in digests.items()], "digest string, payload string")
+    got = M.resolve(M.sequences(pages), known)
+    assert len(set(got.columns)) == len(got.columns) and "page_sequence" in got.columns and "x.y" in got.columns
+    rows = [r.asDict() for r in got.orderBy("position").collect()]
+    assert [r["payload"] for r in rows] == ["one", "two"] and [r["position"] for r in rows] == [1, 3]
+    assert all(r["page_position"] == 7 and r["page_caption"] == "cap" and r["page_sequence"] == "seq" and r["x.y"] == 5 for r in rows)
+    assert {r["page_page_digest"] for r in rows} | {r["page_digest"] for r in rows} == {6, digests["two"]}

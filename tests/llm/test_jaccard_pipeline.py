@@ -184,3 +184,17 @@ def test_stages_keep_columns_and_empty_tables(spark):
         assert out.columns == few.columns and out.count() == 2, name
         assert stage(spark, few.limit(0), sf).count() == 0, name
     assert C.STAGES[-1][1](spark, few, sf).count() == 2
+
+
+def test_stages_with_awkward_columns(spark):
+    import corpus_pipeline as C
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    text = "clean little text and more"
+    few = docs.unionByName(spark.createDataFrame([(1, text, "en", "s", 26), (2, None, None, None, None), (3, "= " + " " * 100_000 + "x", "en", "s", 100_003)], docs.schema))
+    for c in ("x.y", "key", "digest", "position", "sequence", "row", "spans"):
+        few = few.withColumn(c, F.lit(1))
+    for name, stage in C.STAGES:
+        out = stage(spark, few, sf)
+        assert out.count() == 3 and (name == C.STAGES[-1][0] or out.columns == few.columns), name
