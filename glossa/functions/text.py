@@ -148,9 +148,9 @@ def blank_tokens(c: str | Column) -> Column:
 
 
 def clean_cell(c: str | Column) -> Column:
-    """A table cell without footnotes, tags and entities."""
+    """A table cell without footnotes, tags, entities and the blanks around it; fixed blanks are blanks."""
     out = F.regexp_replace(F.regexp_replace(col(c), r"(?s)<sup.*?</sup>", ""), r"<[^>]+>", "")
-    return F.trim(unescaped(out))
+    return F.regexp_replace(F.translate(unescaped(out), "\u00a0", " "), r"(?U)^\s+|\s+$", "")
 
 
 def language_code(c: str | Column) -> Column:

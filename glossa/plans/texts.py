@@ -91,12 +91,15 @@ def src22_path_parts(spark, sf):
     return p.groupBy(F.rtrim(parts[0], F.lit(":")).alias("scheme"), parts[2].alias("host")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p>.*?</p>')) AS cell, generate_subscripts(regexp_extract_all(html, '(?s)<p>.*?</p>'), 1) - 1 AS pos FROM pages)
-SELECT page_id, pos::BIGINT AS pos, md5(trim(regexp_replace(cell, '<[^>]+>', '', 'g'))) AS cell FROM r WHERE cell NOT LIKE '%&%' AND cell NOT LIKE '%<sup%'""")
+ENTITIES = "replace(replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+CELL = ENTITIES.format("regexp_replace(regexp_replace(cell, '(?s)<sup.*?</sup>', '', 'g'), '<[^>]+>', '', 'g')")
+
+
+@query(rf"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p>.*?</p>')) AS cell, generate_subscripts(regexp_extract_all(html, '(?s)<p>.*?</p>'), 1) - 1 AS pos FROM pages)
+SELECT page_id, pos::BIGINT AS pos, md5(regexp_replace({CELL}, '^\s+|\s+$', '', 'g')) AS cell FROM r""")
 def src23_html_cells(spark, sf):
     p = table(spark, sf, "pages")
     cells = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<p>.*?</p>"), F.lit(0))).alias("pos", "cell"))
-    cells = cells.where(~F.contains("cell", F.lit("&")) & ~F.contains("cell", F.lit("<sup")))
     return cells.select("page_id", F.col("pos").cast("long").alias("pos"), F.md5(text.clean_cell("cell")).alias("cell"))
 
 
