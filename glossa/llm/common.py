@@ -32,6 +32,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What operators keep in a worker from task to task.
+KEPT: list[dict] = []
+
+
+def forgotten() -> None:
+    """Let go of what earlier operators keep in this worker: stages of a pipeline share workers, not memories."""
+    for kept in KEPT:
+        kept.clear()
+    trimmed()
+
+
 def trimmed() -> None:
     """Give freed memory back: a worker that waits for its next task should not hold what the last one needed."""
     import ctypes

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import by_place, text_key, trimmed, utf8, word_table
+from glossa.llm.common import by_place, forgotten, text_key, trimmed, utf8, word_table
 from glossa.llm.fm_index import FMIndex
 
 WORDS = word_table(keep_digits=True)
@@ -179,6 +179,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forgotten()
         for whole in batches:
             raw = whole.set_column(at, "text", whole.column(at).cast(pa.binary()))
             for part, texts in shards(iter([raw]), at):

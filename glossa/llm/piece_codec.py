@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import trimmed
+from glossa.llm.common import KEPT, trimmed
 
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
@@ -197,6 +197,7 @@ class PieceCodec:
 
 
 _CODECS: dict[bytes, PieceCodec] = {}
+KEPT.append(_CODECS)
 
 
 def codec_of(model: bytes) -> PieceCodec:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import trimmed
+from glossa.llm.common import KEPT, trimmed
 
 #: Texts above this many tokens are marked.
 LIMIT = 512
@@ -104,6 +104,7 @@ class TokenCounter:
 
 
 _COUNTERS: dict[tuple, TokenCounter] = {}
+KEPT.append(_COUNTERS)
 
 
 def counter_of(name: str, content: bytes) -> TokenCounter:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import by_place, stored, trimmed, utf8, word_table
+from glossa.llm.common import by_place, forgotten, stored, trimmed, utf8, word_table
 
 WORDS = word_table(keep_digits=False)
 #: The fit reads this many labelled documents at most, taken by a hash of their ids, each in full.
@@ -205,6 +205,7 @@ def accept(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     sent, names, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forgotten()
         m = sent.value
         for b in batches:
             yield b.filter(pa.array([m.grades((t.as_py() or "").encode())[0] < 0.5 for t in b.column(at)], pa.bool_())).rename_columns(names)
