@@ -134,3 +134,35 @@ def aligned(parts: dict[str, DataFrame], key: str, value: str) -> DataFrame:
     if bad:
         raise ValueError("the tables have different keys or empty values")
     return out
+
+
+def head_tail(df: DataFrame, order: list[tuple[str, bool]], head: int, tail: int) -> DataFrame:
+    """(part, place, df's columns): the first `head` rows in an order of (column, descending), and the last `tail`,
+    placed from 1 in that order within each part. Each is a bounded sort; a short table's rows may be in both."""
+    keys = [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in order]
+    back = [F.asc_nulls_first(c) if down else F.desc_nulls_first(c) for c, down in order]
+    place = F.row_number().over(Window.orderBy(*keys))  # of head or tail rows
+    parts = [df.orderBy(*by).limit(n).withColumn("place", place).withColumn("part", F.lit(part)) for part, by, n in (("head", keys, head), ("tail", back, tail))]
+    return parts[0].unionByName(parts[1]).select("part", "place", *[F.col(f"`{c}`") for c in df.columns])
+
+
+def merged(inputs: dict[str, DataFrame], order: dict[str, list[str]], columns: list[str] | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Tables on top of each other, on given columns or on those that all of them have: (global_id, row_id, dataset,
+    columns), and the columns that each table loses. Missing cells are empty; rows are numbered through all tables in
+    the order of the names given, `row_id` is `<name>_<place in its table, from 0>`."""
+    if columns is None:
+        shared = set.intersection(*(set(df.columns) for df in inputs.values()))
+        columns = [c for c in next(iter(inputs.values())).columns if c in shared]
+    parts = []
+    for i, (name, df) in enumerate(inputs.items()):
+        at = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order[name]))
+        cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]
+        parts.append(df.withColumn("_at", at).select(F.lit(i).alias("_ord"), F.lit(name).alias("dataset"), "_at", *cells))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    sizes = out.groupBy(F.col("_ord").alias("_o")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_o", (F.sum("_n").over(Window.orderBy("_o")) - F.col("_n")).alias("_before"))  # one row a table
+    rows = out.join(F.broadcast(before), F.col("_ord") == F.col("_o"))
+    lost = {name: [c for c in df.columns if c not in columns] for name, df in inputs.items()}
+    return rows.select((F.col("_before") + F.col("_at")).alias("global_id"), F.concat("dataset", F.lit("_"), (F.col("_at") - 1).cast("string")).alias("row_id"), "dataset", *columns), lost

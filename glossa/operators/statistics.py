@@ -24,6 +24,30 @@ def blocks(pairs: DataFrame, role_a: Column, role_b: Column) -> DataFrame:
     return pairs.withColumn("block", F.explode(F.when(cross, F.array(F.lit("full"), F.lit("dialect_external"))).otherwise(F.array(F.lit("full")))))
 
 
+def correlate_all(model: DataFrame, golds: dict, load, role, least: int = 3) -> DataFrame:
+    """(gold, full, dialect_external, n_shared, error) of one model's distances (a, b, d) with every gold: a row for each,
+    with the message and no figures where `load(path)`, which gives (a, b, g), fails or lacks a column."""
+    spark, out, failed = model.sparkSession, None, []
+    for name, path in golds.items():
+        try:
+            gold = load(path).select(F.lit(name).alias("gold"), "a", "b", F.col("g").cast("double").alias("g"))
+            gold.isEmpty()  # a file that cannot be read fails here, not in the middle of the others
+            out = gold if out is None else out.unionByName(gold)
+        except Exception as e:
+            failed.append((name, str(e).splitlines()[0][:300]))
+    errors = spark.createDataFrame(failed, "gold string, error string").select("gold", *[F.lit(None).cast("double").alias(c) for c in ("full", "dialect_external")], F.lit(0).cast("long").alias("n_shared"), "error")
+    if out is None:
+        return errors
+    met = model.where("a < b").join(out.where("a < b"), ["a", "b"])
+    rho = spearman(blocks(met, role(F.col("a")), role(F.col("b"))), ["gold", "block"], "d", "g", least)
+    one = lambda b: F.max(F.when(F.col("block") == b, F.col("rho")))
+    wide = rho.groupBy("gold").agg(one("full").alias("full"), one("dialect_external").alias("dialect_external"))
+    codes = met.select("gold", F.explode(F.array("a", "b")).alias("c")).groupBy("gold").agg(F.count_distinct("c").alias("n_shared"))
+    every = out.select("gold").distinct()
+    found = every.join(wide, "gold", "left").join(codes, "gold", "left")
+    return found.select("gold", "full", "dialect_external", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"), F.lit(None).cast("string").alias("error")).unionByName(errors)
+
+
 def mantel(pairs: DataFrame, perms: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """(by, rho, p): two-sided permutation test of Spearman's rho between x and y over pairs (a, b).
 

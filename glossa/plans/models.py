@@ -6,13 +6,17 @@ from pyspark.sql import functions as F
 
 from glossa.functions import rules
 from glossa.operators import encoders as EN
+from glossa.operators import evaluate as EV
 from glossa.operators import masking as MK
 from glossa.operators import methods as ME
 from glossa.operators import pieces as P
+from glossa.operators import relational as R
 from glossa.operators import resampling as RS
+from glossa.operators import statistics as S
 from glossa.operators import subwords as SW
 from glossa.operators import tfidf as T
 from glossa.plans.base import BLANK, DIMS, DISTANCES, H32, METHODS, ROLE, SENTENCES, distances, embeddings, group_vectors, method_distances, role, rounded, sentences, table
+from glossa.sources import readers as RD
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -236,3 +240,57 @@ def emb6_pooled_tokens(spark, sf):
 def emb7_centred_characters(spark, sf):
     """Encoders of characters: at most 512 of a turn; the mean of all turns taken off."""
     return _components(EN.encode(_turns(spark, sf), ["id"], "text", lambda: EN.HashedTokens(16, characters=True), 16, EN.CHARACTERS, centre=True))
+
+
+# ---- EV10, TOP2, SMP2, JN6, SRC10 -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {DISTANCES}, f AS (SELECT code, CASE code % 3 WHEN 0 THEN 'rom' WHEN 1 THEN 'dia' ELSE 'oth' END AS family FROM c),
+kinds AS (SELECT 'family' AS kind, code, family FROM f UNION ALL SELECT 'romance vs rest', code, (family IN ('rom', 'dia'))::VARCHAR FROM f UNION ALL SELECT 'romance, no dialects', code, (family IN ('rom', 'dia'))::VARCHAR FROM f WHERE family <> 'dia'),
+g AS (SELECT x.kind, m.a, x.family AS fa, y.family AS fb, avg(d) AS d FROM m JOIN kinds x ON x.code = m.a JOIN kinds y ON y.code = m.b AND y.kind = x.kind WHERE m.a <> m.b GROUP BY ALL),
+k AS (SELECT kind, a, max(d) FILTER (fa = fb) AS own, min(d) FILTER (fa <> fb) AS other FROM g GROUP BY ALL)
+SELECT kind AS score, round(avg(coalesce((other - own) / nullif(greatest(own, other), 0), 0)), 6) AS value FROM k GROUP BY kind""")
+def ev10_scores(spark, sf):
+    """The silhouettes of one evaluation, of groups in three made-up families."""
+    v = group_vectors(spark, sf)
+    families = v.select("code", F.when(F.col("code") % 3 == 0, "rom").when(F.col("code") % 3 == 1, "dia").otherwise("oth").alias("family"))
+    ev = EV.Evaluation(v, families, DIMS, {"rom", "dia"}, {"dia"})
+    out = spark.createDataFrame([(k, None if x is None else round(x, 6) + 0.0) for k, x in ev.scores().items()], "score string, value double")
+    ev.close()
+    return out
+
+
+@query(f"""WITH {DISTANCES}, p AS (SELECT a, b, d FROM m WHERE a < b), h AS (SELECT 'head' AS part, row_number() OVER (ORDER BY d DESC, a, b) AS place, a, b, d FROM p QUALIFY place <= 20),
+t AS (SELECT *, row_number() OVER (ORDER BY d, a DESC, b DESC) AS back FROM p) SELECT part, place::INTEGER AS place, a, b, round(d, 6) AS d FROM h
+UNION ALL SELECT 'tail', row_number() OVER (ORDER BY d DESC, a, b)::INTEGER, a, b, round(d, 6) FROM t WHERE back <= 10""")
+def top2_head_and_tail(spark, sf):
+    pairs = distances(spark, sf).where("a < b")
+    return R.head_tail(pairs, [("d", True), ("a", False), ("b", False)], 20, 10).withColumn("d", rounded("d"))
+
+
+@query("SELECT doc_id, lang AS code, length(text)::BIGINT AS n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('42-' || doc_id), doc_id) <= 100")
+def smp2_article_cap(spark, sf):
+    """At most 100 articles of each language, drawn before anything is cleaned."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("code"), "text")
+    return R.sample_n(d, ["code"], 100, "42", ["doc_id"]).select("doc_id", "code", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(f"""WITH {DISTANCES}, md AS (SELECT a, b, d FROM m WHERE a < b AND a <> 3 AND b <> 3), gd AS (SELECT a, b, d AS g FROM m WHERE a < b AND a <> 5 AND b <> 5 UNION ALL SELECT 97, 98, 0.5),
+j AS (SELECT * FROM md JOIN gd USING (a, b)), r AS (SELECT rank() OVER (ORDER BY d) AS rx, rank() OVER (ORDER BY g) AS ry FROM j)
+SELECT (SELECT count(DISTINCT c) FROM (SELECT a AS c FROM j UNION ALL SELECT b FROM j)) AS n_shared, count(*) AS n_pairs, round(corr(rx, ry), 6) AS rho FROM r""")
+def jn6_shared_codes(spark, sf):
+    """A model that lacks one group and a gold that lacks another and has two of its own: what both have is compared."""
+    m = distances(spark, sf).where("a < b")
+    extra = spark.createDataFrame([(97, 98, 0.5)], "a int, b int, g double")
+    gold = m.where("a <> 5 AND b <> 5").withColumnRenamed("d", "g").unionByName(extra)
+    j = m.where("a <> 3 AND b <> 3").join(gold, ["a", "b"])
+    rho = S.spearman(j, [], "d", "g")
+    n = j.select(F.explode(F.array("a", "b")).alias("c")).agg(F.count_distinct("c").alias("n_shared"))
+    return n.join(rho).select("n_shared", F.col("n").alias("n_pairs"), rounded("rho").alias("rho"))  # one row each
+
+
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'dev' ELSE 'devtest' END AS split, doc_id, md5(regexp_replace(text, '\\r?\\n', ' ', 'g')) AS text FROM documents")
+def src10_splits(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    parts = RD.splits({"dev": d.where("doc_id % 2 = 0"), "devtest": d.where("doc_id % 2 <> 0")}, ["doc_id"])
+    return parts.select("split", "doc_id", F.md5("text").alias("text"))

@@ -40,8 +40,66 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def texts_by_id(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text) of a parquet file; fails without those columns."""
-    return spark.read.parquet(path).select("id", "text")
+    """(id, text) of a parquet file, in order of ids; fails without those columns, or where an id occurs twice."""
+    found = spark.read.parquet(path)
+    if missing := [c for c in ("id", "text") if c not in found.columns]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    if not found.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError(f"an id occurs more than once in {path}")
+    return found.select("id", "text").orderBy("id")
+
+
+#: Where the files of each variant of a dataset lie below a corpus folder.
+VARIANTS = {
+    "flores": {"native": "flores/{code}.csv", "normalized": "flores_normalized/{code}.csv"},
+    "oldi": {"native": "oldi/{code}.csv", "normalized": "oldi_normalized/{code}.csv"},
+    "wiki": {"native": "wiki_native/{code}/{code}.csv", "normalized": "wiki/{code}/{code}.csv"},
+}
+
+
+def variant_path(root: str, dataset: str, variant: str, code: str = "*", layout: dict[str, dict[str, str]] = VARIANTS) -> str:
+    """The file of a variety in one variant of a dataset (of all varieties: `*`); unknown names are an error."""
+    if dataset not in layout:
+        raise ValueError(f"unknown dataset {dataset!r}; one of {', '.join(layout)}")
+    if variant not in layout[dataset]:
+        raise ValueError(f"unknown variant {variant!r} of {dataset}; one of {', '.join(layout[dataset])}")
+    return f"{root.rstrip('/')}/{layout[dataset][variant].format(code=code)}"
+
+
+def monolingual_variant(spark: SparkSession, root: str, dataset: str, variant: str, codes: list[str], layout: dict[str, dict[str, str]] = VARIANTS) -> DataFrame:
+    """(code, text, label, article_id) of the given varieties, each from its own file, named by it."""
+    paths = [variant_path(root, dataset, variant, c, layout) for c in codes]
+    rows = spark.read.csv(paths, header=True, multiLine=True, escape='"', schema="text string, label int, article_id long")
+    return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1).alias("code"), "text", "label", "article_id").where("text IS NOT NULL")
+
+
+def splits(parts: dict[str, DataFrame], keys: list[str], text_col: str = "text") -> DataFrame:
+    """(split, keys, text): the splits of a corpus on top of each other, line ends in texts as blanks."""
+    out = None
+    for name, df in parts.items():
+        one = df.select(F.lit(name).alias("split"), *keys, F.regexp_replace(text_col, r"\r?\n", " ").alias("text"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def delimiter(head: str) -> str:
+    """Of a header line: a tab where the first column is `id` before one, else the most frequent of tab, comma and
+    semicolon outside quotes; a comma where there is none."""
+    if "\t" in head and head.split("\t")[0].strip('"').lower() == "id":
+        return "\t"
+    bare = "".join(head.split('"')[::2])
+    return max("\t,;", key=lambda c: (bare.count(c), c == ",")) if any(c in bare for c in "\t,;") else ","
+
+
+def column(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(text) of one column of a table file, empty where a row lacks it; an unknown name is an error that lists those
+    there are. Only the first line is looked at to find the delimiter."""
+    first = spark.read.text(path).limit(1).collect()
+    sep = delimiter(first[0][0] if first else "")
+    wide = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"')
+    if name not in wide.columns:
+        raise ValueError(f"no column {name!r} in {path}; there are {', '.join(wide.columns)}")
+    return wide.select(F.coalesce(F.col(f"`{name}`"), F.lit("")).alias("text"))
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
