@@ -29,16 +29,16 @@ def query(sql: str | None = None):
     return add
 
 
-BENCH = "doc AS (SELECT conv_id * 100 + turn AS id, turn % 5 AS code, regexp_replace(lower(text), '[^a-z ]', ' ', 'g') AS t FROM conversations)"
+BENCH = "doc AS (SELECT conv_id * 100 + turn AS id, turn % 5 AS code, lower(text) AS t FROM conversations)"
 
 
 def _texts(spark, sf):
-    """Short texts in five groups, reduced to a-z so that every engine's notion of a word is the same."""
+    """Short texts in five groups, whole."""
     c = table(spark, sf, "conversations")
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("turn") % 5).alias("code"), F.regexp_replace(F.lower("text"), "[^a-z ]", " ").alias("t"))
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("turn") % 5).alias("code"), F.lower("text").alias("t"))
 
 
-TF_WORD = f"""{BENCH}, w AS (SELECT id, code, regexp_extract_all(t, '[a-z][a-z]+') AS w FROM doc),
+TF_WORD = f"""{BENCH}, w AS (SELECT id, code, regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]{{2,}}') AS w FROM doc),
 g AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL)"""
 WEIGHTS = """nd AS (SELECT count(DISTINCT id) AS n FROM tf), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), x AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term), nd),
 wt AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM x)"""
@@ -49,17 +49,17 @@ def _word_weights(spark, sf):
     return T.weights(tf, tf, ["id"])
 
 
-@query(f"WITH {TF_WORD}, {WEIGHTS} SELECT id, count(*)::BIGINT AS n_terms, round(sum(w), 5) AS sum_w, round(max(w), 5) AS max_w FROM wt GROUP BY id")
+@query(f"WITH {TF_WORD}, {WEIGHTS} SELECT id, term, round(w, 6) AS w FROM wt")
 def emb1_word_tfidf(spark, sf):
-    return _word_weights(spark, sf).groupBy("id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("w"), 5).alias("sum_w"), F.round(F.max("w"), 5).alias("max_w"))
+    return _word_weights(spark, sf).select("id", "term", F.round("w", 6).alias("w"))
 
 
-@query(f"""WITH {BENCH}, p AS (SELECT id, ' ' || unnest(regexp_extract_all(t, '[a-z]+')) || ' ' AS p FROM doc),
+@query(f"""WITH {BENCH}, p AS (SELECT id, ' ' || w || ' ' AS p FROM (SELECT id, unnest(regexp_split_to_array(t, '{BLANK}+')) AS w FROM doc) WHERE w <> ''),
 g AS (SELECT id, substr(p, i, n) AS term FROM (SELECT id, p, n, unnest(range(1, greatest(length(p) - n + 1, 1) + 1)) AS i FROM p, (SELECT unnest([3, 4, 5]) AS n) WHERE n = 3 OR length(p) >= n)), tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL),
-{WEIGHTS} SELECT id, count(*)::BIGINT AS n_terms, round(sum(w), 4) AS sum_w FROM wt GROUP BY id""")
+{WEIGHTS} SELECT id, term, round(w, 6) AS w FROM wt""")
 def emb2_char_tfidf(spark, sf):
     tf = T.term_counts(_texts(spark, sf), ["id"], T.char_ngrams(F.col("t")))
-    return T.weights(tf, tf, ["id"]).groupBy("id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("w"), 4).alias("sum_w"))
+    return T.weights(tf, tf, ["id"]).select("id", "term", F.round("w", 6).alias("w"))
 
 
 CENT = "sz AS (SELECT code, count(DISTINCT id) AS n FROM doc JOIN (SELECT DISTINCT id FROM wt) USING (id) GROUP BY code), ce AS (SELECT code, term, sum(w) / any_value(n) AS w FROM wt JOIN doc USING (id) JOIN sz USING (code) GROUP BY code, term)"
@@ -128,13 +128,13 @@ def emb6_hashing_encoder(spark, sf):
     return v.select("id", F.round(F.col("vec")[0], 6).alias("x1"), F.size("vec").alias("dims"))
 
 
-WORDS = """tk AS (SELECT lang AS code, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), ct AS (SELECT code, w, count(*) AS n FROM tk WHERE length(w) > 2 GROUP BY ALL),
+WORDS = """tk AS (SELECT lang AS code, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents), ct AS (SELECT code, w, count(*) AS n FROM tk WHERE length(w) > 2 GROUP BY ALL),
 fm AS (SELECT code, w AS form, row_number() OVER (PARTITION BY code ORDER BY n DESC, w) AS concept FROM ct QUALIFY row_number() OVER (PARTITION BY code ORDER BY n DESC, w) <= 40)"""
 
 
 def _wordlist(spark, sf):
     """The most frequent words of each language as forms of numbered concepts."""
-    w = table(spark, sf, "documents").select(F.col("lang").alias("code"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("form"))
+    w = table(spark, sf, "documents").select(F.col("lang").alias("code"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("form"))
     n = w.where(F.length("form") > 2).groupBy("code", "form").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("concept", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n"), "form"))).where("concept <= 40").select("code", "concept", "form")
 
@@ -147,7 +147,14 @@ def _form_pairs(forms):
     return left.join(right, ["a", "b"]).select("a", "b", "i", "j", text.edit_distance("fa", "fb").alias("d"))  # concepts squared, a wordlist's size
 
 
-NLEV = "levenshtein(x.form, y.form)::DOUBLE / greatest(length(x.form), length(y.form))"
+def _lev(a: str, b: str) -> str:
+    """SQL: edit distance in characters. Its function counts bytes, so each accented letter becomes one ASCII sign that
+    lower-case words do not hold."""
+    one = lambda c: f"translate({c}, 'ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ012345')"
+    return f"levenshtein({one(a)}, {one(b)})::DOUBLE / greatest(length({a}), length({b}))"
+
+
+NLEV = _lev("x.form", "y.form")
 
 
 @query(f"WITH {WORDS} SELECT x.code AS a, y.code AS b, round(avg({NLEV}), 6) AS ld, count(*)::BIGINT AS n FROM fm x JOIN fm y ON x.concept = y.concept AND x.code < y.code GROUP BY ALL HAVING count(*) >= 5")
@@ -158,7 +165,7 @@ def st15_txt19_mean_edit_distance(spark, sf):
     return p.where("n >= 5")
 
 
-FP = f"{WORDS}, sh AS (SELECT x.code AS a, y.code AS b, x.concept AS i, x.form AS fa, y.form AS fb FROM fm x JOIN fm y ON x.concept = y.concept AND x.code < y.code), fp AS (SELECT x.a, x.b, x.i, y.i AS j, levenshtein(x.fa, y.fb)::DOUBLE / greatest(length(x.fa), length(y.fb)) AS d FROM sh x JOIN sh y USING (a, b))"
+FP = f"{WORDS}, sh AS (SELECT x.code AS a, y.code AS b, x.concept AS i, x.form AS fa, y.form AS fb FROM fm x JOIN fm y ON x.concept = y.concept AND x.code < y.code), fp AS (SELECT x.a, x.b, x.i, y.i AS j, {_lev("x.fa", "y.fb")} AS d FROM sh x JOIN sh y USING (a, b))"
 
 
 @query(f"WITH {FP} SELECT a, b, round(CASE WHEN avg(d) FILTER (i <> j) > 0 THEN avg(d) FILTER (i = j) / avg(d) FILTER (i <> j) ELSE avg(d) FILTER (i = j) END, 6) AS ldnd FROM fp GROUP BY ALL")
@@ -168,7 +175,7 @@ def st16_ldnd(spark, sf):
     return p.groupBy("a", "b").agg(rounded(F.when(other > 0, same / other).otherwise(same)).alias("ldnd"))
 
 
-LD_DRAWS = 100
+LD_DRAWS = 1000
 #: Intervals of both distances: concepts are drawn from the whole list, a pair keeps those that it shares.
 LD_CI = f"""{FP}, it AS (SELECT unnest(range({LD_DRAWS})) AS b), cn AS (SELECT max(concept) AS n FROM fm), k AS (SELECT b AS it, n, unnest(range(n)) AS k FROM it, cn), m AS (SELECT it, {H32.format("'31-' || it || '-w-' || k")} % n + 1 AS c, count(*) AS mult FROM k GROUP BY ALL),
 s AS (SELECT p.it, a, b, sum(p.mult * q.mult * d) AS every, sum(p.mult * d) FILTER (i = j) AS same, sum(p.mult) FILTER (i = j) AS n FROM fp JOIN m p ON p.c = fp.i JOIN m q ON q.c = fp.j AND q.it = p.it GROUP BY ALL),
@@ -277,7 +284,7 @@ def mt4_greedy_match(spark, sf):
     return m.select("source", "target", "pos", *[F.round(c, 5).alias(c) for c in ("precision", "recall", "f1")])
 
 
-BOOT, ALPHA = 200, 0.05
+BOOT, ALPHA = 1000, 0.05
 #: Resamples of systems' statistics ms2 (grp, system, pos, kind, ..) over the positions sel (grp, pos), and the test.
 TESTED = f"""ix AS (SELECT grp, pos, row_number() OVER (PARTITION BY grp ORDER BY pos) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM sel), sz AS (SELECT DISTINCT grp, n FROM ix WHERE n >= 5),
 k AS (SELECT grp, n, unnest(range(n)) AS k FROM sz), t AS (SELECT *, unnest(range({BOOT})) AS b FROM k), dr AS (SELECT grp, b, {H32.format("'77-' || b || '-' || grp || '-' || k")} % n AS idx, count(*) AS mult FROM t GROUP BY ALL UNION ALL SELECT grp, -1, idx, 1 FROM ix WHERE n >= 5),
