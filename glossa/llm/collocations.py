@@ -38,6 +38,8 @@ HOT = 1000
 FIELD_BITS = 25
 #: Bytes of text in a chunk, and distinct words after which what a task has gathered is sent.
 CHUNK_BYTES, STRETCH_WORDS, STRETCH_LENGTH = 2 << 20, 1 << 19, 2_000_000
+#: Each language's phrases are ranked in so many shares first.
+SHARES = 16
 #: Buckets of pointers for each partition; a task holds one bucket at a time.
 FINER = 8
 
@@ -348,7 +350,10 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
         here = spelled.select(F.col("id").alias(w), F.col("word").alias(f"s_{w}"), *([F.col("lang")] if not j else []))
         scored = scored.join(here, w, "inner" if j < 2 else "left")
     rows = scored.select("lang", F.concat_ws(" ", *[f"s_{w}" for w in names]).alias("phrase"), "a", "best.l", "best.r", "best.score")
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")))
+    first = lambda *by: F.row_number().over(W.partitionBy("lang", *by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    if top is not None:  # the first of each share come together, so what one task ranks does not grow with the corpus
+        rows = rows.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).withColumn("k", first("share")).where(F.col("k") <= top)
+    ranked = rows.withColumn("rank", first())
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     return ranked.join(totals.select("lang", "n"), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
