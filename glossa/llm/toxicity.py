@@ -166,8 +166,10 @@ def screened(sample: DataFrame, min_docs: int, min_g: float) -> list[bytes]:
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, min_docs: int = 4, min_g: float = 15.0, **options) -> OrdinalModel:
-    """Fit on at most max_docs labelled documents (a copied document id counts once); on none, nothing is toxic."""
-    sample = stored(training_rows(docs, labels, max_docs).dropDuplicates(["doc_id"]), "labelled")
+    """Fit on at most max_docs labelled documents; on none, nothing is toxic. Of several texts under one id the one whose
+    features come first in byte order counts, so that a fit can be repeated."""
+    rows = training_rows(docs, labels, max_docs)
+    sample = stored(rows.groupBy("doc_id").agg(F.min(F.struct("words", "toxic")).alias("x")).select("doc_id", "x.words", "x.toxic"), "labelled")
     kept = docs.sparkSession.sparkContext.broadcast(frozenset(screened(sample, min_docs, min_g)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +186,9 @@ def fit_documents(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_
 
 def score_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, p_toxic, p_severe, expected_severity, toxic): every whole text scored; toxic where grade 1 or more is
-    the likelier. Null and empty texts have no features. A row for each row, ids as they are."""
+    the likelier (a tie is toxic). Null and empty texts have no features. A row for each row, ids as they are, repeated and
+    null ones included; texts of any length are scored whole; an empty table gives an empty result; other columns,
+    whatever their names, are ignored."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 

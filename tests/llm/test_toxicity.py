@@ -40,3 +40,50 @@ def test_edges(spark, table):
     none = T.fit_documents(docs, labels.where("false"))
     assert T.accept(docs, none).count() == 4 and T.accept(docs, none).columns == docs.columns
     assert T.score_documents(table([]), none).count() == 0
+
+
+def objective(x, grades, w, first, gap, l1, l2):
+    """The penalised mean log-likelihood, term by term."""
+    out = l1 * sum(map(abs, w)) + l2 / 2 * sum(v * v for v in w)
+    for row, g in zip(x, grades, strict=True):
+        z = sum(v for v, there in zip(w, row, strict=True) if there)
+        at_least = [1.0, *(1 / (1 + np.exp(t - z)) for t in (first, first + gap)), 0.0]
+        out -= np.log(at_least[g] - at_least[g + 1]) / len(x)
+    return out
+
+
+def plain_optimum(x, grades, l1, l2):
+    """Pattern search, one coordinate after another, until no step helps."""
+    at, step = np.array([0.0] * len(x[0]) + [0.0, 1.0]), 1.0
+    best = objective(x, grades, at[:-2], at[-2], at[-1], l1, l2)
+    while step > 1e-4:
+        moved = False
+        for i in range(len(at)):
+            for sign in (1, -1):
+                new = at.copy()
+                new[i] += sign * step
+                if new[-1] >= 0.01 and (value := objective(x, grades, new[:-2], new[-2], new[-1], l1, l2)) < best - 1e-12:
+                    at, best, moved = new, value, True
+        step = step if moved else step / 2
+    return at, best
+
+
+def test_fit_is_the_optimum_of_its_likelihood():
+    rng = np.random.default_rng(3)
+    grades = rng.choice(3, 120, p=[0.5, 0.3, 0.2])
+    x = [[bool(rng.random() < p) for p in (0.2 + 0.3 * g, 0.9 - 0.3 * g, 0.5)] for g in grades]
+    names = [b"up", b"down", b"noise"]
+    l1, l2 = 5e-3, 1e-2
+    m = T.fit([[w for w, there in zip(names, row, strict=True) if there] for row in x], grades, min_g=0.0, l1=l1, l2=l2, steps=4000)
+    found = [m.weights.get(w, 0.0) for w in names]
+    at, best = plain_optimum(x, grades, l1, l2)
+    assert abs(objective(x, grades, found, m.thresholds[0], m.thresholds[1] - m.thresholds[0], l1, l2) - best) < 1e-5
+    assert np.allclose([*found, m.thresholds[0], m.thresholds[1] - m.thresholds[0]], at, atol=0.02)
+
+
+def test_repeated_ids_are_fitted_alike(spark):
+    texts = [(i % 40, ("nice day " if i % 2 else "foul mouth ") + f"w{i % 7}") for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    models = [T.fit_documents(docs.orderBy(F.rand(k)).repartition(3 + k), labels) for k in range(3)]
+    assert models[0].weights and models[0] == models[1] == models[2]
