@@ -132,3 +132,26 @@ def test_terms_are_learned_and_marked_throughout_documents(table):
     assert all("Initech" in got[i] for i in range(44, 49))
     assert got[49].count("Hooli") == 3 and got[49].count("hooli") == 1
     assert not any(got[i] for i in range(40))
+
+
+def test_terms_against_brute_force(table):
+    """Made-up letters, signatures and records, judged by loops over all lines and documents."""
+    from tests_support import brute_mask, brute_private_spans
+
+    r = random.Random(6)
+    people = [(n, f"{n.lower()}@{n.lower()}.example", f"+1 (377) 555-02{i}{i}") for i, n in enumerate(["Umbrella", "Initech", "Hooli", "Zürich2x", "Vandelay"])]
+    filler = ["about", "common", "words", "here", "story", "été", "4everyone", "plain", "of", "umbrella"]
+    made = []
+    for i in range(220):
+        name, mail, phone = r.choice(people)
+        bits = [" ".join(r.choice(filler) for _ in range(5)) for _ in range(r.randrange(1, 4))]
+        if r.random() < 0.3:
+            bits.insert(r.randrange(len(bits) + 1), r.choice([f"write {mail} or ask {name}", f"{name}\n{mail.upper()}", f"call {phone}, {name.upper()} {r.choice(filler)}", f"{mail} {phone}", f"{name} alone"]))
+        made.append("\n".join(bits))
+    made += made[:30] + [None, "", "  ", "\n"]
+    want = brute_private_spans(made)
+    assert sum(k == "term" for s in want for k, *_ in s) > 20
+    for row in P.detected(table(made)).collect():
+        assert spans(row["spans"]) == want[row["doc_id"]], made[row["doc_id"]]
+    for row in P.sanitised(table(made)).collect():
+        assert row["text"] == (None if made[row["doc_id"]] is None else brute_mask(made[row["doc_id"]], want[row["doc_id"]]))
