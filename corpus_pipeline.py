@@ -1,6 +1,8 @@
 """The corpus pipeline: toxicity, near-duplicate removal, decontamination, personal data, tokens.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. In all
+of them other columns pass through whatever their names, texts of any length are taken whole, an empty table gives an
+empty one, and equal rows are treated alike; what each does with nulls, ties and repeated ids stands beside it.
 """
 
 from __future__ import annotations
@@ -14,27 +16,32 @@ TOKENIZER = "piece_bpe_32k.model"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model does not grade as toxic."""
+    """Documents that the ordinal model does not grade as toxic; a tie of grades counts as toxic. Null and empty texts stay,
+    as do rows without an id; repeated ids are rows of their own."""
     return toxicity.accept(docs, toxicity.fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the one of the smallest id, of equal ids of the smallest text key, of
+    equal rows one. Documents without words, nulls included, stay, repeated or not; a null id comes after all others."""
     return jaccard_join.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of the benchmark."""
+    """Texts without the passages of the benchmark; a document left without a word is dropped. Overlapping passages are cut
+    once. Null texts stay, and ids play no part; null items have no passages."""
     return decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data, and terms that disclose it, replaced by marks."""
+    """Texts with personal data, and terms that disclose it, replaced by marks; of overlapping spans the first names the
+    mark. Null texts stay null, rows stay rows, and ids play no part."""
     return pii.sanitised(docs)
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with digests of the ids and of what they decode to."""
+    """Token ids of every text, with digests of the ids and of what they decode to: a row for each row, repeated and null
+    ids included. A null text is empty and has the end id only; equal texts have equal ids."""
     return piece_codec.encode_documents(docs, public_tokenizers.path(TOKENIZER), keep_ids=True)
 
 
