@@ -45,16 +45,22 @@ def masked(df: DataFrame, keys: list[str], text_col: str, seed: str = "42", shar
     size = sum(b - a + 1 for a, b in rules.CODE_POINTS)
     name = F.concat_ws("-", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.col("part").cast("string"))
 
-    def one(c: Column, i: Column) -> Column:
-        h = F.md5(F.concat(name, F.lit("-"), (i + 1).cast("string")).cast("binary"))
-        number = lambda k: F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long")
-        point = F.ascii(c)
-        chosen = (number(0) < int(share * 2**32)) & ~point.isin(PAD, BEGIN, END, RESERVED, MASK)
+    limit = f"{int(share * 2**32):08x}"
+    drawn = F.transform("chars", lambda c, i: F.struct(F.ascii(c).alias("p"), F.md5(F.concat(name, F.lit("-"), (i + 1).cast("string")).cast("binary")).alias("h")))
+
+    def chosen(x: Column) -> Column:
+        """Whether the first eight digits are below the share; as text, since most characters need no number."""
+        low = F.substring(x["h"], 1, 8) < limit if len(limit) == 8 else F.lit(True)
+        return low & ~x["p"].isin(PAD, BEGIN, END, RESERVED, MASK)
+
+    def one(x: Column) -> Column:
+        number = lambda k: F.conv(F.substring(x["h"], 8 * k + 1, 8), 16, 10).cast("long")
         what = F.pmod(number(1), F.lit(100))
-        new = F.when(what < MARKED, F.lit(MASK)).when(what < MARKED + CHANGED, code_point_of(F.pmod(number(2), F.lit(size)).cast("int"))).otherwise(point)
-        return F.struct(F.when(chosen, new).otherwise(point).alias("id"), F.when(chosen, text.vocabulary_number(point)).otherwise(F.lit(IGNORED)).alias("label"))
+        new = F.when(what < MARKED, F.lit(MASK)).when(what < MARKED + CHANGED, code_point_of(F.pmod(number(2), F.lit(size)).cast("int"))).otherwise(x["p"])
+        return F.when(x["c"], F.struct(new.alias("id"), text.vocabulary_number(x["p"]).alias("label"))).otherwise(F.struct(x["p"].alias("id"), F.lit(IGNORED).alias("label")))
 
-    rows = rows.select(*keys, "part", F.transform("chars", one).alias("x"))
+    judged = F.transform("chars", lambda x: F.struct(x["p"].alias("p"), x["h"].alias("h"), chosen(x).alias("c")))
+    rows = rows.withColumn("chars", drawn).withColumn("chars", judged).select(*keys, "part", F.transform("chars", one).alias("x"))
     ids = F.concat(F.array(F.lit(BEGIN)), F.transform("x", lambda x: x["id"]), F.array(F.lit(END)))
     labels = F.concat(F.array(F.lit(IGNORED)), F.transform("x", lambda x: x["label"]), F.array(F.lit(IGNORED)))
     return rows.select(*keys, "part", ids.alias("input_ids"), F.transform(ids, lambda _: F.lit(1)).alias("attention_mask"), labels.alias("labels"))

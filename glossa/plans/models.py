@@ -294,3 +294,10 @@ def src10_splits(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     parts = RD.splits({"dev": d.where("doc_id % 2 = 0"), "devtest": d.where("doc_id % 2 <> 0")}, ["doc_id"])
     return parts.select("split", "doc_id", F.md5("text").alias("text"))
+
+
+@query(f"SELECT method_a, method_b, p_value, round(least(p_value * count(*) OVER (PARTITION BY method_a), 1), 6) AS p_bonferroni FROM ({SQL['st13_mantel']})")
+def st19_mantel_bonferroni(spark, sf):
+    """The permutation tests of each method against the others, corrected for their number."""
+    m = ME.mantel_table(method_distances(spark, sf)).select("method_a", "method_b", rounded("p_value").alias("p_value"))
+    return m.withColumn("p_bonferroni", rounded(S.bonferroni("p_value", ["method_a"])))
