@@ -50,3 +50,26 @@ def test_pooled_word_vectors(spark):
             met.setdefault(x, []).append(vecs[w])
     got = {r["bucket"]: r["vec"] for r in EM.subword_table(table, 4).collect()}
     assert got.keys() == met.keys() and all(np.allclose(got[x], np.mean(v, axis=0)) for x, v in met.items())
+
+
+def test_draws_travel_as_blocks_and_sums_meet(spark, monkeypatch):
+    from glossa.operators import resampling as RS
+    from glossa.operators.relational import draws
+
+    monkeypatch.setattr(RS, "WIDTH", 4)
+    rows = [(g, i, k, [float(i * 3 + len(k)), float(g)]) for g, n in ((1, 11), (2, 3)) for i in range(n) for k in ("x", "yy")]
+    df = spark.createDataFrame(rows, "g int, idx long, k string, v array<double>")
+    sizes = spark.createDataFrame([(1, 11), (2, 3), (3, 0)], "g int, n long")
+    assert RS.drawn_blocks(sizes, ["g"], 20, "s").count() == 20 * (3 + 1)  # a row for four rows, not one for each
+    parts = RS.resampled_sums(df, ["g"], ["k"], "v", sizes, 20, "s", observed=True).collect()
+    got = {}
+    for r in parts:
+        key = r["g"], r["k"], r["b"]
+        got[key] = [x + y for x, y in zip(got.get(key, [0.0, 0.0]), r["sums"], strict=True)]
+    times = {(r["g"], r["b"], r["idx"]): r["mult"] for r in draws(sizes.where("n > 0"), ["g"], "n", 20, "s").collect()}
+    want = {}
+    for g, i, k, v in rows:
+        for b in range(-1, 20):
+            m = 1 if b < 0 else times.get((g, b, i), 0)
+            want[g, k, b] = [x + m * y for x, y in zip(want.get((g, k, b), [0.0, 0.0]), v, strict=True)]
+    assert got == want
