@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ EMPTY = np.zeros(0, RUN)
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, hasher: RollingHash, min_len: int) -> tuple[np.ndarray, ...]:
-    """Runs of the texts that end at `ends` in data: first window, number of windows, anchor hash, content hash."""
+    """Runs of the texts that end at `ends` in data: first window, number of windows, anchor hash, content hash.
+
+    The smallest of 185 hashes has small leading bits, so it is hashed once more: anchors are dealt by leading bits."""
     none = np.zeros(0, np.int64)
     if len(data) < min_len:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
@@ -66,7 +69,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, hasher: RollingHash, min_len: in
     count = stop - start + 1
     p = anchor[start]
     content = mixed(hasher.of(sums, start, stop + min_len) + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (p - start).astype(np.uint64))
-    return start, count, gram[p], content
+    return start, count, mixed(gram[p]), content
 
 
 def by_key(rows: np.ndarray) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -211,8 +214,11 @@ def removal(texts: DataFrame, min_len: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = [RollingHash(1), RollingHash(2)]
-        held = sorted((c for b in batches for blob in b.column(1).to_pylist() for c in pickle.loads(blob)), key=lambda c: c[0])
+        rows = ((k, blob.as_py()) for b in batches for k, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        for _, blobs in groupby(rows, key=lambda r: r[0]):
+            yield from searched(sorted((c for _, blob in blobs for c in pickle.loads(blob)), key=lambda c: c[0]), hashers)
 
+    def searched(held: list[tuple], hashers: list[RollingHash]) -> Iterator[pa.RecordBatch]:
         ahead: dict[int, int] = {}
         for c in held:
             ahead[c[0]] = ahead.get(c[0], 0) + len(c[4])
@@ -238,7 +244,7 @@ def removal(texts: DataFrame, min_len: int) -> DataFrame:
     runs = texts.mapInArrow(runs_of, wire).repartition("bucket")
     judged = runs.mapInArrow(judge, "key binary, full binary, need binary").groupBy("key").agg(F.collect_list("full").alias("fulls"), F.collect_list("need").alias("needs"))
     asked = texts.select("key", "text").join(judged.where("size(needs) > 0").select("key", "needs"), "key")
-    covers = asked.select("key", "text", "needs").mapInArrow(contents, "bucket int, contents binary").repartition(buckets // 4, "bucket").mapInArrow(search, "key binary, full binary").groupBy("key").agg(F.collect_list("full").alias("more"))
+    covers = asked.select("key", "text", "needs").mapInArrow(contents, "bucket int, contents binary").repartition(buckets // 4, "bucket").sortWithinPartitions("bucket").mapInArrow(search, "key binary, full binary").groupBy("key").agg(F.collect_list("full").alias("more"))
     empty = F.expr("cast(array() as array<binary>)")
     return texts.join(judged.select("key", "fulls"), "key", "left").join(covers, "key", "left").select("key", "text", "copies", F.concat(F.coalesce("fulls", empty), F.coalesce("more", empty)).alias("spans"))
 

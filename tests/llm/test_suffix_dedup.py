@@ -89,3 +89,10 @@ def test_every_anchor_is_judged_whatever_the_partitions(spark, table, partitions
         check(table, texts, 18)  # three hashes a window: anchors are spread over all values
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_anchors_are_dealt_evenly_by_their_leading_bits():
+    data = np.random.default_rng(3).integers(97, 123, 200_000).astype(np.uint8)
+    _, _, anchor, _ = D.anchors(data, np.array([len(data)]), D.RollingHash(), D.MIN_BYTES)
+    share = np.bincount((anchor >> np.uint64(57)).astype(np.int64), minlength=128) / len(anchor)
+    assert share.max() < 0.05  # the smallest of 185 hashes, as it is, begins with seven zero bits three times in four
