@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -62,8 +63,7 @@ class PieceCodec:
         self.byte_fallback = proto.trainer_spec.byte_fallback
         self.unk, self.eos = proto.trainer_spec.unk_id, proto.trainer_spec.eos_id
         self.unk_surface = proto.trainer_spec.unk_surface
-        self.pieces = [p.piece for p in proto.pieces]
-        self.types = [p.type for p in proto.pieces]
+        self.surfaces = [self.unk_surface if p.type == UNKNOWN else "" if p.type == CONTROL else p.piece.replace(SPACE, " ") for p in proto.pieces]
         self.ids, self.scores, self.bytes = {}, {}, {}
         for i, p in enumerate(proto.pieces):
             if p.type == NORMAL:
@@ -71,11 +71,12 @@ class PieceCodec:
             elif p.type == BYTE:
                 self.bytes[int(p.piece[1:-1], 16)] = i
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.byte_ids = frozenset(self.byte_of)
         self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}  # no merge crosses any other two characters
         self.units = re.compile(self._cutter()).findall
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
-            self.automaton.add_word(p, len(p))
+            self.automaton.add_word(p, len(p) - 1)
         self.automaton.make_automaton()
         self.parts = _Memory(self._part)
         self.known = _Memory(self._unit)
@@ -115,28 +116,27 @@ class PieceCodec:
 
     def backtracked(self, text: str) -> list[str]:
         """Pieces of a string all of whose characters are pieces."""
-        longest = [1] * len(text)
-        for end, n in self.automaton.iter(text):
-            if n > longest[end - n + 1]:
-                longest[end - n + 1] = n
+        longest = {end - n: end + 1 for end, n in self.automaton.iter(text)}  # later matches of a start are longer
+        pairs, shorter, size = self.pairs, self.shorter, len(text)
         out: list[str] = []
-        pos, dead = 0, bytearray(len(text) // 8 + 1)
-        token = text[: longest[0]]
+        before, pos, end, dead, stuck = "", 0, longest[0], bytearray(size // 8 + 1), False
+        token = text[:end]
         while True:
-            end = pos + len(token)
-            if not dead[end >> 3] >> (end & 7) & 1 and self.pairs[(out[-1] if out else "", token)]:
+            if not (stuck and dead[end >> 3] >> (end & 7) & 1) and pairs[before, token]:
                 out.append(token)
-                pos = end
-                if pos == len(text):
+                if end == size:
                     return out
-                token = text[pos : pos + longest[pos]]
+                before, pos, end = token, end, longest[end]
+                token = text[pos:end]
                 continue
-            token = self.shorter[token]
+            token = shorter[token]
             while not token:
+                stuck = True
                 dead[pos >> 3] |= 1 << (pos & 7)
                 token = out.pop()
                 pos -= len(token)
-                token = self.shorter[token] if dead[(pos + len(token)) >> 3] >> ((pos + len(token)) & 7) & 1 else token
+                token = shorter[token]
+            before, end = out[-1] if out else "", pos + len(token)
 
     def _part(self, text: str) -> list[int]:
         """Ids of a stretch that no merge leaves."""
@@ -149,6 +149,8 @@ class PieceCodec:
         return " ".join(map(str, ids)), self._surface(ids)
 
     def unit_ids(self, text: str) -> list[int]:
+        if self.joins.issuperset(map(add, text, text[1:])):
+            return self.parts[text]
         cuts = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.joins), len(text)]
         return [x for a, b in zip(cuts, cuts[1:], strict=False) for x in self.parts[text[a:b]]]
 
@@ -160,6 +162,8 @@ class PieceCodec:
 
     def _surface(self, ids: list[int]) -> str:
         """Text of ids, leading blank included; runs of byte tokens are decoded together."""
+        if self.byte_ids.isdisjoint(ids):
+            return "".join([self.surfaces[i] for i in ids])
         out, run = [], bytearray()
         for i in ids:
             if (b := self.byte_of.get(i)) is not None:
@@ -168,8 +172,7 @@ class PieceCodec:
             if run:
                 out.append(self._bytes(run))
                 run = bytearray()
-            kind = self.types[i]
-            out.append(self.unk_surface if kind == UNKNOWN else "" if kind == CONTROL else self.pieces[i].replace(SPACE, " "))
+            out.append(self.surfaces[i])
         return "".join(out) + self._bytes(run)
 
     @staticmethod

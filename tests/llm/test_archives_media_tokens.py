@@ -152,3 +152,25 @@ def test_page_columns_with_names_of_the_result(spark):
     assert [r["payload"] for r in rows] == ["one", "two"] and [r["position"] for r in rows] == [1, 3]
     assert all(r["page_position"] == 7 and r["page_caption"] == "cap" and r["page_sequence"] == "seq" and r["x.y"] == 5 for r in rows)
     assert {r["page_page_digest"] for r in rows} | {r["page_digest"] for r in rows} == {6, digests["two"]}
+
+
+def test_codec_steps_back_as_the_library_does():
+    import random
+
+    import public_tokenizers
+    import sentencepiece
+
+    from glossa.llm.piece_codec import PieceCodec
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        codec = PieceCodec(f.read())
+    r = random.Random(11)
+    for alphabet in ("ab", "ints", "aeiou tr", "estrn-\n", "é漢a \u0001😀"):
+        for _ in range(300):
+            text = "".join(r.choice(alphabet) for _ in range(r.randrange(0, 40)))
+            ids = library.encode(text, add_eos=True)
+            assert codec.coded(text) == (" ".join(map(str, ids)), library.decode(ids)), text
+            assert codec.decode(ids) == library.decode(ids)
+    assert not codec.byte_ids & set(codec.encode("plain words", end=False))
