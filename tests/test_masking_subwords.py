@@ -91,3 +91,22 @@ def test_runs_repeat_and_models_are_kept(spark, planted, tmp_path):
     rows = {r["id"]: r["vec"] for r in SW.embedded(df, ["id"], "tokens", model).collect()}
     assert rows[1000] == rows[1001] == [0.0] * 24 and np.allclose(rows[1002], model.vector("once"), atol=1e-6)
     assert not SW.trained(df.limit(0), "id", dims=4, epochs=1, rows=64).outer.any()
+
+
+def test_sums_by_halves_and_pairs_of_a_place_together(monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    n = r.integers(1, 40, 200)
+    x = r.random((n.sum(), 3))
+    assert np.allclose(SW.summed(x, n), np.add.reduceat(x, np.cumsum(n) - n, axis=0))
+    words = [f"w{i}" for i in range(3000)]
+    counts = np.zeros(1 << 14, np.int64)
+    for w in words:
+        counts[SW.row_of(f"<{w}>", 1 << 14)] += 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array([words[i::30] for i in range(30)])], ["id", "tokens"])
+    seen = []
+    monkeypatch.setattr(SW, "learn", lambda model, parts, centre, *_: seen.append((len(centre), len(np.unique(centre)))))
+    SW._train(SW.Model(np.zeros((1 << 14, 2), np.float32), np.zeros((1 << 14, 2), np.float32)), [batch], (counts, SW.Alias.of(counts**0.75)), 5, 2, 0.1, r, 1.0)
+    assert sum(n for n, _ in seen) > 3000 * 4
+    assert all(k < n / 3 for n, k in seen if n == SW.BATCH)  # a batch dealt pair by pair has hardly a word twice
