@@ -218,3 +218,15 @@ def test_ordered_checksum(spark):
     rows = [("x", 2, "b"), ("x", 1, "é"), ("x", 3, None), ("y", 1, None), (None, 1, "z"), ("x", 2, "a")]
     got = {r["code"]: r["checksum"] for r in ordered_checksum(spark.createDataFrame(rows, "code string, k int, t string"), "code", ["k"], "t").collect()}
     assert got == {"x": hashlib.md5("é\na\nb\n".encode()).hexdigest(), "y": None, None: hashlib.md5(b"z\n").hexdigest()}
+
+
+def test_digest_of_vocabulary_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from glossa.functions import text
+
+    df = spark.createDataFrame([(1, "abc é ǅ ‰ 漢😀\x00"), (2, ""), (3, None), (4, "x" * 3000)], "id int, t string")
+    plain = F.md5(F.array_join(F.transform(text.codepoint_index("t"), lambda x: x.cast("string")), ","))
+    numbers = F.md5(F.array_join(F.transform(F.array(F.lit(-100), F.lit(0), F.lit(0x10FFFF)), lambda x: x.cast("string")), ","))
+    rows = df.select(plain.alias("a"), text.codepoint_digest("t").alias("b"), numbers.alias("c"), text.numbers_digest(F.array(F.lit(-100), F.lit(0), F.lit(0x10FFFF))).alias("d")).collect()
+    assert len(rows) == 4 and all(r["a"] == r["b"] and r["c"] == r["d"] for r in rows)
