@@ -42,7 +42,7 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of what they decode to: a row for each row, repeated and null
     ids included. A null text is empty and has the end id only; equal texts have equal ids."""
-    return piece_codec.encode_documents(docs, public_tokenizers.path(TOKENIZER), keep_ids=True)
+    return piece_codec.encode_documents(docs, public_tokenizers.path(TOKENIZER), keep_ids=True, lean=True)
 
 
 STAGES = [

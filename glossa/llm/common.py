@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,7 @@ def forgotten() -> None:
     """Let go of what earlier operators keep in this worker: stages of a pipeline share workers, not memories."""
     for kept in KEPT:
         kept.clear()
+    gc.collect()  # a codec and its memories hold each other
     trimmed()
 
 

@@ -20,36 +20,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import KEPT, trimmed
+from glossa.llm.common import KEPT, forgotten, trimmed
 
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
-#: Entries that a worker's memory of words may hold before it starts anew.
-REMEMBERED = 400_000
+#: Entries of a worker's memory of words, and of its memory of neighbours, that are in use: as many again are kept from
+#: before, at 200 bytes each, so that two workers and a JVM that earlier stages have filled share an executor of 3 GB.
+REMEMBERED = 200_000
 LONG_UNIT = 64
 
 
 class _Memory(dict):
-    """Results by key, computed when first asked for; bounded."""
+    """Results by key, computed when first asked for. When full it starts anew, and takes over from what it held before
+    what is asked for again; what it held before that is let go. `key` gives an equal key of shared parts to keep."""
 
-    def __init__(self, make, limit: int = REMEMBERED):
+    def __init__(self, make, limit: int = REMEMBERED, key=None):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.key, self.before = make, limit, key, {}
 
     def __missing__(self, key):
-        out = self.make(key)
+        out = self.before.get(key)
+        if out is None:
+            out = self.make(key)
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
         if not isinstance(key, str) or len(key) <= LONG_UNIT:
-            self[key] = out
+            self[self.key(key) if self.key else key] = out
         return out
 
 
+class _Odd(str):
+    """Ids of a unit that decodes to another text."""
+
+    back: str
+
+
 class PieceCodec:
     """Encoder and decoder of one model file's bytes. Models that normalise text or have user-defined or unused
     pieces are refused: their texts would need more than merges."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, remembered: int = REMEMBERED):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -78,21 +89,21 @@ class PieceCodec:
         for p in self.ids:
             self.automaton.add_word(p, len(p) - 1)
         self.automaton.make_automaton()
-        self.parts = _Memory(self._part)
-        self.known = _Memory(self._unit)
-        self.pairs = _Memory(self._compatible)
+        self.own = {p: p for p in self.ids}
+        self.known = _Memory(self._unit, remembered)
+        self.pairs = _Memory(self._compatible, remembered, key=lambda pair: (self.own.get(pair[0], ""), self.own[pair[1]]))
         self.shorter = _Memory(self._shorter)
 
     def _cutter(self) -> str:
-        """A pattern that cuts texts only where no merge crosses: before blanks, around line ends, between letters
-        and others, each as far as the pieces allow; a model whose pieces allow none is given whole texts."""
+        """A pattern that cuts texts only where no merge crosses: before blanks (or their marks), around line ends, between
+        letters and others, each as far as the pieces allow; a model whose pieces allow none is given whole texts."""
         letter = re.compile(r"[^\W\d_]").match
         if any(b == SPACE != a for a, b in self.joins):
             return "(?s).+"
         stop = "" if any("\n" in j for j in self.joins) else "\n"
         mixed = any(SPACE not in j and bool(letter(j[0])) != bool(letter(j[1])) for j in self.joins)
-        rest = f"[^{SPACE}{stop}]+" if mixed else rf"[^\W\d_]+|(?:(?![^\W\d_])[^{SPACE}{stop}])+"
-        return f"(?s){SPACE}*(?:{rest})|{SPACE}+" + ("|\n" if stop else "")
+        rest = f"[^ {SPACE}{stop}]+" if mixed else rf"[^\W\d_]+|(?:(?![^\W\d_])[^ {SPACE}{stop}])+"
+        return f"(?s)[ {SPACE}]*(?:{rest})|[ {SPACE}]+" + ("|\n" if stop else "")
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves, on a short string: best score first, leftmost among equals."""
@@ -144,21 +155,26 @@ class PieceCodec:
             return [self.bytes[b] for b in text.encode()] if self.byte_fallback else [self.unk]
         return [self.ids[p] for p in self.backtracked(text)]
 
-    def _unit(self, text: str) -> tuple[str, str]:
-        ids = self.unit_ids(text)
-        return " ".join(map(str, ids)), self._surface(ids)
-
-    def unit_ids(self, text: str) -> list[int]:
-        if self.joins.issuperset(map(add, text, text[1:])):
-            return self.parts[text]
-        cuts = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.joins), len(text)]
-        return [x for a, b in zip(cuts, cuts[1:], strict=False) for x in self.parts[text[a:b]]]
+    def _unit(self, text: str) -> str:
+        """The decimal ids of a unit, joined by blanks. What several stretches make up is put together from them."""
+        marked = text.replace(" ", SPACE)
+        if self.joins.issuperset(map(add, marked, marked[1:])):
+            ids = self._part(marked)
+        else:
+            cuts = [0, *(i for i in range(1, len(text)) if marked[i - 1 : i + 1] not in self.joins), len(text)]
+            ids = [int(x) for a, b in zip(cuts, cuts[1:], strict=False) for x in self.known[text[a:b]].split()]
+        out, back = " ".join(map(str, ids)), self._surface(ids)
+        if back != text:
+            out = _Odd(out)
+            out.back = back
+        return out
 
-    def normalised(self, text: str) -> str:
-        return self.prefix + text.replace(" ", SPACE) if text else ""
+    def begun(self, text: str) -> str:
+        """The text as it is cut into units."""
+        return " " + text if text and self.prefix else text
 
     def encode(self, text: str, end: bool = True) -> list[int]:
-        return [x for u in self.units(self.normalised(text)) for x in self.unit_ids(u)] + [self.eos] * end
+        return [int(x) for u in self.units(self.begun(text)) for x in self.known[u].split()] + [self.eos] * end
 
     def _surface(self, ids: list[int]) -> str:
         """Text of ids, leading blank included; runs of byte tokens are decoded together."""
@@ -192,10 +208,10 @@ class PieceCodec:
 
     def coded(self, text: str) -> tuple[str, str]:
         """The decimal ids with an end id, joined by blanks, and the text that they decode to."""
-        known = self.known
-        found = [known[u] for u in self.units(self.normalised(text))]
-        back = "".join([f[1] for f in found])
-        ids = " ".join([f[0] for f in found])
+        units = self.units(self.begun(text))
+        found = [*map(self.known.__getitem__, units)]
+        back = "".join(units) if _Odd not in set(map(type, found)) else "".join([f.back if type(f) is _Odd else u for f, u in zip(found, units, strict=True)])
+        ids = " ".join(found)
         return f"{ids} {self.eos}" if ids else str(self.eos), back[1:] if self.prefix and back[:1] == " " else back
 
 
@@ -203,20 +219,22 @@ _CODECS: dict[bytes, PieceCodec] = {}
 KEPT.append(_CODECS)
 
 
-def codec_of(model: bytes) -> PieceCodec:
+def codec_of(model: bytes, remembered: int = REMEMBERED) -> PieceCodec:
     """This worker's codec of a model: what one task has learned of words serves the next."""
     digest = hashlib.sha256(model).digest()
-    if digest not in _CODECS:
+    if digest not in _CODECS or _CODECS[digest].known.limit != remembered:
         _CODECS.clear()
-        _CODECS[digest] = PieceCodec(model)
+        _CODECS[digest] = PieceCodec(model, remembered)
     return _CODECS[digest]
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, lean: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): every whole text encoded, with an end id, and decoded.
 
     The model (its size does not depend on the data) is sent to the workers once. A null text is empty: one end id.
     Rows stay rows, repeated and null ids included; an empty table gives an empty result; other columns are ignored.
+    A lean worker learns less and forgets it with the task, at the cost of time: tasks go round among all workers that
+    earlier stages have left, and each would hold a codec.
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -224,7 +242,9 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(model.value)
+        if lean:
+            forgotten()
+        codec = codec_of(model.value, REMEMBERED // 4 if lean else REMEMBERED)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -238,7 +258,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                         ids_out.append(np.fromstring(ids, np.int32, sep=" "))
                 cols = [b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(backs, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(ids_out, pa.list_(pa.int32()))] * keep_ids, names)
-        trimmed()
+        del codec
+        (forgotten if lean else trimmed)()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 

@@ -174,3 +174,64 @@ def test_codec_steps_back_as_the_library_does():
             assert codec.coded(text) == (" ".join(map(str, ids)), library.decode(ids)), text
             assert codec.decode(ids) == library.decode(ids)
     assert not codec.byte_ids & set(codec.encode("plain words", end=False))
+
+
+def test_codec_remembers_little_and_keeps_what_is_in_use():
+    import gc
+    import random
+    import tracemalloc
+
+    from glossa.llm.piece_codec import _Memory
+
+    with open(MODEL, "rb") as f:
+        codec = PieceCodec(f.read())
+    r = random.Random(5)
+    words = ["".join(r.choice(["th", "wh", "ing", "er", "lich", "tion", "que", "é"]) for _ in range(6)) for _ in range(20_000)]
+    codec.coded(" ".join(words[:2000]))
+    gc.collect()
+    tracemalloc.start()
+    codec.coded(", ".join(words[2000:]))
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 18_000 * 2 * 200  # a word alone and with its comma
+
+    made = []
+    memory = _Memory(lambda k: made.append(k) or len(k), limit=10)
+    for i in range(200):
+        assert memory["often"] == 5 and memory[f"once {i}"] == len(f"once {i}")
+        assert len(memory) <= 10 and len(memory.before) <= 10
+    assert made.count("often") == 1 and len(made) == 201
+
+
+def test_codec_of_units_that_decode_otherwise(codecs):
+    own, lib = codecs
+    for t in ("a▁b c", "▁▁", " ▁ x", "plain words ▁", "▁" * 100 + " é", "漢\u0001▁y " * 30):
+        ids = lib.encode(t, add_eos=True)
+        assert own.coded(t) == (" ".join(map(str, ids)), lib.decode(ids)), t
+
+
+def test_a_codec_is_let_go_at_once():
+    import gc
+    import weakref
+
+    from glossa.llm.common import forgotten
+    from glossa.llm.piece_codec import codec_of
+
+    with open(MODEL, "rb") as f:
+        model = f.read()
+    gc.disable()
+    try:
+        codec = codec_of(model)
+        assert codec_of(model) is codec and codec.coded("some words")
+        seen = weakref.ref(codec)
+        del codec
+        forgotten()
+        assert seen() is None
+    finally:
+        gc.enable()
+
+
+def test_lean_encoding_gives_the_same_rows(table):
+    rows = lambda **how: sorted(map(tuple, encode_documents(table([None, "", "Hello  world\n", "▁é漢 x" * 50, "x" * 5000]), MODEL, keep_ids=True, **how).collect()))
+    assert rows(lean=True) == rows()
