@@ -233,8 +233,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     The model (its size does not depend on the data) is sent to the workers once. A null text is empty: one end id.
     Rows stay rows, repeated and null ids included; an empty table gives an empty result; other columns are ignored.
-    A lean worker learns less and forgets it with the task, at the cost of time: tasks go round among all workers that
-    earlier stages have left, and each would hold a codec.
+    A lean worker learns less and forgets it with the task, at the cost of time: else every worker that earlier stages
+    have left and that gets a task would go on holding a codec.
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
