@@ -220,6 +220,40 @@ def test_ordered_checksum(spark):
     assert got == {"x": hashlib.md5("é\na\nb\n".encode()).hexdigest(), "y": None, None: hashlib.md5(b"z\n").hexdigest()}
 
 
+def test_checksum_goes_on_from_slice_to_slice(spark, monkeypatch):
+    import hashlib
+
+    from glossa.operators import relational as R
+
+    taken = []
+    real = R._slice_reader
+    monkeypatch.setattr(R, "_slice_reader", lambda before: taken.append(before) or real(before))
+    rows = [(c, i // 3, f"{c}é{i * 7919 % 1000}" * (i % 5)) for c in "xyz" for i in range(900 if c != "z" else 3)]
+    rows += [(None, i, "n" * 50) for i in range(300)] + [("x", 5, None), ("w", 1, None), *[("same", 1, f"{i:04}") for i in range(2000)]]
+    df = spark.createDataFrame(rows, "code string, k int, t string").repartition(5)
+    got = {r["code"]: r["checksum"] for r in R.ordered_checksum(df, "code", ["k"], "t", size=2000).collect()}
+    want = {c: "".join(t + "\n" for d, _, t in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[1], r[2])) if d == c) for c in ("x", "y", "z", "same", None)}
+    assert got == {c: hashlib.md5(t.encode()).hexdigest() for c, t in want.items()} | {"w": None}
+    assert len(taken) > 10 and len({b[1] for b in taken if b}) > 10
+
+
+def test_md5_stream_is_handed_on():
+    import hashlib
+    import random
+
+    from glossa.functions.md5 import Stream
+
+    r = random.Random(4)
+    for n in (0, 1, 55, 56, 63, 64, 65, 119, 120, 1000):
+        data, state, at = r.randbytes(n), None, 0
+        while at < n:
+            step = r.randrange(1, 90)
+            s = Stream(state, plain=r.random() < 0.5)
+            s.update(data[at : at + step])
+            state, at = s.state, at + step
+        assert {Stream(state).hexdigest(), Stream(state, plain=True).hexdigest()} == {hashlib.md5(data).hexdigest()}
+
+
 def test_digest_of_vocabulary_numbers(spark):
     from pyspark.sql import functions as F
 
