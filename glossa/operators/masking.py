@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from glossa.functions import rules, text
+from glossa.functions import md5, rules, text
 
 #: Fixed values of the encoder's alphabet: padding, begin, end, and the mark of a hidden character.
 PAD, BEGIN, END, RESERVED, MASK = 0x0000, 0xE000, 0xE001, 0xE002, 0xE003
@@ -16,20 +23,11 @@ IGNORED = -100
 LENGTH, SHARE, MARKED, CHANGED = 512, 0.15, 80, 10
 
 
-def parts(c: str | Column, length: int = LENGTH) -> Column:
-    """A text's characters in sequences that leave room for begin and end; an empty text is one empty sequence."""
-    chars = F.filter(F.split(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")), ""), lambda x: x != "")
-    n = length - 2
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(chars) / n).cast("int") - 1, F.lit(0))), lambda k: F.slice(chars, k * n + 1, F.lit(n)))
-
-
-def code_point_of(number: Column, ranges: list[tuple[int, int]] = rules.CODE_POINTS) -> Column:
-    """The number-th code point of the ranges, from 0."""
-    out, before = F.lit(None).cast("int"), 0
-    for a, b in ranges:
-        out = F.when(number.between(before, before + b - a), number - before + a).otherwise(out)
-        before += b - a + 1
-    return out
+#: The code points that a changed character can become, and those that are never chosen.
+_POINTS = np.concatenate([np.arange(a, b + 1, dtype=np.int32) for a, b in rules.CODE_POINTS])
+_FIXED = [PAD, BEGIN, END, RESERVED, MASK]
+#: Characters that a task works on at a time, if no text is longer.
+TOGETHER = 1 << 20
 
 
 def masked(df: DataFrame, keys: list[str], text_col: str, seed: str = "42", share: float = SHARE, length: int = LENGTH, first_only: bool = False) -> DataFrame:
@@ -40,30 +38,51 @@ def masked(df: DataFrame, keys: list[str], text_col: str, seed: str = "42", shar
     equal keys are hidden alike; texts that are longer than a sequence go on in further parts, unless first_only cuts
     them as an encoder would. Begin, end, padding and marks in the text itself are never chosen.
     """
-    cut = F.slice(parts(text_col, length), 1, 1) if first_only else parts(text_col, length)
-    rows = df.select(*keys, F.posexplode(cut).alias("part", "chars"))
-    size = sum(b - a + 1 for a, b in rules.CODE_POINTS)
-    name = F.concat_ws("-", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.col("part").cast("string"))
-
-    limit = f"{int(share * 2**32):08x}"
-    drawn = F.transform("chars", lambda c, i: F.struct(F.ascii(c).alias("p"), F.md5(F.concat(name, F.lit("-"), (i + 1).cast("string")).cast("binary")).alias("h")))
-
-    def chosen(x: Column) -> Column:
-        """Whether the first eight digits are below the share; as text, since most characters need no number."""
-        low = F.substring(x["h"], 1, 8) < limit if len(limit) == 8 else F.lit(True)
-        return low & ~x["p"].isin(PAD, BEGIN, END, RESERVED, MASK)
-
-    def one(x: Column) -> Column:
-        number = lambda k: F.conv(F.substring(x["h"], 8 * k + 1, 8), 16, 10).cast("long")
-        what = F.pmod(number(1), F.lit(100))
-        new = F.when(what < MARKED, F.lit(MASK)).when(what < MARKED + CHANGED, code_point_of(F.pmod(number(2), F.lit(size)).cast("int"))).otherwise(x["p"])
-        return F.when(x["c"], F.struct(new.alias("id"), text.vocabulary_number(x["p"]).alias("label"))).otherwise(F.struct(x["p"].alias("id"), F.lit(IGNORED).alias("label")))
-
-    judged = F.transform("chars", lambda x: F.struct(x["p"].alias("p"), x["h"].alias("h"), chosen(x).alias("c")))
-    rows = rows.withColumn("chars", drawn).withColumn("chars", judged).select(*keys, "part", F.transform("chars", one).alias("x"))
-    ids = F.concat(F.array(F.lit(BEGIN)), F.transform("x", lambda x: x["id"]), F.array(F.lit(END)))
-    labels = F.concat(F.array(F.lit(IGNORED)), F.transform("x", lambda x: x["label"]), F.array(F.lit(IGNORED)))
-    return rows.select(*keys, "part", ids.alias("input_ids"), F.transform(ids, lambda _: F.lit(1)).alias("attention_mask"), labels.alias("labels"))
+    name = F.concat_ws("-", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    rows = df.select(*keys, name.alias("_name"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    ints = T.ArrayType(T.IntegerType())
+    made = [T.StructField("part", T.IntegerType()), T.StructField("input_ids", ints), T.StructField("labels", ints)]
+    limit, room = int(share * 2**32), length - 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pc.utf8_length(b.column(len(keys) + 1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = (np.cumsum(sizes) - sizes) // TOGETHER
+            for at, to in pairwise([*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(sizes)]):
+                some = b.slice(at, to - at)
+                names, texts = some.column(len(keys)).to_pylist(), some.column(len(keys) + 1).to_pylist()
+                row, columns = _hidden(names, [t[:room] for t in texts] if first_only else texts, limit, room)
+                yield pa.RecordBatch.from_arrays([some.column(k).take(row) for k in range(len(keys))] + columns, [*keys, *(f.name for f in made)])
+
+    got = rows.mapInArrow(run, T.StructType([df.schema[k] for k in keys] + made))
+    return got.select(*keys, "part", "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"), "labels")
+
+
+def _hidden(names: list[str], texts: list[str], limit: int, room: int) -> tuple[pa.Array, list[pa.Array]]:
+    """Of every sequence the text it belongs to, and its part, ids and labels."""
+    n = np.array([len(t) for t in texts], np.int64)
+    points = text.points_of("".join(texts))
+    parts = np.maximum(-(-n // room), 1)
+    row = np.repeat(np.arange(len(n)), parts)
+    part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    size = np.minimum(n[row] - part * room, room)
+    h = md5.numbered([f"{names[r]}-{p}-".encode() for r, p in zip(row.tolist(), part.tolist(), strict=True)], size)
+    at = np.flatnonzero(h[0] < np.uint64(limit))
+    at = at[~np.isin(points[at], _FIXED)]
+    what, was = h[1][at] % 100, points[at]
+    points[at] = np.where(what < MARKED, MASK, np.where(what < MARKED + CHANGED, _POINTS[h[2][at] % len(_POINTS)], was))
+    labels = np.full(len(points), IGNORED, np.int32)
+    labels[at] = text.numbers_of(was)
+    offsets = np.concatenate([[0], np.cumsum(size + 2)])
+    inner = np.ones(offsets[-1], bool)
+    inner[offsets[:-1]] = inner[offsets[1:] - 1] = False
+
+    def lists(values: np.ndarray, begin: int, end: int) -> pa.Array:
+        out = np.empty(len(inner), np.int32)
+        out[inner], out[offsets[:-1]], out[offsets[1:] - 1] = values, begin, end
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
+
+    return pa.array(row), [pa.array(part, pa.int32()), lists(points, BEGIN, END), lists(labels, IGNORED, IGNORED)]
 
 
 def padded(rows: DataFrame, batch: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Masked characters, and skip-gram vectors over subwords."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -34,6 +35,40 @@ def test_masking(spark):
     assert MK.masked(df, ["id"], "text", length=100, first_only=True).count() == 6
 
 
+def test_masking_is_that_of_a_loop(spark):
+    """Keys that fill one and two blocks of MD5, parts, positions of one to four digits."""
+    from glossa.functions import rules
+
+    points = [p for a, b in rules.CODE_POINTS for p in range(a, b + 1)]
+    texts = [("k" * n, "aé漢😀\x00\ue003z" * m) for n in (1, 40, 44, 45, 46, 47, 48, 49, 60, 64, 130) for m in (1, 2, 40, 330)]
+    df = spark.createDataFrame(texts, "id string, text string")
+    for length, first_only in ((52, False), (1300, False), (102, True)):
+        want = []
+        for key, t in texts:
+            for part in range(1 if first_only else max(1, -(-len(t) // (length - 2)))):
+                ids, labels = [], []
+                for i, c in enumerate(t[part * (length - 2) : (part + 1) * (length - 2)], 1):
+                    h = hashlib.md5(f"42-{key}-{part}-{i}".encode()).hexdigest()
+                    p, chosen = ord(c), int(h[:8], 16) < int(0.15 * 2**32) and c not in "\x00\ue003"
+                    what = int(h[8:16], 16) % 100
+                    ids.append(p if not chosen or what >= 90 else MK.MASK if what < 80 else points[int(h[16:24], 16) % len(points)])
+                    labels.append((points.index(p) + 2 if p in points else 1) if chosen else MK.IGNORED)
+                want.append((key, part, [MK.BEGIN, *ids, MK.END], [MK.IGNORED, *labels, MK.IGNORED]))
+        rows = MK.masked(df, ["id"], "text", length=length, first_only=first_only).collect()
+        assert sorted((r["id"], r["part"], r["input_ids"], r["labels"]) for r in rows) == sorted(want)
+        assert all(r["attention_mask"] == [1] * len(r["input_ids"]) for r in rows)
+
+
+def test_many_digests_at_once():
+    from glossa.functions import md5
+
+    prefixes = [b"p" * n for n in (0, 1, 44, 52, 53, 54, 55, 56, 63, 64, 65, 118, 119, 120, 128, 200)]
+    counts = np.array([0, 9, 10, 120, 99, 100, 1200, 5] * 2)
+    want = [hashlib.md5(p + str(i).encode()).hexdigest() for p, n in zip(prefixes, counts, strict=True) for i in range(1, n + 1)]
+    assert ["".join(f"{x:08x}" for x in column) for column in md5.numbered(prefixes, counts).T.tolist()] == want
+    assert md5.numbered([], np.zeros(0, np.int64)).shape == (4, 0)
+
+
 def test_padding(spark):
     df = spark.createDataFrame([(1, "ab", "x"), (2, "abcdef", "x"), (3, "a", "y")], "id long, text string, batch string")
     m = MK.masked(df, ["id", "batch"], "text", share=0)
