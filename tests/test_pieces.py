@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from glossa.operators import pieces as P
@@ -86,3 +87,42 @@ def test_edges(spark):
     df = spark.createDataFrame([("x", "two  words\ttwo"), ("x", None), (None, "")], "code string, text string")
     assert sorted((r["code"], r["word"], r["n"]) for r in P.marked_words(df, ["code"], "text").collect()) == [("x", "▁two", 2), ("x", "▁words", 1)]
     assert {r["term"]: r["tf"] for r in P.piece_counts(P.marked_words(df, ["code"], "text"), ["code"], [("t", "w")]).collect()} == {"▁": 3, "tw": 2, "o": 3, "w": 1, "r": 1, "d": 1, "s": 1}
+
+
+def test_batches_of_words_are_cut_as_by_a_loop():
+    import numpy as np
+
+    for seed in range(60):
+        words = [w for w, _ in some_words(seed, "aé😀bc"[: 1 + seed % 5], 40)] + ["", "a", "aaaaa", "aaaaaaaa"]
+        merges = loop([(w, 1) for w in words], 25, least=1)[0]
+        merges += random.Random(seed).sample(merges, len(merges) // 2)  # a pair that comes back
+        symbols = P.Symbols(merges)
+        cut, at = P.Merges(merges, symbols).apply(*P._points(pa.array(words)))
+        got = [[symbols.name(x) for x in cut[i:j].tolist()] for i, j in zip(at, at[1:], strict=False)]
+        want = [list(w) for w in words]
+        for m in merges:
+            want = [P.merged(s, *m) for s in want]
+        assert got == want and at.dtype == np.int64
+
+
+def test_sizes_that_were_too_large_are_not_tried_again(spark, monkeypatch):
+    tried = []
+    real = P._stretches
+    monkeypatch.setattr(P, "_stretches", lambda state, heavy: tried.append(len(heavy)) or real(state, heavy))
+    words = some_words(6, "abcdefgh", 400)
+    assert P.learned(spark.createDataFrame(words, "word string, n long"), 40, heavy=4096, stretches=20) == loop(words, 40)[0]
+    assert tried[1:] and max(tried[3:]) < tried[0]
+
+
+def test_white_space_is_unicode_s(spark):
+    t = "a\x1cb c d\x85e​f\xa0g 　h\n"
+    for x in (t, t.replace("\x1c", "")):
+        got = {r["word"]: r["n"] for r in P.marked_words(spark.createDataFrame([(x, 1), (x, 1), (x, None)], "text string, k int"), ["k"], "text").where("k = 1").collect()}
+        want = spark.createDataFrame([(x,)], "t string").selectExpr(r"explode(filter(split(t, '(?U)\\s+'), w -> w <> '')) w").collect()
+        assert got == {"▁" + r["w"]: 2 for r in want}
+
+
+def test_pieces_of_groups(spark):
+    rows = [("x", "▁abab", 3), (None, "▁ab", 2), ("x", "▁ab", 1), ("y", None, 5), ("y", "▁c", 10**12)]
+    got = P.piece_counts(spark.createDataFrame(rows, "code string, word string, n long"), ["code"], [("a", "b"), ("ab", "ab")]).collect()
+    assert {(r["code"], r["term"]): r["tf"] for r in got} == {("x", "▁"): 4, ("x", "abab"): 3, ("x", "ab"): 1, (None, "▁"): 2, (None, "ab"): 2, ("y", "▁"): 10**12, ("y", "c"): 10**12}
