@@ -279,3 +279,22 @@ def test_entities_of_a_batch_are_not_all_python_strings_at_once():
     tracemalloc.stop()
     assert out[0].as_py().startswith("<x> é") and out[1].as_py() is None and len(out) == 2000
     assert peak < 5_000_000  # the texts are 20 MB
+
+
+def test_articles_of_queries_are_those_of_sql(spark):
+    import random
+
+    import duckdb
+
+    from glossa.functions import text
+    from glossa.plans.texts import ARTICLE
+
+    parts = ["&quot", "&quot;", "&lt", "&lt;", "&gt;", "&amp", "&amp;", "&copy", "&copy;", "&nbsp;", "&#39;", "&#233;", "&eacute;", "&middot;", "<ip>x</ip>", "<comment>", "</comment>", "<revision>", "<minor\x0b/>", "<minor \t/>", "<ns 0>a</ns>", "</MATH>", "</ſmall>", "<BR C>", "#Redirect", "= a =", "==", "=", "<", "br>", "a", "é", "\n", "\r", "\x0b", "\x1c", "\x85", "\xa0", " ", "　", " ", "  "]
+    r = random.Random(7)
+    texts = ["token: &quot</title>" + "word " * 12, *("".join(r.choices(parts, k=r.randrange(1, 14))) for _ in range(3000))]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").select("i", text.clean_plainly("x", 1).alias("t")).orderBy("i").toPandas()["t"].tolist()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p (i INT, html VARCHAR)")
+    con.executemany("INSERT INTO p VALUES (?, ?)", list(enumerate(texts)))
+    assert got == [t or None for (t,) in con.execute(f"SELECT {ARTICLE} FROM p ORDER BY i").fetchall()]
+    assert got[0].startswith("token: &quot /title>")
