@@ -154,3 +154,24 @@ def test_mantel_and_ranks(spark):
     assert lines[0] == "Cross-method comparison" and any(x.startswith("m1 | m2") for x in lines)
     with pytest.raises(ValueError):
         ME.compare_methods(df.where("method = 'm1'"))
+
+
+def test_sparse_bootstrap_sends_no_sums_of_terms(spark, monkeypatch):
+    monkeypatch.setattr(RS, "PIECE", 5)
+    monkeypatch.setattr(RS, "SLICE", 8)
+    r = random.Random(4)
+    texts = [(k, 100 * k + i) for k in range(3) for i in range(7)] + [(None, 999)]
+    weights = [(i, f"t{t}", r.random()) for _, i in texts for t in [0, *r.sample(range(1, 60), 9)]]
+    rows = RS.numbered(spark.createDataFrame(texts, "code int, id long"), "code", ["id"])
+    df = RS.sparse_replicates(rows, spark.createDataFrame(weights, "id long, term string, w double"), "code", 9, "q", observed=True)
+    got = {(x["it"], x["a"], x["b"]): x["d"] for x in df.collect()}
+    assert not hasattr(RS, "multiplicities") and df.count() == 30  # multiplicities were a list for each row, sums a column of 8 bytes a replicate
+    vec = {i: np.zeros(60) for _, i in texts}
+    for i, t, w in weights:
+        vec[i][int(t[1:])] = w
+    for it in range(-1, 9):
+        mean = {c: sum(vec[100 * c + j] for j in (range(7) if it < 0 else drawn("q", it, c, 7))) for c in range(3)}
+        for a in range(3):
+            for b in range(a + 1, 3):
+                assert abs(got.pop((it, a, b)) - cosine(mean[a], mean[b])) < 1e-9
+    assert not got
