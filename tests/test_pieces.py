@@ -126,3 +126,12 @@ def test_pieces_of_groups(spark):
     rows = [("x", "▁abab", 3), (None, "▁ab", 2), ("x", "▁ab", 1), ("y", None, 5), ("y", "▁c", 10**12)]
     got = P.piece_counts(spark.createDataFrame(rows, "code string, word string, n long"), ["code"], [("a", "b"), ("ab", "ab")]).collect()
     assert {(r["code"], r["term"]): r["tf"] for r in got} == {("x", "▁"): 4, ("x", "abab"): 3, ("x", "ab"): 1, (None, "▁"): 2, (None, "ab"): 2, ("y", "▁"): 10**12, ("y", "c"): 10**12}
+
+
+def test_weights_are_over_all_pieces(spark):
+    from glossa.plans import models
+
+    sf = "/root/testdata/sf0.001"
+    steps = models.QUERIES["emb5_piece_model"](spark, sf).collect()
+    terms = {r["term"] for r in models.QUERIES["emb5_piece_tfidf"](spark, sf).select("term").distinct().collect()}
+    assert len(steps) > 7000 and sum(r["left"] + r["right"] in terms for r in steps[60:]) > 4000
